@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood import fixtures as fx
-from siftwood.cluster import scratch_path
+from siftwood.cluster import materialise, scratch_path
 from siftwood.functions import encoders, text
 from siftwood.functions.vectors import unit_vector
 from siftwood.index import Index
@@ -56,6 +56,11 @@ def term_list(df: DataFrame, tokens: Column) -> DataFrame:
 _roots: dict[tuple, str] = {}
 
 
+def _build(spark, sf, docs: DataFrame, root: str, alias: str, analyzer: str = "terms") -> dict[str, int]:
+    buckets = build.buckets_for(spark, fx.table(spark, sf, "documents").count())
+    return build.build_index(spark, docs, fx.MAPPING, root, alias, analyzer, term_buckets=4, doc_buckets=buckets)
+
+
 def _index(spark: SparkSession, sf: str, alias: str, make: Callable[[str], object]) -> Index:
     """Searches read a published index; it is built once per session and input."""
     key = (spark.sparkContext.applicationId, sf, alias)
@@ -69,9 +74,7 @@ def _index(spark: SparkSession, sf: str, alias: str, make: Callable[[str], objec
 def posts_index(spark: SparkSession, sf: str) -> Index:
     """Posts as they are, with the vectors of the embeddings table."""
     fx.use_utc(spark)
-    return _index(
-        spark, sf, "posts", lambda root: build.build_index(spark, fx.index_docs(spark, sf), fx.MAPPING, root, "posts")
-    )
+    return _index(spark, sf, "posts", lambda root: _build(spark, sf, fx.index_docs(spark, sf), root, "posts"))
 
 
 def cleaned_posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,8 +84,10 @@ def cleaned_posts(spark: SparkSession, sf: str) -> DataFrame:
         "number",
     )
     docs = projections.preprocess(
-        projections.map_columns(marked, fx.POST_MAPPER), [lambda d: projections.strip_markdown(d, ["body"])]
+        projections.map_columns(marked, fx.POST_MAPPER), [lambda d: projections.strip_markdown(d, ["body"], keep_raw=False)]
     )
+    # Read by the encoder and by the build: cleaned once.
+    docs = materialise(docs, "cleaned")
     vecs = encoders.encode(docs, "docid", text.doc_text(F.col("title"), F.col("body")))
     return build.attach_vectors(docs, vecs.withColumnRenamed("docid", "doc_id"))
 
@@ -90,12 +95,7 @@ def cleaned_posts(spark: SparkSession, sf: str) -> DataFrame:
 def encoded_index(spark: SparkSession, sf: str) -> Index:
     """Cleaned posts under the full analyzer, with vectors of the hash encoder."""
     fx.use_utc(spark)
-    return _index(
-        spark,
-        sf,
-        "encoded",
-        lambda root: build.build_index(spark, cleaned_posts(spark, sf), fx.MAPPING, root, "encoded", analyzer="full"),
-    )
+    return _index(spark, sf, "encoded", lambda root: _build(spark, sf, cleaned_posts(spark, sf), root, "encoded", "full"))
 
 
 def encoded_requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,7 +263,7 @@ def strip_markdown(spark, sf):
 
 @query
 def html_text(spark, sf):
-    return projections.strip_html(fx.table(spark, sf, "pages"), ["html"]).select("page_id", F.col("html").alias("text"))
+    return projections.strip_html(fx.texts(spark, sf, "pages"), ["html"]).select("page_id", F.col("html").alias("text"))
 
 
 @query
@@ -273,17 +273,17 @@ def preprocess_chain(spark, sf):
         lambda d: projections.map_columns(d, {"html": "text"}),
         lambda d: projections.strip_markdown(d, ["text"], keep_raw=False),
     ]
-    return projections.preprocess(fx.table(spark, sf, "pages").drop("url"), steps)
+    return projections.preprocess(fx.texts(spark, sf, "pages").drop("url"), steps)
 
 
 @query
 def tokenize(spark, sf):
-    return term_list(fx.table(spark, sf, "documents"), text.tokenize(F.col("text")))
+    return term_list(fx.texts(spark, sf), text.tokenize(F.col("text")))
 
 
 @query
 def stop_filter(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.texts(spark, sf)
     return term_list(docs, text.stop_filter(text.tokenize(F.col("text")), F.col("lang")))
 
 
@@ -294,7 +294,7 @@ def normalize_terms(spark, sf):
 
 @query
 def cjk_bigrams(spark, sf):
-    return term_list(fx.japanese_docs(spark, sf), text.cjk_bigrams(text.tokenize(F.col("text"))))
+    return term_list(fx.japanese_docs(spark, sf), text.cjk_bigrams(F.col("text")))
 
 
 @query
@@ -340,8 +340,7 @@ def keyword_terms(spark, sf):
 @query
 def build_index(spark, sf):
     """A full pass on every call; its result is the rows of each index table."""
-    root = scratch_path(spark, "built")
-    counts = build.build_index(spark, cleaned_posts(spark, sf), fx.MAPPING, root, "built", analyzer="full")
+    counts = _build(spark, sf, cleaned_posts(spark, sf), scratch_path(spark, "built"), "built", "full")
     return spark.createDataFrame(list(counts.items()), "index_table string, rows bigint")
 
 
@@ -371,7 +370,7 @@ def cls_pool(spark, sf):
 
 @query
 def encode_text(spark, sf):
-    return components(encoders.encode(fx.table(spark, sf, "documents"), "doc_id", F.col("text")), "doc_id")
+    return components(encoders.encode(fx.texts(spark, sf), "doc_id", F.col("text")), "doc_id")
 
 
 @query

@@ -56,6 +56,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores to all cores before
+    costly per-row work. Tables of cluster size have more splits than cores and
+    are left as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def use_utc(spark: SparkSession) -> None:
     """Days and ISO texts are cut in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

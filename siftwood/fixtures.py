@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.cluster import scratch_path, use_utc
+from siftwood.cluster import scratch_path, spread_small, use_utc
 from siftwood.functions.text import tokenize
 from siftwood.mapping import Mapping, POST_FIELDS
 from siftwood.operators.numbering import page_rows
@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
+    """A table of long texts, dealt to all cores where its file is one split."""
+    return spread_small(table(spark, sf, name))
+
+
 def once(spark: SparkSession, sf: str, label: str, write) -> str:
     """A scratch folder filled by ``write(path)`` once per session and input."""
     key = (spark.sparkContext.applicationId, sf, label)
@@ -56,13 +61,13 @@ def _post_columns(number) -> list:
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
-    docs, events = table(spark, sf, "documents"), table(spark, sf, "events")
+    docs, events = texts(spark, sf), table(spark, sf, "events")
     return docs.join(events, docs.doc_id == events.event_id).select(*_post_columns(F.col("doc_id")))
 
 
 def revisions(spark: SparkSession, sf: str) -> DataFrame:
     """Every event revises one post; ``arrival`` is the event's number."""
-    docs, events = table(spark, sf, "documents"), table(spark, sf, "events")
+    docs, events = texts(spark, sf), table(spark, sf, "events")
     owner = events.withColumn("owner", F.col("event_id") % docs.count())
     return owner.join(docs, owner.owner == docs.doc_id).select(
         *_post_columns(F.col("doc_id")), F.col("event_id").alias("arrival")
@@ -191,13 +196,13 @@ def markdown_docs(spark: SparkSession, sf: str) -> DataFrame:
         F.col("source"), F.lit(" | "), F.col("n_chars").cast("string"),
         F.lit(" |\n\n***\n```sql\n# not a heading\nselect **\n```\nend *"), F.col("lang"), F.lit("*\n"),
     )
-    return table(spark, sf, "documents").select("doc_id", body.alias("text"))
+    return texts(spark, sf).select("doc_id", body.alias("text"))
 
 
 def japanese_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with Latin letters turned to kana and kanji; accented letters,
     digits and punctuation stay and mix in."""
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", F.translate(F.lower("text"), LATIN, JAPANESE).alias("text"), "lang"
     )
 
@@ -205,7 +210,7 @@ def japanese_docs(spark: SparkSession, sf: str) -> DataFrame:
 def wide_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a part of the alphabet in full width."""
     wide = "".join(chr(ord(c) + 0xFEE0) for c in "aeinstAEINST0123456789")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", F.translate("text", "aeinstAEINST0123456789", wide).alias("text"), "lang"
     )
 

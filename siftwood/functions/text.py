@@ -42,7 +42,9 @@ ENTITIES = [
     ("&amp;", "&"),
 ]
 
-CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
+# A letter or digit of a script written without spaces. The range comes first:
+# it settles Latin letters without a script lookup.
+CJK = r"[[\x{2E80}-\x{10FFFF}]&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]&&[\p{L}\p{N}]]"
 
 # Markdown rules as (pattern, replacement), applied in order. Block rules see
 # whole lines outside fences; inline rules see prose outside code spans.
@@ -104,12 +106,12 @@ def _inline_markdown(text: Column) -> Column:
 
 def _block_markdown(text: Column) -> Column:
     # d: only \n ends a line; m: anchors work per line.
-    lines = F.split(_apply(text, MARKDOWN_BLOCK_RULES, "(?dm)"), "\n")
+    text = _apply(text, MARKDOWN_BLOCK_RULES, "(?dm)")
     cells = F.transform(
-        lines,
+        F.split(text, "\n"),
         lambda s: F.when(s.rlike(TABLE_LINE), F.trim(F.regexp_replace(s, r"[ \t]*\|[ \t]*", " "))).otherwise(s),
     )
-    return _inline_markdown(F.array_join(cells, "\n"))
+    return _inline_markdown(F.when(text.contains("|"), F.array_join(cells, "\n")).otherwise(text))
 
 
 def markdown_text(col: Column) -> Column:
@@ -128,14 +130,13 @@ def tokenize(col: Column) -> Column:
     return F.array_remove(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), "")
 
 
-def cjk_bigrams(tokens: Column) -> Column:
-    """Split unspaced Han and Kana runs of each token into overlapping pairs."""
-    runs = F.flatten(
-        F.transform(tokens, lambda t: F.regexp_extract_all(t, F.lit(f"[{CJK}]+|[^{CJK}]+"), F.lit(0)))
-    )
-    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    split = lambda r: F.when(r.rlike(f"^[{CJK}]") & (F.length(r) > 1), pairs(r)).otherwise(F.array(r))
-    return F.flatten(F.transform(runs, split))
+def cjk_bigrams(col: Column) -> Column:
+    """Terms of text that may be unspaced: runs of Han and Kana become
+    overlapping pairs, a lone letter stays, all else is split as usual."""
+    # One pass writes each letter and its successor as a separate word; the
+    # last letter of a run is part of the pair before it.
+    pairs = F.regexp_replace(col, f"({CJK})(?=({CJK}))|(?<={CJK}){CJK}|({CJK})", " $1$2$3 ")
+    return tokenize(pairs)
 
 
 def stop_filter(tokens: Column, lang: Column | None = None, stopwords: dict | None = None) -> Column:
@@ -145,11 +146,12 @@ def stop_filter(tokens: Column, lang: Column | None = None, stopwords: dict | No
     if lang is None:
         words = sorted({w for ws in stopwords.values() for w in ws})
         return F.filter(tokens, lambda t: ~t.isin(words))
-    known = list(stopwords)
-    is_stop = lambda t: reduce(
-        lambda a, b: a | b, [(lang == code) & t.isin(list(stopwords[code])) for code in known]
-    )
-    return F.filter(tokens, lambda t: ~F.coalesce(is_stop(t), F.lit(False)))
+    without = lambda words: F.filter(tokens, lambda t: ~t.isin(words))
+    by_lang = None
+    for code, words in stopwords.items():
+        kept = without(words)
+        by_lang = F.when(lang == code, kept) if by_lang is None else by_lang.when(lang == code, kept)
+    return tokens if by_lang is None else by_lang.otherwise(tokens)
 
 
 def base_forms(tokens: Column, lemmas: Column) -> Column:
@@ -159,10 +161,9 @@ def base_forms(tokens: Column, lemmas: Column) -> Column:
 
 def normalize_terms(tokens: Column) -> Column:
     """Half-width, lower-case, unaccented forms."""
-    return F.transform(
-        tokens,
-        lambda t: F.translate(F.lower(F.translate(t, FULL_WIDTH, HALF_WIDTH)), ACCENTED, UNACCENTED),
-    )
+    fold = lambda t: F.translate(F.lower(t), FULL_WIDTH + ACCENTED, HALF_WIDTH + UNACCENTED)
+    # ASCII terms, told by one byte per letter, have nothing to fold.
+    return F.transform(tokens, lambda t: F.when(F.octet_length(t) > F.length(t), fold(t)).otherwise(F.lower(t)))
 
 
 def analyze(
@@ -175,9 +176,7 @@ def analyze(
 
     Documents and queries must go through the same call.
     """
-    words = tokenize(col)
-    # Texts without CJK letters skip the per-token run splitting.
-    tokens = F.when(col.rlike(f"[{CJK}]"), cjk_bigrams(words)).otherwise(words)
+    tokens = F.when(col.rlike(CJK), cjk_bigrams(col)).otherwise(tokenize(col))
     if lemmas is not None:
         tokens = base_forms(tokens, lemmas)
     return normalize_terms(stop_filter(tokens, lang, stopwords))

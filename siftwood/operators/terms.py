@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwood.cluster import BROADCAST_ROWS
@@ -54,9 +55,10 @@ def query_terms(
     )
 
 
-def weigh_terms(index: Index, terms: DataFrame) -> DataFrame:
+def weigh_terms(index: Index, terms: DataFrame, operator: str = MATCH_ANY) -> DataFrame:
     """Attach idf and the field's mean length to query terms. Terms that no
-    document has drop out; ``n_terms`` still counts them."""
+    document has drop out; for "and" so does all the query asks of that field,
+    since nothing can match it, before any postings are read."""
     terms = terms.withColumn("tbucket", term_bucket(F.col("term"), index.term_buckets))
     small = terms.count() <= BROADCAST_ROWS
     wanted = F.broadcast(terms) if small else terms
@@ -68,6 +70,9 @@ def weigh_terms(index: Index, terms: DataFrame) -> DataFrame:
         .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         .select("tbucket", "field", "term", "qid", "n_terms", "qtf", "idf", "avg_len")
     )
+    if operator == MATCH_ALL:
+        known = F.count("*").over(W.partitionBy("qid", "field"))
+        weighed = weighed.withColumn("known", known).where(F.col("known") == F.col("n_terms")).drop("known")
     # At most one row per query term, so the count above bounds it too.
     return F.broadcast(weighed) if small else weighed
 
@@ -102,7 +107,7 @@ def _score_queries(index: Index, queries: DataFrame, fields: list[str] | None, o
     if operator not in (MATCH_ALL, MATCH_ANY):
         raise ValueError(f"operator must be {MATCH_ALL!r} or {MATCH_ANY!r}")
     text, keyword = index.split_fields(fields)
-    weighed = weigh_terms(index, query_terms(queries, text, keyword, index.analyzer))
+    weighed = weigh_terms(index, query_terms(queries, text, keyword, index.analyzer), operator)
     return _field_scores(index, weighed, text + keyword), text + keyword
 
 

@@ -12,11 +12,28 @@ from siftwood.index import ANALYZERS, Index
 from siftwood.mapping import Mapping
 from siftwood.operators import index as ops
 from siftwood.operators.projections import index_fields
-from siftwood.sinks.index_store import Layout, new_version, open_build, open_index, switch_alias, write_build
+from siftwood.sinks.index_store import (
+    Layout,
+    build_folder,
+    count_tables,
+    new_version,
+    open_index,
+    seal_build,
+    switch_alias,
+    write_tables,
+)
+
+# Documents per bucket that keep a bucket's postings near a few hundred MB.
+DOCS_PER_BUCKET = 250_000
 
 TABLES = ("docs", "postings", "dfs", "lengths", "stats", "vectors")
 
 
+def buckets_for(spark: SparkSession, expected_docs: int) -> int:
+    """Document buckets for a corpus of this size: the search parallelism."""
+    return max(spark.sparkContext.defaultParallelism, -(-expected_docs // DOCS_PER_BUCKET))
+
+
 def attach_vectors(docs: DataFrame, vecs: DataFrame, key: str = "docid", vec_key: str = "doc_id") -> DataFrame:
     """Pair documents with their vectors; ``vec`` is null where there is none."""
     return docs.drop("vec").join(vecs.select(F.col(vec_key).cast("string").alias(key), "vec"), key, "left")
@@ -35,22 +52,31 @@ def build_index(
 ) -> dict[str, int]:
     """Write every table of an index, then publish it once. Returns row counts.
 
-    ``doc_buckets`` is the search parallelism (default: the shuffle width);
-    with ``term_buckets`` it sets the file count, so choose both so that
-    postings files stay near 128 MB or more.
+    ``doc_buckets`` is the search parallelism (see ``buckets_for``; default: the
+    shuffle width). With ``term_buckets`` it sets the number of postings files,
+    so choose both so that files stay near 128 MB or more.
     """
     buckets = doc_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     version = new_version() if version is None else version
     key, vector = mapping.key, mapping.vector_field
-    by_doc = lambda column, sort=(): Layout(None, column, list(sort), buckets)
-    write = lambda tables, layouts: open_build(
-        spark, write_build(spark, root, alias, tables, version, layouts)
-    )
+    folder = build_folder(root, alias, version)
+    by_doc = lambda column: Layout(None, column, [column], buckets)
+    layouts = {
+        "docs": by_doc(key),
+        "vectors": by_doc("doc_id"),
+        "postings": Layout("tbucket", "doc_id", ["field", "term"], buckets),
+        "dfs": Layout("tbucket"),
+    }
+    tables: dict[str, DataFrame] = {}
+
+    def write(**new: DataFrame) -> None:
+        tables.update(write_tables(folder, new, layouts))
 
     # 1. The records, written once in their final partitioning: the only
     #    shuffle of texts, and the only run of cleaning and encoding.
     records = index_fields(df, mapping).repartition(buckets, key)
-    docs = write({"docs": records}, {"docs": by_doc(key, [key])})["docs"]
+    write(docs=records)
+    docs = tables["docs"]
 
     # 2. Vectors and postings stay in that partitioning, without a shuffle.
     vec = unit_vector(F.col(vector) if vector else F.lit(None).cast("array<float>"))
@@ -58,21 +84,14 @@ def build_index(
     postings = ops.postings(
         docs, mapping.text_fields, key, ANALYZERS[analyzer], mapping.keyword_fields, spread=False, with_length=True
     ).withColumn("tbucket", ops.term_bucket(F.col("term"), term_buckets))
-    postings = write(
-        {"vectors": vectors.where(F.col("vec").isNotNull()), "postings": postings},
-        {
-            "vectors": by_doc("doc_id", ["doc_id"]),
-            "postings": Layout("tbucket", "doc_id", ["field", "term"], buckets),
-        },
-    )["postings"]
+    write(vectors=vectors.where(F.col("vec").isNotNull()), postings=postings)
 
     # 3. Statistics read the written postings, so texts are analysed once. A
     #    term bucket too large for one writer is split by adaptive execution.
+    postings = tables["postings"]
     dfs = ops.doc_freqs(postings).withColumn("tbucket", ops.term_bucket(F.col("term"), term_buckets))
-    tables = write(
-        {"dfs": dfs.hint("rebalance", F.col("tbucket")), "lengths": ops.doc_lengths(postings)},
-        {"dfs": Layout("tbucket")},
-    )
+    write(dfs=dfs.hint("rebalance", F.col("tbucket")), lengths=ops.doc_lengths(postings))
+    write(stats=ops.field_stats(tables["lengths"]))
     settings = {
         "fields": mapping.fields,
         "dims": mapping.dims,
@@ -81,10 +100,10 @@ def build_index(
         "doc_buckets": buckets,
         "analyzer": analyzer,
     }
-    meta = spark.createDataFrame([(json.dumps(settings),)], "settings string").coalesce(1)
-    tables = write({"stats": ops.field_stats(tables["lengths"]), "meta": meta}, {})
+    write(meta=spark.range(1, numPartitions=1).select(F.lit(json.dumps(settings)).alias("settings")))
+    seal_build(spark, folder, tables, layouts)
     switch_alias(spark, root, alias, version)
-    return {name: tables[name].count() for name in TABLES}
+    return count_tables({name: tables[name] for name in TABLES})
 
 
 def load_index(spark: SparkSession, root: str, alias: str) -> Index | None:

@@ -15,7 +15,8 @@ import json
 import re
 import time
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 ALIAS_SCHEMA = "alias string, index_name string, version bigint"
-_LAYOUT_SCHEMA = "name string, schema string, partition_by string, bucket_by string, sort_by array<string>, buckets int"
+_LAYOUT_SCHEMA = "layout string"
 
 
 @dataclass(frozen=True)
@@ -64,31 +65,44 @@ def write_table(df: DataFrame, path: str, layout: Layout) -> None:
     df.sparkSession.sql(f"DROP TABLE {name}")
 
 
-def write_build(
-    spark: SparkSession,
-    root: str,
-    alias: str,
-    tables: dict[str, DataFrame],
-    version: int,
-    layouts: dict[str, Layout] | None = None,
-) -> str:
-    """Write the tables of a build without publishing it; returns its folder."""
-    layouts = layouts or {}
-    folder = f"{root}/{index_name(alias, version)}"
+def build_folder(root: str, alias: str, version: int) -> str:
+    return f"{root}/{index_name(alias, version)}"
+
+
+def _one_row(spark: SparkSession, **values) -> DataFrame:
+    return spark.range(1, numPartitions=1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+
+
+def write_tables(folder: str, tables: dict[str, DataFrame], layouts: dict[str, Layout]) -> dict[str, DataFrame]:
+    """Write tables of a build and return them as read from there."""
+    written = {}
     for name, df in tables.items():
-        write_table(df, f"{folder}/{name}", layouts.get(name, Layout()))
-    rows = [
-        (name, json.dumps(df.schema.jsonValue()), lay.partition_by, lay.bucket_by, lay.sort_by, lay.buckets)
-        for name, df in tables.items()
-        for lay in [layouts.get(name, Layout())]
-    ]
-    spark.createDataFrame(rows, _LAYOUT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/_layout")
-    return folder
+        layout = layouts.get(name, Layout())
+        write_table(df, f"{folder}/{name}", layout)
+        written[name] = _read_table(df.sparkSession, folder, name, layout, df.schema)
+    return written
+
+
+def seal_build(spark: SparkSession, folder: str, tables: dict[str, DataFrame], layouts: dict[str, Layout]) -> None:
+    """Note schema and layout of every table of a build beside them."""
+    notes = {
+        name: {"schema": df.schema.jsonValue(), **asdict(layouts.get(name, Layout()))} for name, df in tables.items()
+    }
+    _one_row(spark, layout=json.dumps(notes)).write.parquet(f"{folder}/_layout")
 
 
 def switch_alias(spark: SparkSession, root: str, alias: str, version: int) -> None:
-    row = [(alias, index_name(alias, version), version)]
-    spark.createDataFrame(row, ALIAS_SCHEMA).coalesce(1).write.mode("append").parquet(_alias_log(root))
+    row = _one_row(spark, alias=alias, index_name=index_name(alias, version)).withColumn(
+        "version", F.lit(version).cast("bigint")
+    )
+    row.write.mode("append").parquet(_alias_log(root))
+
+
+def count_tables(tables: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows of each table, in one job."""
+    counts = [df.select(F.lit(name).alias("name")).groupBy("name").count() for name, df in tables.items()]
+    found = {row["name"]: row["count"] for row in reduce(DataFrame.unionAll, counts).collect()}
+    return {name: found.get(name, 0) for name in tables}
 
 
 def publish_index(
@@ -101,9 +115,11 @@ def publish_index(
 ) -> dict[str, int]:
     """Write a build, repoint the alias, return the rows written per table."""
     version = new_version() if version is None else version
-    folder = write_build(spark, root, alias, tables, version, layouts)
+    folder = build_folder(root, alias, version)
+    written = write_tables(folder, tables, layouts or {})
+    seal_build(spark, folder, written, layouts or {})
     switch_alias(spark, root, alias, version)
-    return {name: spark.read.parquet(f"{folder}/{name}").count() for name in tables}
+    return count_tables(written)
 
 
 def latest_index(log: DataFrame, alias: str) -> str | None:
@@ -112,15 +128,21 @@ def latest_index(log: DataFrame, alias: str) -> str | None:
     return row["name"] if row else None
 
 
-def _declare(spark: SparkSession, table: str, path: str, lay, schema: T.StructType) -> DataFrame:
-    """Catalog entry for a bucketed table, so that scans know its layout."""
+def _read_table(spark: SparkSession, folder: str, name: str, layout: Layout, schema: T.StructType) -> DataFrame:
+    path = f"{folder}/{name}"
+    if not layout.bucket_by:
+        return spark.read.schema(schema).parquet(path)
+    # A catalog entry tells scans about the buckets. The folder's hash keeps
+    # equal names under different roots apart.
+    label = re.sub(r"\W", "_", f"{folder.rsplit('/', 1)[-1]}_{name}")
+    table = f"siftwood_{label}_{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex[:12]}"
     if not spark.catalog.tableExists(table):
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        parts = f"PARTITIONED BY (`{lay['partition_by']}`)" if lay["partition_by"] else ""
-        sort = f"SORTED BY ({', '.join(lay['sort_by'])})" if lay["sort_by"] else ""
+        parts = f"PARTITIONED BY (`{layout.partition_by}`)" if layout.partition_by else ""
+        sort = f"SORTED BY ({', '.join(layout.sort_by)})" if layout.sort_by else ""
         spark.sql(
             f"CREATE TABLE {table} ({columns}) USING parquet {parts} "
-            f"CLUSTERED BY (`{lay['bucket_by']}`) {sort} INTO {lay['buckets']} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (`{layout.bucket_by}`) {sort} INTO {layout.buckets} BUCKETS LOCATION '{path}'"
         )
         if parts:
             spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
@@ -129,18 +151,11 @@ def _declare(spark: SparkSession, table: str, path: str, lay, schema: T.StructTy
 
 def open_build(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of one build."""
+    row = spark.read.schema(_LAYOUT_SCHEMA).parquet(f"{folder}/_layout").first()
     tables = {}
-    # One row per table of the build.
-    for lay in spark.read.schema(_LAYOUT_SCHEMA).parquet(f"{folder}/_layout").collect():
-        path = f"{folder}/{lay['name']}"
-        schema = T.StructType.fromJson(json.loads(lay["schema"]))
-        if lay["bucket_by"]:
-            label = re.sub(r"\W", "_", f"{folder.rsplit('/', 1)[-1]}_{lay['name']}")
-            # The folder's hash keeps equal names under different roots apart.
-            table = f"siftwood_{label}_{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex[:12]}"
-            tables[lay["name"]] = _declare(spark, table, path, lay, schema)
-        else:
-            tables[lay["name"]] = spark.read.schema(schema).parquet(path)
+    for name, note in json.loads(row["layout"]).items():
+        schema = T.StructType.fromJson(note.pop("schema"))
+        tables[name] = _read_table(spark, folder, name, Layout(**note), schema)
     return tables
 
 
