@@ -26,8 +26,10 @@ def tok(col: str) -> str:
 
 
 def norm(tokens: str) -> str:
-    wide = f"translate(t, {lit(text.FULL_WIDTH)}, {lit(text.HALF_WIDTH)})"
-    return f"list_transform({tokens}, lambda t: translate(lower({wide}), {lit(text.ACCENTED)}, {lit(text.UNACCENTED)}))"
+    # Letter by letter, so a whole list can be folded as one text.
+    wide = f"translate(array_to_string({tokens}, ' '), {lit(text.FULL_WIDTH)}, {lit(text.HALF_WIDTH)})"
+    folded = f"translate(lower({wide}), {lit(text.ACCENTED)}, {lit(text.UNACCENTED)})"
+    return f"list_filter(string_split({folded}, ' '), lambda t: t <> '')"
 
 
 def stop(tokens: str, lang: str | None) -> str:

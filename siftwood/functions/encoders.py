@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwood.functions.text import tokenize
 from siftwood.functions.vectors import unit_vector
@@ -62,7 +63,7 @@ def model_encoder(make_predict: Callable, batch_size: int = 16) -> Encoder:
     returns a function from an array of texts to a matrix."""
     from pyspark.ml.functions import predict_batch_udf
 
-    predict = predict_batch_udf(make_predict, return_type="array<float>", batch_size=batch_size)
+    predict = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
 
     def encode_rows(df: DataFrame, key: str, text: Column) -> DataFrame:
         return df.select(key, predict(text).alias("vec"))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of equal-width lists as a double matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0))
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
@@ -120,7 +123,7 @@ def _with_packed_queries(vectors: DataFrame, queries: DataFrame, k: int) -> Data
     blocks = (
         queries.select("qid", "vec")
         .mapInArrow(pack, "ids array<bigint>, matrix binary")
-        .withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).cast("bigint"))
+        .withColumn("lane", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint"))))
     )
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +189,15 @@ def pair_scores(vectors: DataFrame, queries: DataFrame, pairs: DataFrame) -> Dat
 # --- inverted-file cells ----------------------------------------------------
 
 
-def train_cells(vectors: DataFrame, cells: int, seed: int = 1, max_iter: int = 10) -> np.ndarray:
-    """Centres of ``cells`` clusters: the only data that reaches the driver."""
+def train_cells(
+    vectors: DataFrame, cells: int, seed: int = 1, max_iter: int = 10, fraction: float = 1.0
+) -> np.ndarray:
+    """Centres of ``cells`` clusters: the only data that reaches the driver.
+
+    Centres may be learnt from a ``fraction`` of a very large table; every
+    vector is still assigned to a cell.
+    """
+    vectors = vectors if fraction >= 1 else vectors.sample(fraction, seed)
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -203,8 +213,6 @@ def assign_cells(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     @F.pandas_udf("int")
     def nearest(vec):
         points = np.stack(vec.to_numpy()).astype(np.float64)
-        import pandas as pd
-
         return pd.Series((points @ centres.T - half_norms).argmax(axis=1).astype(np.int32))
 
     return vectors.where(F.col("vec").isNotNull()).withColumns(

@@ -88,6 +88,12 @@ def index_fields(df: DataFrame, mapping: Mapping) -> DataFrame:
     return df.select([_column(df, f, mapping.spark_type(f)).alias(f) for f in mapping.fields])
 
 
+def required(df: DataFrame, column: str) -> DataFrame:
+    """``df``, failing the job at the first row without ``column``."""
+    value = F.col(column)
+    return df.withColumn(column, _checked(value, value.isNull(), f"{column} is required"))
+
+
 def strip_markdown(df: DataFrame, fields: list[str] = ["text"], keep_raw: bool = True) -> DataFrame:
     """Markdown to plain text per field; ``field_raw`` keeps the source."""
     raw = {f"{f}_raw": F.col(f) for f in fields} if keep_raw else {}

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwood.cluster import broadcast_if_small
+from siftwood.cluster import broadcast_if_small, materialise
 from siftwood.operators.numbering import rank_deep
 
 # Up to this depth Spark cuts each group before the shuffle (its default
 # window group limit threshold); deeper ranks are numbered by range.
 WINDOW_DEPTH = 1000
 
+# Up to this many documents a page lookup names its keys in a filter.
+PRUNED_DOCS = 500
+
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """Best ``k`` hits per ``qid`` by score, ties to the smaller ``doc_id``."""
@@ -39,9 +42,16 @@ def total_hits(matches: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def select_source(hits: DataFrame, docs: DataFrame, fields: list[str], key: str = "docid") -> DataFrame:
-    """Attach the named document fields to hits. Hits are already cut to pages,
-    so the document scan meets a small side; ``docs`` is read for these columns only."""
+    """Attach the named document fields to hits that are already cut to pages.
+
+    ``docs`` is read for these columns only. A few hits are also named in a
+    filter, which prunes buckets and row groups of the document table.
+    """
+    hits = materialise(hits.select("qid", "rank", "doc_id", "score"), "hits")
     wanted = docs.select(F.col(key).alias("doc_id"), *[F.col(f) for f in fields])
+    named = [r["doc_id"] for r in hits.select("doc_id").distinct().limit(PRUNED_DOCS + 1).collect()]
+    if len(named) <= PRUNED_DOCS:
+        wanted = wanted.where(F.col("doc_id").isin(named))
     return wanted.join(broadcast_if_small(hits), "doc_id").select("qid", "rank", "doc_id", "score", *fields)
 
 

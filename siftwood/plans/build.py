@@ -11,7 +11,7 @@ from siftwood.functions.vectors import unit_vector
 from siftwood.index import ANALYZERS, Index
 from siftwood.mapping import Mapping
 from siftwood.operators import index as ops
-from siftwood.operators.projections import index_fields
+from siftwood.operators.projections import index_fields, required
 from siftwood.sinks.index_store import (
     Layout,
     build_folder,
@@ -74,7 +74,7 @@ def build_index(
 
     # 1. The records, written once in their final partitioning: the only
     #    shuffle of texts, and the only run of cleaning and encoding.
-    records = index_fields(df, mapping).repartition(buckets, key)
+    records = required(index_fields(df, mapping), key).repartition(buckets, key)
     write(docs=records)
     docs = tables["docs"]
 
