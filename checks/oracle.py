@@ -343,6 +343,8 @@ JOIN (SELECT qid, count(*) AS total FROM enc_scores GROUP BY 1) t USING (qid)
 LEFT JOIN (SELECT x.*, {RANK} FROM enc_scores x) h ON h.qid = a.qid AND h.rank > 3 AND h.rank <= 12""",
         "hybrid_search": paged("hybrid_scores", "0", "12"),
         "batch_search": paged("batch_scores", "r.from_", "r.from_ + r.size"),
+        "assemble_results": f"""SELECT r.qid, r.query, p.total, coalesce(string_agg(rank || ':' || doc_id, ' ' ORDER BY rank), '') AS hits
+FROM requests r JOIN ({paged("batch_scores", "r.from_", "r.from_ + r.size")}) p USING (qid) GROUP BY ALL""",
         "check_requests": """SELECT qid, reason FROM (SELECT qid, CASE
   WHEN topk <> 7 AND size = 5 AND NOT hybrid THEN 'neither vector nor fields'
   WHEN topk = 7 THEN 'vector width'

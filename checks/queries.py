@@ -53,7 +53,7 @@ def term_list(df: DataFrame, tokens: Column) -> DataFrame:
     )
 
 
-_roots: dict[tuple, str] = {}
+_indexes: dict[tuple, Index] = {}
 
 
 def _build(spark, sf, docs: DataFrame, root: str, alias: str, analyzer: str = "terms") -> dict[str, int]:
@@ -62,13 +62,14 @@ def _build(spark, sf, docs: DataFrame, root: str, alias: str, analyzer: str = "t
 
 
 def _index(spark: SparkSession, sf: str, alias: str, make: Callable[[str], object]) -> Index:
-    """Searches read a published index; it is built once per session and input."""
+    """Searches read a published index; it is built and opened once per session
+    and input."""
     key = (spark.sparkContext.applicationId, sf, alias)
-    if key not in _roots:
+    if key not in _indexes:
         root = scratch_path(spark, f"index-{alias}")
         make(root)
-        _roots[key] = root
-    return build.load_index(spark, _roots[key], alias)
+        _indexes[key] = build.load_index(spark, root, alias)
+    return _indexes[key]
 
 
 def posts_index(spark: SparkSession, sf: str) -> Index:
@@ -514,7 +515,10 @@ def check_requests(spark, sf):
 def assemble_results(spark, sf):
     asked = fx.requests(spark, sf)
     found = search.batch_search(posts_index(spark, sf), asked)
-    return ranking.assemble_results(found.hits, found.totals, asked)
+    nested = ranking.assemble_results(found.hits, found.totals, asked)
+    # One text per request: an array of structs has no common form to compare.
+    hit = lambda h: F.concat_ws(":", h["rank"], h["doc_id"])
+    return nested.withColumn("hits", F.array_join(F.transform("hits", hit), " "))
 
 
 # --- streaming --------------------------------------------------------------

@@ -7,12 +7,14 @@ so at most k x queries x tasks rows are shuffled and no pair table exists.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from siftwood.cluster import BROADCAST_VECTOR_BYTES, broadcast_if_small, materia
 from siftwood.functions.vectors import dot, neighbour_score, quantize
 from siftwood.operators.ranking import top_k
 
+# The kernels travel with their tasks, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _HITS = "qid bigint, doc_id string, score double"
 _BLOCK = 1024  # queries per packed block
 

@@ -127,11 +127,11 @@ def batch_search(
     """Run every request with its own depth, page, fields and kind."""
     if term_boost < 0 or vector_boost < 0:
         raise ValueError("boosts must not be negative")
+    requests = materialise(with_defaults(requests), "requests")
     bad = check_requests(requests, index.mapping).limit(5).collect()
     if bad:
         raise ValueError("bad requests: " + ", ".join(f"{b['qid']}: {b['reason']}" for b in bad))
-    requests = with_defaults(requests).withColumn("vec", unit_vector(F.col("vec")).cast("array<float>"))
-    requests = materialise(requests, "requests")
+    requests = requests.withColumn("vec", unit_vector(F.col("vec")).cast("array<float>"))
     # A hybrid request that names no fields is a plain vector request.
     dense_only = ~F.col("hybrid") | F.coalesce(F.size("search_fields") == 0, F.lit(False))
     bounds = requests.select(
