@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,9 @@ from siftwood.operators.ranking import top_k
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _HITS = "qid bigint, doc_id string, score double"
-_BLOCK = 1024  # queries per packed block
+_BLOCK = 1024  # vectors per packed block
+_PRODUCT = 4 << 20  # scores held at once by a task
+_KEPT_ROWS = 4_000_000  # rows a task may keep between batches
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -55,24 +56,42 @@ class _Best:
         self.floor = np.full(queries, -np.inf)  # k-th best score per query
         self.rows = (np.zeros(0, np.int64), np.zeros(0, "U1"), np.zeros(0))
 
-    def add(self, at: np.ndarray, scores: np.ndarray, docs: np.ndarray) -> None:
-        """Scores of queries at positions ``at`` against ``docs``."""
-        floor = self.floor[at]
-        n = scores.shape[1]
+    def add(self, at: np.ndarray, queries: np.ndarray, docs: np.ndarray, ids: np.ndarray) -> None:
+        """Multiply queries at positions ``at`` with a batch of documents."""
+        order = np.argsort(ids)
+        docs, ids = docs[order].T, ids[order]
+        step = max(1, _PRODUCT // max(1, len(ids)))
+        found = [self._candidates(at[i : i + step], queries[i : i + step] @ docs, ids) for i in range(0, len(at), step)]
+        if found:
+            self._merge(*(np.concatenate(column) for column in zip(*found)))
+
+    def _candidates(self, at: np.ndarray, dots: np.ndarray, ids: np.ndarray):
+        """At most k rows per query. Documents come in order of their ids, so of
+        equal scores the first ones count, however many copies there are."""
+        scores = np.round((1.0 + dots) / 2.0, 6)
+        floor, n = self.floor[at], scores.shape[1]
         if n > self.k:
             floor = np.maximum(floor, np.partition(scores, n - self.k, axis=1)[:, n - self.k])
-        # Equal scores stay in until documents decide the tie.
-        q, d = np.nonzero(scores >= floor[:, None])
-        if not len(q):
+        above, level = scores > floor[:, None], scores == floor[:, None]
+        room = self.k - above.sum(axis=1, keepdims=True)
+        q, d = np.nonzero(above | (level & (np.cumsum(level, axis=1) <= room)))
+        return at[q], ids[d], scores[q, d]
+
+    def _merge(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        if not len(at):
             return
-        fresh = (at[q], docs[d], scores[q, d])
-        rows = [np.concatenate(pair) for pair in zip(self.rows, fresh)]
+        # Only queries with new rows are ranked again.
+        touched = np.zeros(len(self.floor), bool)
+        touched[at] = True
+        again = touched[self.rows[0]]
+        rows = [np.concatenate((old[again], new)) for old, new in zip(self.rows, (at, ids, scores))]
         keep = _best(*rows, self.k)
-        self.rows = tuple(column[keep] for column in rows)
+        rows = [column[keep] for column in rows]
         # Rows are grouped by query, best first: the k-th row is the floor.
-        found, starts, counts = np.unique(self.rows[0], return_index=True, return_counts=True)
-        full = counts == self.k
-        self.floor[found[full]] = self.rows[2][starts[full] + self.k - 1]
+        query, start, count = np.unique(rows[0], return_index=True, return_counts=True)
+        full = count == self.k
+        self.floor[query[full]] = rows[2][start[full] + self.k - 1]
+        self.rows = tuple(np.concatenate((old[~again], new)) for old, new in zip(self.rows, rows))
 
     def batch(self, qids: np.ndarray) -> pa.RecordBatch:
         at, docs, scores = self.rows
@@ -82,10 +101,6 @@ class _Best:
         )
 
 
-def _scores(queries: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    return np.round((1.0 + queries @ docs.T) / 2.0, 6)
-
-
 def _ids(column) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=str)
 
@@ -97,7 +112,7 @@ def _scan_with(qids: np.ndarray, queries: np.ndarray, k: int):
         best, every = _Best(len(qids), k), np.arange(len(qids))
         for batch in batches:
             if batch.num_rows:
-                best.add(every, _scores(queries, _matrix(batch.column("vec"))), _ids(batch.column("doc_id")))
+                best.add(every, queries, _matrix(batch.column("vec")), _ids(batch.column("doc_id")))
         yield best.batch(qids)
 
     return scan
@@ -138,18 +153,21 @@ def _with_packed_queries(vectors: DataFrame, queries: DataFrame, k: int) -> Data
                 left = np.frombuffer(row["matrix"], np.float32).astype(np.float64).reshape(len(qids), -1)
                 right = np.frombuffer(row["doc_matrix"], np.float32).astype(np.float64).reshape(len(ids), -1)
                 best = _Best(len(qids), k)
-                best.add(np.arange(len(qids)), _scores(left, right), ids)
+                best.add(np.arange(len(qids)), left, right, ids)
                 yield best.batch(qids)
 
     pairs = docs.join(blocks, "lane").select("doc_ids", "doc_matrix", "ids", "matrix")
     return pairs.mapInArrow(multiply, _HITS)
 
 
-def _collect_queries(queries: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Query ids and matrix, or None if they exceed ``limit`` bytes."""
-    size = queries.agg(F.sum(F.size("vec")).alias("n")).first()["n"] or 0
-    if size * 8 > limit:
-        return None
+def _fits(queries: DataFrame, k: int, limit: int) -> bool:
+    """Whether the query matrix and the hits a task keeps for it are small."""
+    row = queries.agg(F.count("*").alias("n"), F.sum(F.size("vec")).alias("values")).first()
+    return row["n"] <= 1 or (row["values"] * 8 <= limit and row["n"] * k <= _KEPT_ROWS)
+
+
+def _collect_queries(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Query ids and matrix; the caller has checked the size."""
     table = queries.select("qid", "vec").toArrow()
     return table.column("qid").to_numpy().astype(np.int64), _matrix(table.column("vec"))
 
@@ -170,9 +188,9 @@ def knn(
     queries = queries.where(F.col("vec").isNotNull()).select("qid", "vec")
     if filter is not None:
         return top_k(pair_scores(vectors, queries, filter), k)
-    packed = _collect_queries(queries, max_query_bytes)
-    if packed is None:
+    if not _fits(queries, k, max_query_bytes):
         return top_k(_with_packed_queries(vectors, queries, k), k)
+    packed = _collect_queries(queries)
     if not len(packed[0]):
         return top_k(vectors.sparkSession.createDataFrame([], _HITS), k)
     return top_k(vectors.mapInArrow(_scan_with(*packed, k), _HITS), k)
@@ -232,6 +250,7 @@ def knn_approx(
     k: int,
     nprobe: int = 12,
     max_query_bytes: int = BROADCAST_VECTOR_BYTES,
+    splits: int = 0,
 ) -> DataFrame:
     """(qid, doc_id, score, rank) from the ``nprobe`` nearest cells of each query.
 
@@ -239,13 +258,15 @@ def knn_approx(
     vectors and keeps 2k candidates per query; only these are scored exactly.
     """
     queries = queries.where(F.col("vec").isNotNull()).select("qid", "vec")
-    size = (queries.agg(F.sum(F.size("vec")).alias("n")).first()["n"] or 0) * 8
-    if size > max_query_bytes:  # one scan per part of the queries that fits
-        parts = int(size // max_query_bytes) + 1
-        part = F.pmod(F.xxhash64("qid"), F.lit(parts))
-        found = [knn_approx(celled, queries.where(part == i), centres, k, nprobe, size) for i in range(parts)]
-        return reduce(DataFrame.unionByName, found)
-    packed = _collect_queries(queries, size)
+    budget = 2 * k
+    if not _fits(queries, budget, max_query_bytes):
+        # Halve until a part fits: each is one scan of its cells.
+        part = F.pmod(F.xxhash64("qid", F.lit(splits)), F.lit(2))
+        halves = [
+            knn_approx(celled, queries.where(part == i), centres, k, nprobe, max_query_bytes, splits + 1) for i in (0, 1)
+        ]
+        return halves[0].unionByName(halves[1])
+    packed = _collect_queries(queries)
     qids, matrix = packed
     if not len(qids):
         return top_k(celled.sparkSession.createDataFrame([], _HITS), k)
@@ -253,7 +274,6 @@ def knn_approx(
     probed = np.argsort(-closeness, axis=1)[:, :nprobe]
     probes = {int(c): np.flatnonzero((probed == c).any(axis=1)) for c in np.unique(probed)}
     coarse = np.round(matrix * 127) / 127
-    budget = 2 * k
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(len(qids), budget)
@@ -263,7 +283,7 @@ def knn_approx(
             cells, ids, docs = batch.column("cell").to_numpy(), _ids(batch.column("doc_id")), _matrix(batch.column("vec8"))
             for cell in np.unique(cells):
                 here, asked = cells == cell, probes[int(cell)]
-                best.add(asked, _scores(coarse[asked], docs[here] / 127), ids[here])
+                best.add(asked, coarse[asked], docs[here] / 127, ids[here])
         yield best.batch(qids)
 
     near = celled.where(F.col("cell").isin(list(probes))).select("cell", "doc_id", "vec8")

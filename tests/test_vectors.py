@@ -116,3 +116,15 @@ def test_model_encoder_runs_a_batch_model(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "abc")], "id int, t string")
     vecs = encoders.encode(df, "id", F.col("t"), encoders.model_encoder(make_predict)).collect()
     assert {r["id"]: r["vec"] for r in vecs} == {1: [2.0, 1.0], 2: [3.0, 1.0]}
+
+
+def test_many_equal_scores_in_small_blocks(spark, monkeypatch):
+    # Products in blocks of a few scores, several batches per task, most rows equal.
+    monkeypatch.setattr(nb, "_PRODUCT", 64)
+    df, points = vectors(spark, 200, copies=150)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = as_set(nb.knn(df.repartition(3), as_queries(df), 6))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(points, points, 6)
