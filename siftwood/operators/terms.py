@@ -1,8 +1,8 @@
 """Term matching and BM25 over a published index.
 
-The query side is small and broadcast after a size check. Postings are read
-only in the term buckets the queries touch (dynamic partition pruning) and are
-bucketed by document, so the score of a document is summed without a shuffle.
+The query side is written once and broadcast after a size check. Postings are
+read only in the term buckets the queries touch and are bucketed by document,
+so the score of a document is summed without a shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwood.cluster import BROADCAST_ROWS
+from siftwood.cluster import BROADCAST_ROWS, materialise
 from siftwood.functions.text import tokenize
 from siftwood.index import Analyzer, Index
 from siftwood.operators.index import term_bucket
@@ -59,7 +59,7 @@ def weigh_terms(index: Index, terms: DataFrame, operator: str = MATCH_ANY) -> Da
     """Attach idf and the field's mean length to query terms. Terms that no
     document has drop out; for "and" so does all the query asks of that field,
     since nothing can match it, before any postings are read."""
-    terms = terms.withColumn("tbucket", term_bucket(F.col("term"), index.term_buckets))
+    terms = materialise(terms.withColumn("tbucket", term_bucket(F.col("term"), index.term_buckets)), "terms")
     small = terms.count() <= BROADCAST_ROWS
     wanted = F.broadcast(terms) if small else terms
     # One row per field of the mapping.
@@ -73,10 +73,18 @@ def weigh_terms(index: Index, terms: DataFrame, operator: str = MATCH_ANY) -> Da
     if operator == MATCH_ALL:
         known = F.count("*").over(W.partitionBy("qid", "field"))
         weighed = weighed.withColumn("known", known).where(F.col("known") == F.col("n_terms")).drop("known")
+    weighed = materialise(weighed, "weighed")
     # At most one row per query term, so the count above bounds it too.
     return F.broadcast(weighed) if small else weighed
 
 
+def _asked_postings(index: Index, weighed: DataFrame) -> DataFrame:
+    """Postings of the term buckets the queries touch; at most one number per
+    bucket of the index comes to the driver."""
+    touched = [r["tbucket"] for r in weighed.select("tbucket").distinct().collect()]
+    return index.postings.where(F.col("tbucket").isin(touched))
+
+
 def bm25_weight(tf: Column, dl: Column, avg_len: Column, idf: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_len))
 
@@ -84,7 +92,7 @@ def bm25_weight(tf: Column, dl: Column, avg_len: Column, idf: Column) -> Column:
 def _field_scores(index: Index, weighed: DataFrame, fields: list[str]) -> DataFrame:
     """Per (qid, doc_id) and field: distinct query terms found (``m_``) and asked
     for (``n_``), and the score (``s_``), in one aggregate keyed by the document."""
-    hit = index.postings.join(weighed, ["tbucket", "field", "term"])
+    hit = _asked_postings(index, weighed).join(weighed, ["tbucket", "field", "term"])
     weight = F.col("qtf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("avg_len"), F.col("idf"))
     columns = []
     for f in fields:
