@@ -180,6 +180,8 @@ def search(
 ) -> Results:
     """One setting for all of ``queries`` (qid, query, vec)."""
     index.split_fields(search_fields)
+    if "vec" in queries.columns:
+        check_vectors(queries)
     requests = _uniform(queries, topk=topk, from_=from_, size=size, hybrid=hybrid)
     fields = F.array(*map(F.lit, search_fields)) if search_fields else F.lit(None)
     if search_fields == []:
