@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.cluster import materialise
-from siftwood.llm import rules
+from siftwood.llm import jaccard, rules
 from siftwood.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,9 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     measured = materialise(rules.features(table(spark, sf, "documents")), "features")
     learned = rules.learn(measured, table(spark, sf, "labels"))
     return rules.judge(measured, learned).select("doc_id", *rules.COUNTS, "base_failed", "kept", "rule")
+
+
+@query
+def op7_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    linked = jaccard.linked_documents(table(spark, sf, "documents"))
+    return linked.select("doc_id", "n_shingles", "component_id")
