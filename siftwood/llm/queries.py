@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.cluster import materialise
-from siftwood.llm import jaccard, rules
+from siftwood.llm import jaccard, mixing, rules
 from siftwood.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,46 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 def op7_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     linked = jaccard.linked_documents(table(spark, sf, "documents"))
     return linked.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op3_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"))
+
+
+ORACLE_SQL["op3_mix_sources"] = r"""
+WITH sized AS (
+  SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    source IS NULL AS no_name, coalesce(source, '') AS name,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS hash
+  FROM documents
+), by_source AS (
+  SELECT no_name, name, sum(size)::BIGINT AS source_size,
+    ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY no_name, name) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  FROM sized GROUP BY no_name, name
+), level AS (
+  -- the level at which all targets sum to the budget, by the order in which sources fill up
+  SELECT (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER filled, 0))::DOUBLE
+    / sum(weight) OVER others AS level, (2.0 * source_size / weight)::DOUBLE AS full_at
+  FROM by_source
+  WINDOW filled AS (ORDER BY 2.0 * source_size / weight, no_name, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    others AS (ORDER BY 2.0 * source_size / weight, no_name, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), goals AS (
+  SELECT no_name, name, source_size,
+    least(2.0 * source_size, weight * (SELECT arg_min(level, full_at) FROM level WHERE level <= full_at)) AS target
+  FROM by_source
+), parts AS (
+  SELECT *, least(floor(target / greatest(source_size, 1)), 2)::BIGINT AS whole FROM goals
+), units AS (
+  SELECT no_name, name, hash, sum(size) AS words FROM sized WHERE size > 0 GROUP BY ALL
+), runs AS (
+  SELECT u.*, sum(words) OVER (PARTITION BY no_name, name ORDER BY hash) AS upto,
+    p.target - p.whole * p.source_size AS budget
+  FROM units u JOIN parts p USING (no_name, name)
+), picked AS (
+  SELECT no_name, name, hash FROM runs WHERE budget > 0 AND (upto <= budget OR budget - (upto - words) > upto - budget)
+)
+SELECT s.doc_id, s.size, p.source_size, p.target,
+  (s.size * (p.whole + CASE WHEN k.hash IS NULL THEN 0 ELSE 1 END))::BIGINT AS taken
+FROM sized s JOIN parts p USING (no_name, name) LEFT JOIN picked k ON s.no_name = k.no_name AND s.name = k.name AND s.hash = k.hash
+"""
