@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.cluster import materialise
-from siftwood.llm import jaccard, mixing, rules
+from siftwood.llm import jaccard, mixing, pii, rules
 from siftwood.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ SELECT s.doc_id, s.size, p.source_size, p.target,
   (s.size * (p.whole + CASE WHEN k.hash IS NULL THEN 0 ELSE 1 END))::BIGINT AS taken
 FROM sized s JOIN parts p USING (no_name, name) LEFT JOIN picked k ON s.no_name = k.no_name AND s.name = k.name AND s.hash = k.hash
 """
+
+
+@query
+def op9_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(table(spark, sf, "documents"))
