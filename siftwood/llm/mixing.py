@@ -109,7 +109,7 @@ def thresholds(sizes: DataFrame, budgets: DataFrame, n_sources: int) -> DataFram
             .agg(F.sum("size").alias("words"), F.min("hash").alias("first"), F.max("hash").alias("last"))
         )
         upto = F.sum("words").over(W.partitionBy(*KEY).orderBy("slot"))
-        sums = sums.withColumn("upto", upto).join(_small(found, n_sources), KEY).withColumn("upto", F.col("upto") + F.col("taken"))
+        sums = sums.withColumn("upto", upto).join(_small(found.select(*KEY, "budget", "taken"), n_sources), KEY).withColumn("upto", F.col("upto") + F.col("taken"))
         at = F.min(F.when(F.col("upto") > F.col("budget"), F.struct("slot", "upto", "words", "first", "last"))).alias("at")
         found = materialise(
             sums.groupBy(*KEY, "budget").agg(at, F.max("last").alias("end"), F.max("upto").alias("all")).select(
