@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.cluster import materialise
-from siftwood.llm import jaccard, mixing, pii, rules
+from siftwood.llm import bpe, jaccard, mixing, pii, rules
 from siftwood.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,16 @@ FROM sized s JOIN parts p USING (no_name, name) LEFT JOIN picked k ON s.no_name
 @query
 def op9_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digest(table(spark, sf, "documents"))
+
+
+def tokenizer_file() -> str:
+    """The text of the tokenizer that the queries use."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+@query
+def op1_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digest(table(spark, sf, "documents"), tokenizer_file())
