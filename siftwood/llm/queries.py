@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.cluster import materialise
-from siftwood.llm import bpe, jaccard, mixing, pii, rules
+from siftwood.llm import bpe, jaccard, mixing, multi_index, pii, rules
 from siftwood.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def tokenizer_file() -> str:
 @query
 def op1_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digest(table(spark, sf, "documents"), tokenizer_file())
+
+
+@query
+def op2_multi_index_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return multi_index.search(table(spark, sf, "embeddings"))
