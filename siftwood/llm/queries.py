@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.cluster import materialise
-from siftwood.llm import bpe, jaccard, mixing, multi_index, pii, rules
+from siftwood.llm import bpe, jaccard, licenses, mixing, multi_index, pii, rules, warc
 from siftwood.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,15 @@ def op1_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_multi_index_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return multi_index.search(table(spark, sf, "embeddings"))
+
+
+@query
+def op4_warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    folder, listed = warc.write_archives(table(spark, sf, "pages"))
+    read = warc.read_archives(folder, listed, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))

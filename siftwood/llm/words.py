@@ -83,9 +83,10 @@ class Texts:
     def owners(self, starts: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, starts, "right")
 
-    def words(self, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, owning text and start of every word; ``fold`` equates A-Z and a-z."""
-        starts, ends = _runs(~_is_space[self.data])
+    def words(self, fold: bool = False, apart: np.ndarray = _is_space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, owning text and start of every word; ``fold`` equates A-Z and a-z.
+        ``apart`` marks the bytes between words."""
+        starts, ends = _runs(~apart[self.data])
         return _hash_spans(self.data, starts, ends, _folded if fold else _values), self.owners(starts), starts
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
