@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.cluster import materialise
-from siftwood.llm import bpe, jaccard, licenses, mixing, multi_index, pii, rules, warc
-from siftwood.llm.frames import table
+from siftwood.llm import bpe, hmm, jaccard, licenses, mixing, multi_index, pii, rules, warc
+from siftwood.llm.frames import crc_share, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,3 +109,8 @@ def op4_warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents"))
+
+
+@query
+def op8_hmm_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf, "documents"), crc_share("doc_id", 5) == 1)
