@@ -35,7 +35,9 @@ from siftwood.llm.frames import spread
 LEAF = 1024
 RUN = 16_384
 WINDOW = 4
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+_NONE = 1 << 30
+ROWS = 500  # of a batch, handed back together
 # The characters with the Unicode property White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _white = re.compile(f"[{WHITE}]+")
@@ -58,6 +60,7 @@ class Encoder:
         self._split = rules.pre_tokenizer.pre_tokenize_str
         self.vocab: dict[str, int] = model["vocab"]
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"])
+        self._packed = {t: self.pack([i]) for t, i in self.vocab.items()}
         self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
         self.suffix = model.get("end_of_word_suffix") or ""
         special = {t["content"]: t["id"] for t in told["added_tokens"]}
@@ -83,13 +86,20 @@ class Encoder:
     def merge(self, symbols: list[str]) -> list[str]:
         """The tokens of some symbols: the pair of least rank first, then the leftmost."""
         ranks = self.ranks
-        if len(symbols) <= 24:
-            parts = list(symbols)
-            while len(parts) > 1:
-                best = min(range(len(parts) - 1), key=lambda i: ranks.get((parts[i], parts[i + 1]), 1 << 30))
-                if (parts[best], parts[best + 1]) not in ranks:
+        if len(symbols) <= 64:
+            parts, get = list(symbols), ranks.get
+            found = [get(pair, _NONE) for pair in zip(parts, parts[1:], strict=False)]
+            while found:
+                least = min(found)
+                if least == _NONE:
                     break
-                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+                i = found.index(least)
+                parts[i] += parts.pop(i + 1)
+                del found[i]
+                if i < len(found):
+                    found[i] = get((parts[i], parts[i + 1]), _NONE)
+                if i:
+                    found[i - 1] = get((parts[i - 1], parts[i]), _NONE)
             return parts
         n = len(symbols)
         parts: list[str | None] = list(symbols)
@@ -138,7 +148,8 @@ class Encoder:
         return [symbols[i : i + size] for i in range(0, len(symbols), size)]
 
     def ids(self, tokens: list[str]) -> bytes:
-        return self.pack([self.vocab[t] for t in tokens if t in self.vocab])
+        packed = self._packed
+        return b"".join([packed[t] for t in tokens if t in packed])
 
     def piece(self, piece: str) -> bytes:
         found = self._pieces.get(piece)
@@ -192,11 +203,18 @@ def _encoder(spec) -> Encoder:
     return _encoders[key]
 
 
-def _encode(spec) -> Callable:
+def _with_ids(rows: pd.DataFrame, ids: list[bytes], encoder: Encoder, decoded: bool) -> pd.DataFrame:
+    return rows.assign(ids=ids, **({"decoded": [encoder.decode(i) for i in ids]} if decoded else {}))
+
+
+def _encode(spec, decoded: bool) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(spec)
         for batch in batches:
-            yield batch.assign(ids=[encoder.encode(t) for t in batch.pop("text")])
+            texts = batch.pop("text")
+            for a in range(0, len(batch), ROWS):
+                ids = [encoder.encode(t) for t in texts.iloc[a : a + ROWS]]
+                yield _with_ids(batch.iloc[a : a + ROWS], ids, encoder, decoded)
 
     return run
 
@@ -239,7 +257,7 @@ def _merge_leaves(spec) -> Callable:
     return run
 
 
-def _assemble(spec) -> Callable:
+def _assemble(spec, decoded: bool) -> Callable:
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         encoder = _encoder(spec)
         batch = batch.sort_values(["part", "leaf"])
@@ -249,27 +267,31 @@ def _assemble(spec) -> Callable:
                 out.append(part["ids"].iloc[0])
             else:
                 out.append(encoder.ids(encoder.tree([t.split("\n") for t in part["tokens"]])))
-        return pd.DataFrame({"_row": batch["_row"].iloc[:1], "ids": [b"".join(out)]})
+        return _with_ids(batch[["_row"]].iloc[:1], [b"".join(out)], encoder, decoded)
 
     return run
 
 
-def encode(docs: DataFrame, spec: str, *columns: str, run: int = RUN, leaf: int = LEAF) -> DataFrame:
+def encode(
+    docs: DataFrame, spec: str, *columns: str, decoded: bool = False, run: int = RUN, leaf: int = LEAF
+) -> DataFrame:
     """``columns`` (by default doc_id) and ``ids`` of every document, for a
-    tokenizer file's text ``spec``."""
+    tokenizer file's text ``spec``; if asked for also ``decoded``, the ids decoded
+    in the same task."""
     columns = columns or ("doc_id",)
     shared = docs.sparkSession.sparkContext.broadcast(spec)
     docs = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     unsplit = (F.length("text") >= run) & F.col("text").rlike(f"(?<![^{WHITE}])[^{WHITE}]{{{run}}}")
-    plain = spread(docs.where(~unsplit)).mapInPandas(_encode(shared), f"{kept}, ids binary")
+    result = "ids binary, decoded string" if decoded else "ids binary"
+    plain = spread(docs.where(~unsplit)).mapInPandas(_encode(shared, decoded), f"{kept}, {result}")
 
     long = materialise(docs.where(unsplit).withColumn("_row", F.monotonically_increasing_id()), "unsplit")
     parts = long.select("_row", "text").mapInPandas(_parts(shared, leaf), "_row bigint, part bigint, leaf bigint, ids binary, symbols string")
     leaves = parts.repartition("_row", "part", "leaf").mapInPandas(
         _merge_leaves(shared), "_row bigint, part bigint, leaf bigint, ids binary, tokens string"
     )
-    whole = leaves.groupBy("_row").applyInPandas(_assemble(shared), "_row bigint, ids binary")
+    whole = leaves.groupBy("_row").applyInPandas(_assemble(shared, decoded), f"_row bigint, {result}")
     return plain.unionByName(long.drop("text").join(whole, "_row").drop("_row"))
 
 
@@ -282,7 +304,9 @@ def decode(tokens: DataFrame, spec: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(shared)
         for batch in batches:
-            yield batch.assign(text=[encoder.decode(i) for i in batch["ids"]])
+            for a in range(0, len(batch), ROWS):
+                part = batch.iloc[a : a + ROWS]
+                yield part.assign(text=[encoder.decode(i) for i in part["ids"]])
 
     return tokens.mapInPandas(run, f"{schema}, text string")
 
@@ -293,10 +317,10 @@ def n_tokens(ids: str = "ids") -> Column:
 
 def digest(docs: DataFrame, spec: str, *columns: str) -> DataFrame:
     """Number and hash of the ids, and hash of the decoded text, of each document."""
-    both = decode(encode(docs, spec, *columns), spec)
+    both = encode(docs, spec, *columns, decoded=True)
     return both.select(
         *(columns or ["doc_id"]),
         n_tokens().alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
