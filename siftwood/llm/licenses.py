@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from siftwood.llm.frames import spread, whole_text
-from siftwood.llm.words import Texts, as_bytes, mix, slices, windows
+from siftwood.llm.words import Texts, as_bytes, mix, not_alphanumeric, slices, windows
 
 SHINGLE = 5
 LEAST = 0.8
@@ -60,14 +60,12 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
 
-_apart = np.ones(256, bool)
-_apart[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _seeds = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingles(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first word (counted in its text) and owning text of each shingle."""
-    hashes, owners, _ = t.words(fold=True, apart=_apart)
+    hashes, owners, _ = t.words(fold=True, apart=not_alphanumeric)
     keys, first = windows(hashes, owners, SHINGLE)
     n_words = np.bincount(owners, minlength=t.n)
     return keys, first - (np.cumsum(n_words) - n_words)[owners[first]], owners[first]

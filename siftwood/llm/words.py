@@ -25,6 +25,9 @@ _is_newline[10] = True
 _values = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _folded = _values.copy()
 _folded[ord("A") : ord("Z") + 1] = _values[ord("a") : ord("z") + 1]
+# Bytes that are neither A-Z, a-z, 0-9 nor part of a character beyond ASCII.
+not_alphanumeric = np.ones(256, bool)
+not_alphanumeric[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _powers = _inverses = np.ones(1, np.uint64)
 
 
@@ -89,6 +92,18 @@ class Texts:
         starts, ends = _runs(~apart[self.data])
         return _hash_spans(self.data, starts, ends, _folded if fold else _values), self.owners(starts), starts
 
+    def word_spans(self, apart: np.ndarray = _is_space) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of every word in the buffer."""
+        return _runs(~apart[self.data])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of each of some spans in order, A-Z folded."""
+        return _hash_spans(self.data, starts, ends, _folded)
+
+    def characters(self) -> np.ndarray:
+        """The code points before each byte of the buffer, and after the last."""
+        return np.r_[0, np.cumsum((self.data & 0xC0) != 0x80)]
+
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, owning text and start of every line that isn't empty."""
         starts, ends = _runs(~_is_newline[self.data])
