@@ -33,7 +33,6 @@ HASH_BITS = 60
 BITS = 12
 BUCKETS = 1 << BITS
 
-# Characters that don't end a word; counting the others is counting words' first letters.
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -42,11 +41,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("bigint")
 
 
+def _hash() -> Column:
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
+    return F.conv(F.substring(F.md5(name), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, its size and hash."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
-    digits = F.conv(F.substring(F.md5(name), 1, HASH_BITS // 4), 16, 10).cast("bigint")
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digits.alias("hash"))
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash().alias("hash"))
 
 
 def _named(source: str = "source") -> list[Column]:
@@ -130,20 +132,33 @@ def thresholds(sizes: DataFrame, budgets: DataFrame, n_sources: int) -> DataFram
     return found.select(*KEY, F.when(nearer, F.col("first") + 1).otherwise(F.col("low")).alias("threshold"))
 
 
-def mix(docs: DataFrame, *more: str) -> DataFrame:
-    """Every document with size, source_size, target and taken, its words in the
-    mix: 0, 1 or 2 times its size."""
-    key = [*_named(), *more]
-    sizes = materialise(sized(docs).select("doc_id", "size", "hash", *key), "sizes")
+def shares(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Sized documents; per source its size, target, whole passes and threshold; the number of sources."""
+    sizes = materialise(sized(docs).select("doc_id", "size", "hash", *_named()), "sizes")
     goals = materialise(targets(sizes), "targets")
     n_sources = goals.count()
     whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("bigint")
     goals = goals.withColumn("whole", F.least(whole, F.lit(CEILING)))
     budgets = goals.select(*KEY, (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
-    cuts = thresholds(sizes, budgets, n_sources)
-    times = F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    return (
-        sizes.join(_small(goals.join(cuts, KEY, "left"), n_sources), KEY)
-        .withColumn("taken", F.col("size") * times)
-        .select("doc_id", "size", "source_size", "target", "taken")
-    )
+    return sizes, goals.join(thresholds(sizes, budgets, n_sources), KEY, "left"), n_sources
+
+
+def _times() -> Column:
+    extra = F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
+    return F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0)
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """Every document with size, source_size, target and taken, its words in the
+    mix: 0, 1 or 2 times its size."""
+    sizes, goals, n_sources = shares(docs)
+    joined = sizes.join(_small(goals, n_sources), KEY).withColumn("taken", F.col("size") * _times())
+    return joined.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The documents in the mix, with ``columns`` and times, how often each is taken."""
+    _, goals, n_sources = shares(docs)
+    rows = docs.select("*", n_words(F.col("text")).alias("size"), _hash().alias("hash"), *_named())
+    rows = rows.join(_small(goals.drop("source_size"), n_sources), KEY).withColumn("times", _times().cast("int"))
+    return rows.where("times > 0").select(*columns, "times")
