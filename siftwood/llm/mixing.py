@@ -159,6 +159,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, *columns: str) -> DataFrame:
     """The documents in the mix, with ``columns`` and times, how often each is taken."""
     _, goals, n_sources = shares(docs)
-    rows = docs.select("*", n_words(F.col("text")).alias("size"), _hash().alias("hash"), *_named())
+    row = F.struct(*columns).alias("row")
+    rows = docs.select(row, n_words(F.col("text")).alias("size"), _hash().alias("hash"), *_named())
     rows = rows.join(_small(goals.drop("source_size"), n_sources), KEY).withColumn("times", _times().cast("int"))
-    return rows.where("times > 0").select(*columns, "times")
+    return rows.where("times > 0").select("row.*", "times")

@@ -2,7 +2,7 @@
 
 Four patterns give the base spans. Further candidates, long runs of letters
 and digits, get votes from labelers: a shape pattern, a gazetteer of prefixes
-and known harmless names, the words before, and the mix of characters. Votes are
+and known harmless names, the words before, and how often digits turn to letters. Votes are
 counted by pattern over all documents; expectation-maximisation turns the counts
 into a reliability per labeler and a probability per vote pattern. A logistic
 classifier of bucketed span features is trained on those probabilities, again
@@ -138,14 +138,14 @@ def _vote(yes: Column, no: Column) -> Column:
 
 def votes(value: Column, before: Column) -> dict[str, Column]:
     """Per labeler 0 for harmless, 1 for no opinion, 2 for personal."""
-    kinds = F.size(F.array_distinct(F.split(value, "")))
+    turns = F.regexp_count(value, F.lit("[0-9][A-Za-z]"))
     starts = lambda names: F.coalesce(*[F.when(F.startswith(value, F.lit(n)), True) for n in names], F.lit(False))
     known = F.lower(value).isin([n.lower() for n in HARMLESS])
     return {
         "shape": _vote(value.rlike(SHAPE), value.rlike(HARMLESS_SHAPE)),
         "gazetteer": _vote(starts(SECRET_PREFIXES), known),
         "context": _vote(before.rlike(CUES), before.rlike(HARMLESS_CUES)),
-        "characters": _vote((kinds >= 10) & value.rlike("[A-Za-z]"), kinds <= 4),
+        "characters": _vote(turns >= 3, turns <= 1),
     }
 
 
@@ -271,8 +271,11 @@ def redacted(text: Column, spans_: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with personal data replaced; other columns as they are."""
-    others = [c for c in docs.columns if c != "text"]
-    found = materialise(located(docs, *others), "located")
+    """The documents with personal data replaced, null texts as empty; other columns as they are."""
+    # Other columns travel in one, so that none can clash.
+    others = F.struct(*[c for c in docs.columns if c != "text"], F.lit(0).alias("_"))
+    packed = docs.select(others.alias("others"), F.coalesce("text", F.lit("")).alias("text"))
+    found = materialise(located(packed, "others"), "located")
     clean = redacted(F.col("text"), F.col("spans"))
-    return detect(found, train(found)).withColumn("text", clean).select(*docs.columns)
+    detected = detect(found, train(found)).withColumn("text", clean)
+    return detected.select(*[F.col(c) if c == "text" else F.col(f"others.`{c}`") for c in docs.columns])
