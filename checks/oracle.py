@@ -6,11 +6,13 @@ Shared views are named common table expressions; a query gets those it names.
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 from siftwood import fixtures as fx
 from siftwood.functions import text
 
 NEWLINE = "\n"
+html4 = {name: chr(code) for name, code in name2codepoint.items()}
 
 
 def lit(value: str) -> str:
@@ -62,9 +64,17 @@ def rules(col: str, items, flags: str = "") -> str:
 
 
 def entities(col: str) -> str:
-    for name, char in text.ENTITIES:
-        col = f"replace({col}, {lit(name)}, {lit(char)})"
-    return col
+    pairs = ", ".join(f"{lit(k)}: {lit(' ' if k == 'nbsp' else v)}" for k, v in (html4 | {"apos": "'"}).items())
+    code = "CASE WHEN lower(n[2]) = 'x' THEN TRY_CAST('0x' || n[3:] AS BIGINT) ELSE TRY_CAST(n[2:] AS BIGINT) END"
+    real = f"({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111"
+    number = f"CASE WHEN ({code}) = 160 THEN ' ' WHEN {real} THEN chr(({code})::INT) END"
+    one = f"coalesce(CASE WHEN n[1] = '#' THEN {number} ELSE (MAP {{{pairs}}})[n] END, '&' || n || ';')"
+    entity = lit("&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+    decoded = f"list_transform(regexp_extract_all({col}, {entity}, 1), lambda n: {one})"
+    return (
+        f"array_to_string(list_transform(list_zip(string_split_regex({col}, {entity}), {decoded}), "
+        f"lambda z: z[1] || coalesce(z[2], '')), '')"
+    )
 
 
 def html(col: str) -> str:
@@ -87,7 +97,7 @@ def markdown(col: str) -> str:
         f"array_to_string(list_transform(string_split_regex({col}, {lit('(?m)' + text.FENCE)}), "
         f"lambda p, i: CASE WHEN i % 2 = 1 THEN {block} ELSE p END), '')"
     )
-    return rf"trim(regexp_replace({plain}, '\n[ \t]*(\n[ \t]*)+', {lit(NEWLINE)}, 'g'), {lit(' ' + chr(9) + NEWLINE)})"
+    return rf"trim(regexp_replace({plain}, '\n[ \t\n]*\n[ \t]*', {lit(NEWLINE)}, 'g'), {lit(' ' + chr(9) + NEWLINE)})"
 
 
 def hash_code(term: str = "term") -> str:
@@ -98,6 +108,9 @@ POST_COLUMNS = """CAST(NULL AS VARCHAR) AS name, split_part(d.text, '.', 1) AS f
   d.text AS body_md, CAST(NULL AS VARCHAR) AS body_html, e.ts AS created_at, e.ts AS updated_at,
   'https://posts.example/' || d.doc_id AS url, 'user_' || e.user_id AS created_by"""
 
+# Changed since the last good run.
+SINCE = """updated_at >= coalesce((SELECT CASE WHEN arg_max(exit_status, run_no) = 'success' THEN CAST(arg_max(executed_at, run_no) AS TIMESTAMP) END FROM run_log), TIMESTAMP '1970-01-01')"""
+
 CTES = {
     # --- fixture views
     "posts": f"""SELECT CAST(d.doc_id AS VARCHAR) AS number, {POST_COLUMNS}
@@ -255,8 +268,7 @@ def oracle_sql() -> dict[str, str]:
         "read_table": "SELECT doc_id, lang, source, n_chars FROM documents",
         "read_feed_pages": f"""SELECT CAST((n - 1) // 100 + 1 AS INT) AS page, CAST((n - 1) % 100 AS INT) AS pos, number, full_name, wip,
   body_md AS body, {STAMP.format('updated_at')}, url, created_by AS author FROM numbered""",
-        "incremental_scan": """SELECT number, arrival, strftime(updated_at, '%Y-%m-%d') AS day FROM revisions
-WHERE updated_at >= coalesce((SELECT CASE WHEN arg_max(exit_status, run_no) = 'success' THEN CAST(arg_max(executed_at, run_no) AS TIMESTAMP) END FROM run_log), TIMESTAMP '1970-01-01')""",
+        "incremental_scan": f"""SELECT number, arrival, strftime(updated_at, '%Y-%m-%d') AS day FROM revisions WHERE {SINCE}""",
         "page_rows": "SELECT number, arrival, n, (n - 1) // 100 + 1 AS page FROM numbered",
         "chunk_rows": "SELECT doc_id, n_chars, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 64 AS chunk FROM documents",
         "write_jsonl": "SELECT number, full_name, wip, body_md, body_html, url, created_by FROM posts",
@@ -335,8 +347,9 @@ FROM (SELECT doc_id, norm, unnest(range(64)) AS pos FROM n) n LEFT JOIN s ON s.d
         "top_k": ranked("body_or", 10),
         "page_hits": f"SELECT * FROM ({ranked('body_or', 7)}) WHERE rank > 3",
         "total_hits": "SELECT qid, count(doc_id) AS total FROM (SELECT qid FROM requests) LEFT JOIN fields_or USING (qid) GROUP BY 1",
-        "page_progress": """SELECT (n - 1) // 100 + 1 AS page, count(*) AS posts, max(n) AS read,
-  round(max(n) / (SELECT count(*) FROM revisions), 6) AS share FROM numbered GROUP BY 1""",
+        "page_progress": f"""SELECT (n - 1) // 100 + 1 AS page, count(*) AS posts, max(n) AS read,
+  round(max(n) / (SELECT count(*) FROM revisions), 6) AS share
+FROM (SELECT row_number() OVER (ORDER BY updated_at, arrival) AS n FROM revisions WHERE {SINCE}) GROUP BY 1""",
         "dense_search": f"""SELECT a.qid, h.rank, h.doc_id, h.score, t.total
 FROM (SELECT CAST(key AS BIGINT) AS qid FROM enc_norms WHERE side = 'q') a
 JOIN (SELECT qid, count(*) AS total FROM enc_scores GROUP BY 1) t USING (qid)

@@ -479,7 +479,10 @@ def total_hits(spark, sf):
 
 @query
 def page_progress(spark, sf):
-    return numbering.page_progress(fx.revisions(spark, sf), ["updated_at", "arrival"], 100)
+    """An incremental run over the total of all revisions."""
+    revisions = fx.revisions(spark, sf)
+    run = ingest.incremental_scan(revisions, fx.run_log(spark, sf))
+    return numbering.page_progress(run, revisions.count(), 100)
 
 
 # --- retrievers -------------------------------------------------------------
@@ -527,7 +530,7 @@ def assemble_results(spark, sf):
 @query
 def stream_upsert(spark, sf):
     def run(path: str) -> None:
-        feed = fx.feed_pages(spark, sf)
+        feed = fx.crawled_pages(spark, sf)
         feeds.stream_upsert(spark, feed, f"{path}/changes", f"{path}/checkpoint", 3).awaitTermination()
 
     changes = fx.once(spark, sf, "upserted", run) + "/changes"

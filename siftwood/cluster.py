@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A broadcast side may hold at most this many rows of keys and scores
 # (tens of bytes each), or this many bytes of query vectors.
@@ -67,3 +68,8 @@ def spread_small(df: DataFrame) -> DataFrame:
 def use_utc(spark: SparkSession) -> None:
     """Days and ISO texts are cut in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows of a schema."""
+    return spark.createDataFrame([], schema)

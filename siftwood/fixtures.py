@@ -81,22 +81,35 @@ def nested_author(df: DataFrame) -> DataFrame:
 def feed_pages(spark: SparkSession, sf: str) -> str:
     """Folder of page envelopes as JSON lines, 100 posts to a page."""
 
+    return once(spark, sf, "feed", lambda path: write_jsonl(envelopes(revisions(spark, sf)), path))
+
+
+def crawled_pages(spark: SparkSession, sf: str) -> str:
+    """The same posts as two crawls, a folder each, that both start at page 1."""
+
     def write(path: str) -> None:
-        paged = page_rows(nested_author(revisions(spark, sf)).drop("name"), ["updated_at", "arrival"], 100)
-        pages = -(-table(spark, sf, "events").count() // 100)
-        post = F.struct(*[c for c in paged.columns if c not in ("n", "page", "arrival")])
-        envelopes = (
-            paged.groupBy("page")
-            .agg(F.array_sort(F.collect_list(F.struct("n", post.alias("post")))).alias("rows"))
-            .select(
-                F.col("page").cast("int").alias("page"),
-                F.transform("rows", lambda r: r["post"]).alias("posts"),
-                F.when(F.col("page") < pages, (F.col("page") + 1).cast("int")).alias("next_page"),
-            )
+        posts = revisions(spark, sf)
+        early = F.col("updated_at") < F.lit("2024-01-15 12:00:00").cast("timestamp")
+        for crawl, part in (("1", posts.where(early)), ("2", posts.where(~early))):
+            write_jsonl(envelopes(part), f"{path}/crawl={crawl}")
+
+    return once(spark, sf, "crawls", write)
+
+
+def envelopes(posts: DataFrame) -> DataFrame:
+    """Pages of 100 posts in the order of their revisions."""
+    pages = -(-posts.count() // 100)
+    paged = page_rows(nested_author(posts).drop("name"), ["updated_at", "arrival"], 100)
+    post = F.struct(*[c for c in paged.columns if c not in ("n", "page", "arrival")])
+    return (
+        paged.groupBy("page")
+        .agg(F.array_sort(F.collect_list(F.struct("n", post.alias("post")))).alias("rows"))
+        .select(
+            F.col("page").cast("int").alias("page"),
+            F.transform("rows", lambda r: r["post"]).alias("posts"),
+            F.when(F.col("page") < pages, (F.col("page") + 1).cast("int")).alias("next_page"),
         )
-        write_jsonl(envelopes, path)
-
-    return once(spark, sf, "feed", write)
+    )
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

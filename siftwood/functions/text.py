@@ -1,12 +1,14 @@
 """Text cleaning and analysis as Column expressions; everything stays in the JVM.
 
-Patterns avoid lookaround, backreferences and the shorthand classes whose
-Unicode meaning differs between regex engines.
+Patterns avoid backreferences and the shorthand classes whose Unicode meaning
+differs between regex engines, and repeat no group that can match in several
+lengths: Java recurses once per such repeat, and long runs would end the stack.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,17 +32,10 @@ UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
 FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 HALF_WIDTH = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 
-# Named and numeric entities; the ampersand comes last so that it is not
-# decoded twice.
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-]
+# The named entities of HTML 4, from Python's table, and the apostrophe; a
+# no-break space is a blank.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+ENTITY = "&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 
 # A letter or digit of a script written without spaces. The range comes first:
 # it settles Latin letters without a script lookup.
@@ -51,8 +46,8 @@ CJK = r"[[\x{2E80}-\x{10FFFF}]&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]&&[\p{
 MARKDOWN_BLOCK_RULES = [
     (r"^#{1,6}[ \t]*([^\n]*?)[ \t]*#*[ \t]*$", "$1"),  # headings
     (r"^(=+|-+)[ \t]*$", ""),  # underlined headings
-    (r"^[ \t]*([-*_][ \t]*){3,}$", ""),  # horizontal rules
-    (r"^[ \t]*(> ?)+", ""),  # quotes
+    (r"^[ \t]*[-*_][ \t]*[-*_][ \t]*[-*_][-*_ \t]*$", ""),  # horizontal rules
+    (r"^[ \t]*>(?:[> ]*>)? ?", ""),  # quotes
     (r"^[ \t]*([*+-]|[0-9]+\.)[ \t]+", ""),  # list markers
     (r"^[ \t]*\|[ \t:|-]+\|[ \t]*$", ""),  # table rulers
     (r"!\[[^\[\]]*\]\([^()\n]*\)", ""),  # images have no text
@@ -85,8 +80,26 @@ def _apply(col: Column, rules, flags: str = "") -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, flags + r[0], r[1]), rules, col)
 
 
+def _entity(name: Column) -> Column:
+    """The character of an entity's name or number; what stands for none stays as it is."""
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    digits = F.regexp_replace(name, "^#[xX]?0*", "")
+    # Eight digits hold every code point; longer ones stand for none.
+    digits = F.when(F.length(digits).between(1, 8), digits)
+    is_hex = F.lower(F.substring(name, 2, 1)) == "x"
+    code = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+    real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    numeric = F.decode(F.unhex(F.lpad(F.hex(F.when(real, code)), 8, "0")), "UTF-32")
+    numeric = F.when(code == 0xA0, " ").otherwise(numeric)
+    char = F.when(F.startswith(name, F.lit("#")), numeric).otherwise(F.try_element_at(named, name))
+    return F.coalesce(char, F.concat(F.lit("&"), name, F.lit(";")))
+
+
 def decode_entities(col: Column) -> Column:
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, col)
+    """Text with entities, by name or by number in either base, decoded once."""
+    names = F.regexp_extract_all(col, F.lit(ENTITY), F.lit(1))
+    parts = F.zip_with(F.split(col, ENTITY), names, lambda gap, name: F.concat(gap, F.when(name.isNull(), "").otherwise(_entity(name))))
+    return F.when(col.rlike(ENTITY), F.array_join(parts, "")).otherwise(col)
 
 
 def html_text(col: Column) -> Column:
@@ -119,7 +132,7 @@ def markdown_text(col: Column) -> Column:
     pieces = F.split(col, "(?dm)" + FENCE)
     plain = F.transform(pieces, lambda p, i: F.when(i % 2 == 0, _block_markdown(p)).otherwise(p))
     text = F.array_join(plain, "")
-    return F.trim(F.regexp_replace(text, r"\n[ \t]*(\n[ \t]*)+", "\n"), F.lit(" \t\n"))
+    return F.trim(F.regexp_replace(text, r"\n[ \t\n]*\n[ \t]*", "\n"), F.lit(" \t\n"))
 
 
 # --- analysis ---------------------------------------------------------------

@@ -57,14 +57,17 @@ def chunk_rows(df: DataFrame, order: list[str | Column], size: int = 10_000) ->
     return number_rows(df, order).withColumn("chunk", F.floor((F.col("n") - 1) / size)).drop("n")
 
 
-def page_progress(df: DataFrame, order: list[str | Column], per_page: int = 100) -> DataFrame:
-    """After each page: rows on it, rows read so far and the fraction of all rows.
+def page_progress(df: DataFrame, total: int | None = None, per_page: int = 100) -> DataFrame:
+    """After each page of a run: rows on it, rows read so far and their share of
+    ``total``, all rows there are; an incremental run reads fewer. By default the
+    run's own rows are all.
 
-    Page sizes follow from the total alone, so nothing is sorted or numbered.
+    Page sizes follow from the counts alone, so nothing is sorted or numbered.
     """
-    total = df.count()
-    pages = df.sparkSession.range(1, (total + per_page - 1) // per_page + 1).withColumnRenamed("id", "page")
-    read = F.least(F.col("page") * per_page, F.lit(total))
+    rows = df.count()
+    total = rows if total is None else total
+    pages = df.sparkSession.range(1, (rows + per_page - 1) // per_page + 1).withColumnRenamed("id", "page")
+    read = F.least(F.col("page") * per_page, F.lit(rows))
     return pages.select(
         "page",
         (read - (F.col("page") - 1) * per_page).alias("posts"),

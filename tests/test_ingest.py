@@ -145,9 +145,36 @@ def test_stream_upsert_resumes_and_equals_batch(spark, tmp_path):
     assert names(merged) == names(batch) == [("1", "c-1"), ("2", "b-2"), ("3", "c-3"), ("9", "keep")]
     # A replayed batch overwrites its own folder.
     spark_batch = spark.read.parquet(str(tmp_path / "log")).where("batch = 0").drop("batch")
-    feeds.change_writer(str(tmp_path / "log"))(spark_batch.cache(), 7)
+    feeds.change_writer(str(tmp_path / "log"))(spark_batch.cache(), 0)
     assert names(feeds.merged_posts(target, str(tmp_path / "log"))) == names(batch)
-    assert names(feeds.merged_posts(batch, str(tmp_path / "log"), after=7)) == names(batch)
+    assert names(feeds.merged_posts(batch, str(tmp_path / "log"), after=2)) == names(batch)
+
+
+def test_later_crawl_wins_over_later_page(spark, tmp_path):
+    target = projections.conform_posts(spark.createDataFrame([("9", "keep")], "number string, full_name string"))
+    names = lambda log: rows(feeds.merged_posts(target, str(log)).select("number", "full_name"))
+    run = lambda feed, log, n: feeds.stream_upsert(spark, str(feed), str(log), f"{log}-ckpt", n).awaitTermination()
+    for n in (1, 10):  # a batch per file, and one batch
+        feed = tmp_path / f"named{n}"
+        for crawl, label, page, ids, day in [("1", "old", 7, [1, 2], 2), ("2", "new", 1, [1, 3], 5)]:
+            (feed / f"crawl={crawl}").mkdir(parents=True)
+            _feed(feed / f"crawl={crawl}", label, page, ids, day)
+        run(feed, tmp_path / f"log{n}", n)
+        assert names(tmp_path / f"log{n}") == [("1", "new-1"), ("2", "old-2"), ("3", "new-3"), ("9", "keep")]
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    _feed(flat, "old", 7, [1], 2)
+    run(flat, tmp_path / "logf", 1)
+    _feed(flat, "new", 1, [1], 5)
+    run(flat, tmp_path / "logf", 1)
+    assert names(tmp_path / "logf") == [("1", "new-1"), ("9", "keep")]
+
+
+def test_empty_feed_is_a_good_run(spark, tmp_path):
+    (tmp_path / "feed").mkdir()
+    feeds.stream_upsert(spark, str(tmp_path / "feed"), str(tmp_path / "log"), str(tmp_path / "ck"), 1).awaitTermination()
+    target = projections.conform_posts(spark.createDataFrame([("9", "keep")], "number string, full_name string"))
+    assert rows(feeds.merged_posts(target, str(tmp_path / "log")).select("number")) == [("9",)]
 
 
 def test_stream_dedupe_passes_once(spark, tmp_path):

@@ -19,7 +19,7 @@ def db():
 
 
 def test_every_query_but_the_approximate_one_has_sql():
-    assert set(entry.queries()) - set(SQL) == {"knn_approx"}
+    assert set(entry.q.QUERIES) - set(SQL) == {"knn_approx"}
     assert set(SQL) <= set(entry.queries())
 
 

@@ -24,9 +24,9 @@ def test_pages_tile_the_order(spark):
 
 
 def test_page_progress(spark):
-    rows = nu.page_progress(spark.range(250), ["id"], 100).orderBy("page").collect()
-    assert [(r["posts"], r["read"], r["share"]) for r in rows] == [(100, 100, 0.4), (100, 200, 0.8), (50, 250, 1.0)]
-    assert nu.page_progress(spark.range(0), ["id"], 100).count() == 0
+    rows = nu.page_progress(spark.range(250), 500, 100).orderBy("page").collect()
+    assert [(r["posts"], r["read"], r["share"]) for r in rows] == [(100, 100, 0.2), (100, 200, 0.4), (50, 250, 0.5)]
+    assert nu.page_progress(spark.range(0), per_page=100).count() == 0
     assert nu.number_rows(spark.range(0), ["id"]).count() == 0
 
 

@@ -101,3 +101,27 @@ def test_preprocess_applies_steps_in_order(spark):
 def test_doc_text_skips_nulls(spark):
     df = spark.createDataFrame([("t", None, "b")], "a string, b string, c string")
     assert df.select(text.doc_text(F.col("a"), F.col("b"), F.col("c")).alias("x")).first()["x"] == "t b"
+
+
+@pytest.mark.parametrize(
+    "markup, plain",
+    [
+        ("caf&eacute; &#8217;s &mdash; &hellip; &#x27;x&#X27; &copy;", "caf\u00e9 \u2019s \u2014 \u2026 'x' \u00a9"),
+        ("&amp;lt; &nosuch; &#0; &#xD800; &#x110000; &#99999999999; &#x1F600;", "&lt; &nosuch; &#0; &#xD800; &#x110000; &#99999999999; \U0001f600"),
+        ("a&nbsp;b&#160;c &Eacute;&eacute; &middot; & &; &#; &#x;", "a b c \u00c9\u00e9 \u00b7 & &; &#; &#x;"),
+        ("no entity", "no entity"),
+    ],
+)
+def test_entities(spark, markup, plain):
+    df = spark.createDataFrame([(markup,)], "t string")
+    assert df.select(text.html_text(F.col("t"))).first()[0] == plain
+
+
+LONG = {run: 100_000 for run in ["\n", "*", "- ", "> "]} | {run: 4_000 for run in ["\n \t", "_ ", ">", "|-", "#", "`", "[", "<", "&"]}
+
+
+@pytest.mark.parametrize("run, times", LONG.items())
+def test_long_runs_of_markup_pass(spark, run, times):
+    df = spark.createDataFrame([("a\n" + run * times + "\nb",)], "t string")
+    out = df.select(text.markdown_text(F.col("t")), text.html_text(F.col("t"))).first()
+    assert out[0].startswith("a") and out[1].startswith("a")
