@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +32,16 @@ _KEPT_ROWS = 4_000_000  # rows a task may keep between batches
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Rows of equal-width lists as a double matrix."""
+    """Rows of lists as a double matrix; lists of unequal widths or without a value raise."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
         return np.zeros((0, 0))
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    values = column.flatten()
+    lengths = pc.list_value_length(column)
+    if column.null_count or values.null_count or pc.count_distinct(lengths).as_py() != 1:
+        raise ValueError("vectors must have one width and no missing values")
+    return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _best(qid: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:

@@ -25,6 +25,9 @@ B = 0.75
 MATCH_ALL = "and"
 MATCH_ANY = "or"
 
+# Query terms that are named to the scan of postings one by one.
+FEW_TERMS = 200
+
 
 def query_terms(
     queries: DataFrame,
@@ -79,10 +82,17 @@ def weigh_terms(index: Index, terms: DataFrame, operator: str = MATCH_ANY) -> Da
 
 
 def _asked_postings(index: Index, weighed: DataFrame) -> DataFrame:
-    """Postings of the term buckets the queries touch; at most one number per
-    bucket of the index comes to the driver."""
-    touched = [r["tbucket"] for r in weighed.select("tbucket").distinct().collect()]
-    return index.postings.where(F.col("tbucket").isin(touched))
+    """Postings that the queries can touch, by what a scan can skip: the term
+    buckets, and the terms themselves while they are few, else their range. At
+    most FEW_TERMS terms, or one number per bucket, come to the driver."""
+    few = weighed.select("tbucket", "field", "term").distinct().limit(FEW_TERMS + 1).collect()
+    if len(few) <= FEW_TERMS:
+        buckets, fields, terms = (sorted({r[k] for r in few}) for k in ("tbucket", "field", "term"))
+        named = F.col("field").isin(fields) & F.col("term").isin(terms)
+    else:
+        row = weighed.agg(F.collect_set("tbucket"), F.min("term"), F.max("term")).first()
+        buckets, named = row[0], F.col("term").between(row[1], row[2])
+    return index.postings.where(F.col("tbucket").isin(buckets) & named)
 
 
 def bm25_weight(tf: Column, dl: Column, avg_len: Column, idf: Column) -> Column:

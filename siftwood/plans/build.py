@@ -39,6 +39,27 @@ def attach_vectors(docs: DataFrame, vecs: DataFrame, key: str = "docid", vec_key
     return docs.drop("vec").join(vecs.select(F.col(vec_key).cast("string").alias(key), "vec"), key, "left")
 
 
+def check_records(docs: DataFrame, mapping: Mapping) -> None:
+    """Raise ValueError unless keys are unique and vectors have the mapping's width.
+
+    Reads the written records, which are bucketed by key, so no text moves."""
+    key = mapping.key
+    repeated = docs.groupBy(key).count().where("count > 1")
+    found = [f"{n} keys are not unique, as {example!r}" for n, example in _counted(repeated, key)]
+    if mapping.vector_field:
+        vec = F.col(mapping.vector_field)
+        odd = F.exists(vec, lambda x: x.isNull() | F.isnan(x))
+        wrong = docs.select(key, mapping.vector_field).where(vec.isNotNull() & ((F.size(vec) != mapping.dims) | odd))
+        found += [f"{n} vectors are not {mapping.dims} numbers, as that of {example!r}" for n, example in _counted(wrong, key)]
+    if found:
+        raise ValueError("; ".join(found))
+
+
+def _counted(rows: DataFrame, key: str) -> list[tuple[int, str]]:
+    row = rows.agg(F.count("*").alias("n"), F.min(key).alias("example")).first()
+    return [(row["n"], row["example"])] if row["n"] else []
+
+
 def build_index(
     spark: SparkSession,
     df: DataFrame,
@@ -77,6 +98,7 @@ def build_index(
     records = required(index_fields(df, mapping), key).repartition(buckets, key)
     write(docs=records)
     docs = tables["docs"]
+    check_records(docs, mapping)
 
     # 2. Vectors and postings stay in that partitioning, without a shuffle.
     vec = unit_vector(F.col(vector) if vector else F.lit(None).cast("array<float>"))
@@ -90,7 +112,8 @@ def build_index(
     #    term bucket too large for one writer is split by adaptive execution.
     postings = tables["postings"]
     dfs = ops.doc_freqs(postings).withColumn("tbucket", ops.term_bucket(F.col("term"), term_buckets))
-    write(dfs=dfs.hint("rebalance", F.col("tbucket")), lengths=ops.doc_lengths(postings))
+    placed = dfs.hint("rebalance", F.col("tbucket")).sortWithinPartitions("tbucket", "field", "term")
+    write(dfs=placed, lengths=ops.doc_lengths(postings))
     write(stats=ops.field_stats(tables["lengths"]))
     settings = {
         "fields": mapping.fields,

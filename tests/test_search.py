@@ -249,6 +249,26 @@ def test_build_refuses_null_keys(spark, tmp_path):
         build.build_index(spark, df, MAPPING, str(tmp_path), "x")
 
 
+def test_build_refuses_repeated_keys_and_odd_vectors(spark, tmp_path):
+    good = [("1", "x", [1.0] * MAPPING.dims), ("2", "y", None)]
+    bad = {
+        "not unique": ("1", "again", [1.0] * MAPPING.dims),
+        "numbers": ("3", "z", [1.0] * (MAPPING.dims + 1)),
+        "numbers, as": ("3", "z", [float("nan")] * MAPPING.dims),
+    }
+    for why, row in bad.items():
+        df = spark.createDataFrame([*good, row], "docid string, title string, vec array<float>")
+        with pytest.raises(ValueError, match=why):
+            build.build_index(spark, df, MAPPING, str(tmp_path), "odd")
+        assert build.load_index(spark, str(tmp_path), "odd") is None
+
+
+def test_few_terms_reach_the_scan(spark, index):
+    one = spark.createDataFrame([(1, "alpha")], "qid bigint, query string")
+    plan = terms.match(index, one, "or")._jdf.queryExecution().toString()
+    assert re.search(r"PushedFilters: .*EqualTo\(term,alpha\)", plan)
+
+
 def test_index_tables_count_terms(spark):
     df = spark.createDataFrame([("1", "a b a", "x"), ("2", "", None), ("3", "b", "x")], "docid string, body string, tag string")
     posts = ix.postings(df, ["body"])
