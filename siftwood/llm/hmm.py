@@ -1,8 +1,9 @@
 """A hidden Markov language model, trained by Baum-Welch over the whole corpus.
 
 Texts are words, A-Z folded, then an end mark. One pass packs them in blocks,
-each with its own list of words; words are counted over all training blocks and
-every block gets its words' counts back by a join. Words that make up at least
+each with its own list of words, told apart by 64-bit hashes. One shuffle by word
+counts them over all blocks, and blocks get back the counts of words they share
+with others. Words that make up at least
 1 in FREQUENT of all tokens, so at most FREQUENT, have emission probabilities of
 their own; the others share RARE classes by their last letters, and within a
 class go by (count + 1/2) / (all + (words + 1) / 2), the last 1/2 for any unknown
@@ -22,13 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwood.cluster import materialise
 from siftwood.llm.chains import Chains
 from siftwood.llm.frames import spread
-from siftwood.llm.words import as_bytes, slices
+from siftwood.llm.words import Texts, as_bytes, slices
 
 STATES = 6
 ROUNDS = 4
@@ -37,32 +40,40 @@ RARE = 1024
 END = 0  # class of the end mark; frequent words follow, then rare classes
 N_CLASSES = 1 + FREQUENT + RARE
 SLICES = 64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
+PART_TOKENS = 600_000
 STICKY = 0.98
 PRIOR = 200.0  # tokens' worth of overall frequencies in each state's emissions
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         texts = [as_bytes(x) for x in batch["text"]]
         held = batch["held"].to_numpy()
         for a, b in slices(texts, BLOCK_BYTES):
-            known: dict[bytes, int] = {}
-            ids, lengths = [], []
-            for text in texts[a:b]:
-                words = text.lower().split()  # of bytes: A-Z only, and the six ASCII spaces
-                ids += [known.setdefault(w, len(known)) for w in words]
-                lengths.append(len(words))
-            packed, sizes = np.array(ids, np.int32), np.array(lengths, np.int32)
-            trained = packed[np.repeat(~held[a:b], sizes)]
+            t = Texts(texts[a:b])
+            starts, ends = t.word_spans()
+            hashes = t.hashes(starts, ends)
+            lengths = np.bincount(t.owners(starts), minlength=t.n).astype(np.int32)
+            words, first, ids, found = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            # Frequent words first: their small numbers pack well.
+            order = np.argsort(-found, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            ids, words, at = rank[ids], words[order], np.sort(first)
+            endings = np.empty(len(order), np.int64)
+            endings[ids[at]] = (t.hashes(np.maximum(starts[at], ends[at] - 3), ends[at]) % np.uint64(RARE)).astype(np.int64)
+            trained = ids[np.repeat(~held[a:b], lengths)]
             yield pd.DataFrame(
                 {
                     "doc_ids": [[None if pd.isna(i) else int(i) for i in batch["doc_id"].iloc[a:b]]],
                     "held": [held[a:b]],
-                    "lengths": [sizes],
-                    "ids": [packed.tobytes()],
-                    "words": [[w.decode("utf-8", "replace") for w in known]],
-                    "counts": [np.bincount(trained, minlength=len(known))],
+                    "lengths": [lengths],
+                    "ids": [packer.compress(ids.tobytes())],
+                    "words": [words.view(np.int64)],
+                    "rare": [endings + 1 + FREQUENT],
+                    "counts": [np.bincount(trained, minlength=len(words))],
                 }
             )
 
@@ -70,52 +81,63 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def pack(docs: DataFrame, held: Column) -> DataFrame:
     """The texts in blocks of about BLOCK_BYTES, written once."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held.alias("held"))
-    schema = "doc_ids array<bigint>, held array<boolean>, lengths array<int>, ids binary, words array<string>, counts array<bigint>"
+    schema = (
+        "doc_ids array<bigint>, held array<boolean>, lengths array<int>, ids binary, words array<bigint>, "
+        "rare array<int>, counts array<int>"
+    )
     packed = spread(rows).mapInPandas(_blocks, schema)
     return materialise(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
-def _rare_class(word: Column) -> Column:
-    return F.pmod(F.crc32(F.right(word, F.lit(3)).cast("binary")), F.lit(RARE)).cast("int") + 1 + FREQUENT
-
-
 @dataclass(frozen=True)
 class Counts:
-    """Training counts: all tokens, distinct tokens, and by class tokens and words."""
+    """Training counts: all tokens, distinct tokens; the frequent words in hash
+    order and their classes; by class tokens and words."""
 
     tokens: int
     distinct: int
+    frequent: np.ndarray
+    classes: np.ndarray
     by_class: np.ndarray
     words_of: np.ndarray
 
 
 def count_words(blocks: DataFrame) -> tuple[DataFrame, Counts]:
-    """(word, c, class) of all training words, and the totals."""
-    seen = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts")
-    words = materialise(
-        seen.where("counts > 0").groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")), "words"
+    """(word, rare, block, pos, n, c, first) of the words of all blocks, n their count in
+    the block and c in all; first marks one row per word. And the totals."""
+    zipped = F.arrays_zip("words", "rare", "counts")
+    rows = blocks.select("block", F.posexplode(zipped).alias("pos", "x")).select(
+        "block", "pos", F.col("x.words").alias("word"), F.col("x.rare").alias("rare"), F.col("x.counts").alias("n")
     )
-    told = words.agg(F.sum("c"), F.count("*")).first()
-    n_ends = blocks.select(F.explode("held").alias("h")).where("NOT h").count()
+    # A word has at most one row per block.
+    of_word = W.partitionBy("word")
+    rows = rows.withColumn("c", F.sum("n").over(of_word))
+    first = F.col("block") == F.min("block").over(of_word)
+    words = materialise(rows.withColumn("first", first), "words")
+    trained = words.where("first AND c > 0")
+    told = trained.agg(F.sum("c"), F.count("*")).first()
+    n_ends = blocks.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     tokens, distinct = (told[0] or 0) + n_ends, told[1] + (n_ends > 0)
     # By the bound at most FREQUENT words.
-    frequent = words.where(F.col("c") * FREQUENT >= tokens).orderBy(F.desc("c"), "word").limit(FREQUENT).select("word").collect()
-    listed = words.sparkSession.createDataFrame([(r["word"], i + 1) for i, r in enumerate(frequent)], "word string, own int")
-    words = words.join(F.broadcast(listed), "word", "left").select("word", "c", F.coalesce("own", _rare_class(F.col("word"))).alias("class"))
+    listed = trained.where(F.col("c") * FREQUENT >= tokens).select("word", "c").collect()
+    listed.sort(key=lambda r: (-r["c"], r["word"]))
+    frequent = np.array([r["word"] for r in listed], np.int64)
+    order = np.argsort(frequent)
     by_class, words_of = np.zeros(N_CLASSES), np.zeros(N_CLASSES)
     by_class[END] = n_ends
-    for r in words.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        by_class[r["class"]], words_of[r["class"]] = r["c"], r["n"]
-    return words, Counts(tokens, distinct, by_class, words_of)
+    by_class[1 : 1 + len(listed)] = [r["c"] for r in listed]
+    words_of[1 : 1 + len(listed)] = 1
+    others = trained.where(F.col("c") * FREQUENT < tokens).groupBy("rare").agg(F.sum("c").alias("c"), F.count("*").alias("n"))
+    for r in others.collect():
+        by_class[r["rare"]], words_of[r["rare"]] = r["c"], r["n"]
+    return words, Counts(tokens, distinct, frequent[order], order + 1, by_class, words_of)
 
 
 def with_counts(blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """The blocks with their words' counts and classes in place of the words."""
-    own = blocks.select("block", F.posexplode("words").alias("pos", "word")).join(words, "word", "left")
-    own = own.select("block", F.struct("pos", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", _rare_class(F.col("word"))).alias("class")).alias("w"))
-    lists = own.groupBy("block").agg(F.sort_array(F.collect_list("w")).alias("w"))
-    lists = lists.select("block", F.col("w.c").alias("c"), F.col("w.class").alias("classes"))
-    return materialise(blocks.drop("words", "counts").join(lists, "block", "left"), "counted")
+    """The blocks with the counts of the words that other blocks have too (pos, c)."""
+    shared = words.where("c <> n").groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("w"))
+    lists = shared.select("block", F.col("w.pos").alias("pos"), F.col("w.c").alias("c"))
+    return materialise(blocks.join(lists, "block", "left"), "counted")
 
 
 @dataclass(frozen=True)
@@ -145,25 +167,38 @@ class Block:
     def __init__(self, row, counts: Counts):
         n = len(row["lengths"])
         self.lengths = np.asarray(row["lengths"], np.int64) + 1
-        c = np.asarray(row["c"] if row["c"] is not None else [], np.float64)
-        classes = np.asarray(row["classes"] if row["classes"] is not None else [], np.int64)
+        words = np.asarray(row["words"], np.int64)
+        c = np.asarray(row["counts"], np.float64)
+        if row["pos"] is not None:
+            c[np.asarray(row["pos"], np.int64)] = np.asarray(row["c"], np.float64)
+        classes = np.asarray(row["rare"], np.int64)
+        if len(counts.frequent) and len(words):
+            at = np.minimum(np.searchsorted(counts.frequent, words), len(counts.frequent) - 1)
+            classes = np.where(counts.frequent[at] == words, counts.classes[at], classes)
         rare = classes > FREQUENT
         within = np.ones(len(c) + 1)
         within[:-1][rare] = ((c + 0.5) / (counts.by_class[classes] + 0.5 * (counts.words_of[classes] + 1)))[rare]
         self.within, self.classes = within, np.r_[classes, END]
         self.c = np.r_[c, counts.by_class[END]]
-        ids = np.frombuffer(row["ids"], np.int32)
-        self.ids = np.full(len(ids) + n, len(c))
-        ends = np.cumsum(self.lengths) - 1
+        self.ids = np.full(int(self.lengths.sum()), len(c))
+        self.ends = np.cumsum(self.lengths)
         mask = np.ones(len(self.ids), bool)
-        mask[ends] = False
-        self.ids[mask] = ids
+        mask[self.ends - 1] = False
+        self.ids[mask] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["ids"]), np.int32)
         self.held = np.asarray(row["held"], bool)
-        self.starts = ends + 1 - self.lengths
+        self.starts = self.ends - self.lengths
 
     def emission(self, model: Model) -> np.ndarray:
         return model.emission[self.classes] * self.within[:, None]
 
+    def parts(self) -> Iterator[slice]:
+        """Runs of texts of about PART_TOKENS; a longer text stands alone."""
+        at = 0
+        while at < len(self.ends):
+            to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + PART_TOKENS, "right")))
+            yield slice(at, to)
+            at = to
+
 
 def _expect(counts, model) -> Callable:
     """Expected counts of a task's training texts, in slices of one flat array."""
@@ -174,20 +209,22 @@ def _expect(counts, model) -> Callable:
         for batch in batches:
             for _, row in batch.iterrows():
                 block = Block(row, told)
-                train = ~block.held
-                if not train.any():
-                    continue
-                ids = block.ids[np.repeat(train, block.lengths)]
-                chains = Chains(block.lengths[train])
-                laid = chains.laid(ids)
-                e = block.emission(m)[laid]
-                alpha, scale = chains.forward(e, m.moves, m.first)
-                beta = chains.backward(e, m.moves, scale)
-                moved = chains.moved(alpha, beta, e, m.moves, scale)
-                alpha *= beta
-                classes = block.classes[laid]
-                seen = np.stack([np.bincount(classes, alpha[:, s], N_CLASSES) for s in range(STATES)], 1)
-                total += np.r_[alpha[: chains.active[0]].sum(0), moved.ravel(), seen.ravel()]
+                emission = block.emission(m)
+                for part in block.parts():
+                    train, lengths = ~block.held[part], block.lengths[part]
+                    if not train.any():
+                        continue
+                    ids = block.ids[block.starts[part][0] : block.ends[part][-1]][np.repeat(train, lengths)]
+                    chains = Chains(lengths[train])
+                    laid = chains.laid(ids)
+                    e = emission[laid]
+                    alpha, scale = chains.forward(e, m.moves, m.first)
+                    beta = chains.backward(e, m.moves, scale)
+                    moved = chains.moved(alpha, beta, e, m.moves, scale)
+                    alpha *= beta
+                    classes = block.classes[laid]
+                    seen = np.stack([np.bincount(classes, alpha[:, s], N_CLASSES) for s in range(STATES)], 1)
+                    total += np.r_[alpha[: chains.active[0]].sum(0), moved.ravel(), seen.ravel()]
         parts = np.array_split(total, SLICES)
         yield pd.DataFrame({"slice": range(SLICES), "sums": [p.tobytes() for p in parts]})
 
@@ -227,20 +264,26 @@ def _score(counts, model) -> Callable:
         for batch in batches:
             for _, row in batch.iterrows():
                 block = Block(row, told)
-                chains = Chains(block.lengths)
-                _, scale = chains.forward(block.emission(m)[chains.laid(block.ids)], m.moves, m.first)
+                emission = block.emission(m)
                 base = np.log10((block.c + 0.5) / (told.tokens + 0.5 * (told.distinct + 1)))
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.array([None if pd.isna(i) else int(i) for i in row["doc_ids"]], "Int64"),
-                        "held_out": block.held,
-                        "n_tokens": block.lengths,
-                        "n_known": np.add.reduceat((block.c > 0)[block.ids].astype(np.int64), block.starts),
-                        "train_tokens": told.tokens,
-                        "base_score": np.add.reduceat(base[block.ids], block.starts),
-                        "score": chains.sums(np.log10(scale)),
-                    }
-                )
+                for part in block.parts():
+                    lengths = block.lengths[part]
+                    ids = block.ids[block.starts[part][0] : block.ends[part][-1]]
+                    starts = block.starts[part] - block.starts[part][0]
+                    chains = Chains(lengths)
+                    _, scale = chains.forward(emission[chains.laid(ids)], m.moves, m.first)
+                    doc_ids = [None if pd.isna(i) else int(i) for i in row["doc_ids"][part]]
+                    yield pd.DataFrame(
+                        {
+                            "doc_id": pd.array(doc_ids, "Int64"),
+                            "held_out": block.held[part],
+                            "n_tokens": lengths,
+                            "n_known": np.add.reduceat((block.c > 0)[ids].astype(np.int64), starts),
+                            "train_tokens": told.tokens,
+                            "base_score": np.add.reduceat(base[ids], starts),
+                            "score": chains.sums(np.log10(scale)),
+                        }
+                    )
 
     return run
 
