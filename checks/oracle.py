@@ -275,6 +275,10 @@ def oracle_sql() -> dict[str, str]:
         "upsert_posts": f"""SELECT {FLAT} FROM (
   SELECT * EXCLUDE (arrival) FROM revisions WHERE wip QUALIFY row_number() OVER (PARTITION BY number ORDER BY arrival DESC) = 1
   UNION ALL BY NAME SELECT * FROM posts WHERE number NOT IN (SELECT number FROM revisions WHERE wip))""",
+        "collect_run": f"""SELECT {FLAT} FROM (
+  SELECT * EXCLUDE (arrival) FROM revisions WHERE {SINCE}
+  QUALIFY row_number() OVER (PARTITION BY number ORDER BY updated_at DESC, arrival DESC) = 1
+  UNION ALL BY NAME SELECT * FROM posts WHERE number NOT IN (SELECT number FROM revisions WHERE {SINCE}))""",
         "posts_schema": f"SELECT {FLAT} FROM posts",
         "publish_index": f"SELECT number AS docid, full_name AS title, body_md AS body, url, {STAMP.format('updated_at')} FROM posts",
         "crawl_state": "SELECT CAST(1 AS BIGINT) AS run_no, '2024-02-01' AS executed_at, strftime(max(updated_at), '%Y-%m-%d') AS last_updated_at, 'success' AS exit_status FROM revisions",

@@ -14,7 +14,7 @@ from siftwood.functions.vectors import unit_vector
 from siftwood.index import Index
 from siftwood.operators import index as ix
 from siftwood.operators import ingest, neighbours, numbering, projections, ranking, terms
-from siftwood.plans import build, search
+from siftwood.plans import build, collect, search
 from siftwood.sinks import files, index_store
 from siftwood.sources import readers
 from siftwood.streaming import feeds
@@ -180,6 +180,18 @@ def upsert_posts(spark, sf):
     return _flat_posts(ingest.upsert_posts(fx.posts(spark, sf), changes))
 
 
+@query
+def collect_run(spark, sf):
+    def run(path: str) -> None:
+        fx.run_log(spark, sf).select(*[f.split()[0] for f in ingest.RUN_LOG.split(", ")]).write.parquet(f"{path}/runs")
+        feed = fx.feed_pages(spark, sf)
+        merged = collect.collect(spark, feed, fx.posts(spark, sf), f"{path}/runs", "2024-02-01")
+        merged.write.parquet(f"{path}/posts")
+
+    posts = fx.posts(spark, sf)
+    return _flat_posts(spark.read.schema(posts.schema).parquet(fx.once(spark, sf, "collected", run) + "/posts"))
+
+
 @query
 def posts_schema(spark, sf):
     return _flat_posts(projections.conform_posts(fx.posts(spark, sf)))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siftwood.mapping import Mapping
 from siftwood.operators import ingest, projections
+from siftwood.plans import collect
 from siftwood.sinks.files import write_jsonl
 from siftwood.sources import readers
 from siftwood.streaming import feeds
@@ -177,6 +178,26 @@ def test_empty_feed_is_a_good_run(spark, tmp_path):
     assert rows(feeds.merged_posts(target, str(tmp_path / "log")).select("number")) == [("9",)]
 
 
+def test_failed_run_is_logged_and_followed_by_a_full_read(spark, tmp_path):
+    feed, log = tmp_path / "feed", str(tmp_path / "runs")
+    feed.mkdir()
+    target = projections.conform_posts(spark.createDataFrame([("9", "keep")], "number string, full_name string"))
+    _feed(feed, "a", 1, [1, 2], 1)
+    merged = collect.collect(spark, str(feed), target, log, "2024-01-03")
+    assert rows(merged.select("number")) == [("1",), ("2",), ("9",)]
+    (feed / "broken.json").write_text("no json")
+    with pytest.raises(Exception):
+        collect.collect(spark, str(feed), merged, log, "2024-01-04")
+    (feed / "broken.json").unlink()
+    again = collect.collect(spark, str(feed), target, log, "2024-01-05")
+    assert rows(again.select("number")) == [("1",), ("2",), ("9",)]
+    assert [r[1:] for r in rows(collect.read_run_log(spark, log).select("run_no", "executed_at", "exit_status"))] == [
+        ("2024-01-03", "success"), ("2024-01-04", "error"), ("2024-01-05", "success")
+    ]
+    late = collect.collect(spark, str(feed), target, log, "2024-01-06")  # nothing is as new as the last run
+    assert rows(late.select("number")) == [("9",)]
+
+
 def test_stream_dedupe_passes_once(spark, tmp_path):
     schema = "number string, updated_at timestamp"
     stamps = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
