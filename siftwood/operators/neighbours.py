@@ -128,12 +128,15 @@ def _with_packed_queries(vectors: DataFrame, queries: DataFrame, k: int) -> Data
     are packed into blocks; query blocks are copied to every lane, documents are
     dealt to lanes by key, and blocks that meet in a lane are multiplied."""
     lanes = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Packed as they are stored, so that scores don't depend on the form chosen.
+    stored = {df.schema["vec"].dataType.elementType.typeName() for df in (vectors, queries)}
+    kind = np.float32 if stored == {"float"} else np.float64
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, _BLOCK):
                 part = batch.slice(start, _BLOCK)
-                matrix = _matrix(part.column(1)).astype(np.float32)
+                matrix = _matrix(part.column(1)).astype(kind)
                 yield pa.record_batch(
                     [pa.array([part.column(0).to_pylist()]), pa.array([matrix.tobytes()], pa.binary())],
                     names=["ids", "matrix"],
@@ -155,8 +158,8 @@ def _with_packed_queries(vectors: DataFrame, queries: DataFrame, k: int) -> Data
         for batch in batches:
             for row in batch.to_pylist():
                 qids, ids = np.array(row["ids"], np.int64), np.array(row["doc_ids"], str)
-                left = np.frombuffer(row["matrix"], np.float32).astype(np.float64).reshape(len(qids), -1)
-                right = np.frombuffer(row["doc_matrix"], np.float32).astype(np.float64).reshape(len(ids), -1)
+                left = np.frombuffer(row["matrix"], kind).astype(np.float64).reshape(len(qids), -1)
+                right = np.frombuffer(row["doc_matrix"], kind).astype(np.float64).reshape(len(ids), -1)
                 best = _Best(len(qids), k)
                 best.add(np.arange(len(qids)), left, right, ids)
                 yield best.batch(qids)
@@ -168,7 +171,7 @@ def _with_packed_queries(vectors: DataFrame, queries: DataFrame, k: int) -> Data
 def _fits(queries: DataFrame, k: int, limit: int) -> bool:
     """Whether the query matrix and the hits a task keeps for it are small."""
     row = queries.agg(F.count("*").alias("n"), F.sum(F.size("vec")).alias("values")).first()
-    return row["n"] <= 1 or (row["values"] * 8 <= limit and row["n"] * k <= _KEPT_ROWS)
+    return not row["n"] or (row["values"] * 8 <= limit and row["n"] * k <= _KEPT_ROWS)
 
 
 def _collect_queries(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -59,6 +59,23 @@ def test_knn_beyond_the_broadcast_bound_is_the_same(spark):
     assert as_set(nb.knn(df, queries, 5, max_query_bytes=0)) == brute(points, points, 5)
 
 
+def test_both_forms_give_the_same_scores_for_doubles(spark):
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(60, 8))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"d{i:04d}", p.tolist()) for i, p in enumerate(points)], "doc_id string, vec array<double>")
+    direct, packed = (nb.knn(df, as_queries(df), 9, max_query_bytes=n).collect() for n in (1 << 20, 0))
+    assert sorted(map(tuple, direct)) == sorted(map(tuple, packed))
+
+
+def test_unequal_widths_raise(spark):
+    rows = [("d0001", [1.0, 0.0]), ("d0002", [1.0, 0.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "doc_id string, vec array<float>").coalesce(1)
+    one = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "qid bigint, vec array<float>")
+    with pytest.raises(Exception, match="one width"):
+        nb.knn(df, one, 2).collect()
+
+
 def test_knn_ignores_null_vectors_and_empty_sides(spark):
     df, points = vectors(spark, 10)
     gaps = df.withColumn("vec", F.when(F.col("doc_id") != "d0003", F.col("vec")))
