@@ -263,18 +263,18 @@ def paged(scores: str, start: str, stop: str) -> str:
 def oracle_sql() -> dict[str, str]:
     ranked = lambda scores, k: f"SELECT qid, rank, doc_id, score FROM (SELECT *, {RANK} FROM {scores}) WHERE rank <= {k}"
     sql = {
-        "read_jsonl": "SELECT doc_id, text, lang, n_chars FROM documents",
+        "read_jsonl": "SELECT doc_id, text, lang, source, n_chars FROM documents",
         "conform_docs": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, CASE WHEN lang <> 'fr' THEN source ELSE '' END AS title FROM documents",
-        "read_table": "SELECT doc_id, lang, source, n_chars FROM documents",
+        "read_table": "SELECT doc_id, text, lang, source, n_chars FROM documents",
         "read_feed_pages": f"""SELECT CAST((n - 1) // 100 + 1 AS INT) AS page, CAST((n - 1) % 100 AS INT) AS pos, number, full_name, wip,
   body_md AS body, {STAMP.format('updated_at')}, url, created_by AS author FROM numbered""",
         "incremental_scan": f"""SELECT number, arrival, strftime(updated_at, '%Y-%m-%d') AS day FROM revisions WHERE {SINCE}""",
         "page_rows": "SELECT number, arrival, n, (n - 1) // 100 + 1 AS page FROM numbered",
         "chunk_rows": "SELECT doc_id, n_chars, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 64 AS chunk FROM documents",
-        "write_jsonl": "SELECT number, full_name, wip, body_md, body_html, url, created_by FROM posts",
+        "write_jsonl": f"SELECT {FLAT} FROM posts",
         "upsert_posts": f"""SELECT {FLAT} FROM (
-  SELECT * EXCLUDE (arrival) FROM revisions WHERE wip QUALIFY row_number() OVER (PARTITION BY number ORDER BY arrival DESC) = 1
-  UNION ALL BY NAME SELECT * FROM posts WHERE number NOT IN (SELECT number FROM revisions WHERE wip))""",
+  SELECT * EXCLUDE (arrival) FROM revisions WHERE length(body_md) >= 1500 QUALIFY row_number() OVER (PARTITION BY number ORDER BY arrival DESC) = 1
+  UNION ALL BY NAME SELECT * FROM posts WHERE number NOT IN (SELECT number FROM revisions WHERE length(body_md) >= 1500))""",
         "collect_run": f"""SELECT {FLAT} FROM (
   SELECT * EXCLUDE (arrival) FROM revisions WHERE {SINCE}
   QUALIFY row_number() OVER (PARTITION BY number ORDER BY updated_at DESC, arrival DESC) = 1

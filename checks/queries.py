@@ -114,7 +114,7 @@ def with_totals(results: search.Results) -> DataFrame:
 
 @query
 def read_jsonl(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
+    docs = fx.table(spark, sf, "documents")
     path = fx.once(spark, sf, "jsonl", lambda p: files.write_jsonl(docs, p))
     return readers.read_jsonl(spark, path, docs.schema)
 
@@ -128,7 +128,7 @@ def conform_docs(spark, sf):
 @query
 def read_table(spark, sf):
     fx.table(spark, sf, "documents").createOrReplaceTempView("siftwood_documents")
-    return readers.read_table(spark, "siftwood_documents").select("doc_id", "lang", "source", "n_chars")
+    return readers.read_table(spark, "siftwood_documents")
 
 
 @query
@@ -162,9 +162,9 @@ def chunk_rows(spark, sf):
 
 @query
 def write_jsonl(spark, sf):
-    posts = fx.posts(spark, sf).select("number", "full_name", "wip", "body_md", "body_html", "url", "created_by")
+    posts = fx.posts(spark, sf)
     path = fx.once(spark, sf, "posts-jsonl", lambda p: files.write_jsonl(posts, p))
-    return readers.read_jsonl(spark, path, posts.schema)
+    return _flat_posts(readers.read_jsonl(spark, path, posts.schema))
 
 
 def _flat_posts(df: DataFrame) -> DataFrame:
@@ -176,7 +176,8 @@ def _flat_posts(df: DataFrame) -> DataFrame:
 
 @query
 def upsert_posts(spark, sf):
-    changes = fx.revisions(spark, sf).where("wip")
+    """All revisions of the long posts; the short ones stay."""
+    changes = fx.revisions(spark, sf).where("length(body_md) >= 1500")
     return _flat_posts(ingest.upsert_posts(fx.posts(spark, sf), changes))
 
 
