@@ -41,7 +41,7 @@ END = 0  # class of the end mark; frequent words follow, then rare classes
 N_CLASSES = 1 + FREQUENT + RARE
 SLICES = 64
 BLOCK_BYTES = 16 << 20
-PART_TOKENS = 600_000
+PART_TOKENS = 200_000
 STICKY = 0.98
 PRIOR = 200.0  # tokens' worth of overall frequencies in each state's emissions
 
