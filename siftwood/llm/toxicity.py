@@ -1,11 +1,12 @@
 """Toxic spans by a linear-chain conditional random field, and document scores.
 
 Words and their beginnings are features. How many toxic and clean labelled
-documents hold each gives a lexicon; a token's code tells how common among
-toxic documents its word, and its best beginning, in the lexicon are. Tokens of
-toxic documents with a common entry are labelled toxic, all others clean, and
-the field (a weight per code and state, and one per pair of states) is fitted
-to those labels. Forward and backward passes give every token's marginal
+documents hold each gives a lexicon of cautious odds, so an entry is judged by
+its own documents, however few of all toxic ones its language has. A token's code
+tells the level of the odds of its word, and of its best beginning. Tokens of toxic
+documents at a high level, or at the document's highest, are labelled toxic, all
+others clean, and the field (a weight per code and state, and one per pair of
+states) is fitted to those labels. Forward and backward passes give every token's marginal
 probability; a document's score is a logistic function of the largest and the
 summed marginals, and its spans are runs of tokens more likely toxic than not.
 
@@ -37,10 +38,11 @@ TRAIN_DOCS = 600
 LEXICON = 50_000
 BEGINNINGS = [4, 5, 6, 7]
 LEAST_DOCS = 3
-LEAST_ODDS = 3.0
-# Shares of toxic documents that hold an entry, from which its level is 1, 2, 3.
-LEVELS = [0.0, 0.01, 0.03]
-LABELLED = 3
+# Cautious log odds from which an entry's level is 1 to 4.
+LEVELS = [1.0, 1.5, 2.0, 2.5]
+LABELLED = 2
+# The square root of a count is moved by so much against the entry.
+CAUTION = 0.85
 N_CODES = (len(LEVELS) + 1) ** 2
 SEGMENT = 256
 SLICE = 8 << 20
@@ -99,11 +101,12 @@ class Lexicon:
 def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     counts = sample.mapInPandas(_count, "feature bigint, toxic bigint, clean bigint")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    best = counts.where(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    rows = best.orderBy(F.desc("toxic"), "feature").limit(LEXICON).select("feature", "toxic").collect()
+    least_toxic, most_clean = F.sqrt(F.col("toxic") + 0.5) - CAUTION, F.sqrt(F.col("clean") + 0.5) + CAUTION
+    odds = 2 * (F.log(least_toxic) - F.log(most_clean)) - F.log(F.lit((n_toxic + 1) / (n_clean + 1)))
+    best = counts.where(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEVELS[0])
+    rows = best.orderBy(F.desc("odds"), "feature").limit(LEXICON).select("feature", "odds").collect()
     features = np.array([r["feature"] for r in rows], np.int64).view(np.uint64)
-    levels = np.searchsorted(LEVELS, np.array([r["toxic"] for r in rows]) / max(n_toxic, 1), "right")
+    levels = np.searchsorted(LEVELS, np.array([r["odds"] for r in rows]), "right")
     order = np.argsort(features)
     return Lexicon(features[order], levels[order])
 
@@ -127,7 +130,8 @@ def fit_field(codes: list[np.ndarray], toxic: np.ndarray, rounds: int = 60) -> F
     parts, labels = [], []
     for own, is_toxic in zip(codes, toxic, strict=True):
         level = np.maximum(own // (len(LEVELS) + 1), own % (len(LEVELS) + 1))
-        marks = (level >= LABELLED).astype(np.int64) * int(is_toxic)
+        bar = min(LABELLED, max(level.max(initial=0), 1))
+        marks = (level >= bar).astype(np.int64) * int(is_toxic)
         for i in range(0, len(own), SEGMENT):
             parts.append(own[i : i + SEGMENT])
             labels.append(marks[i : i + SEGMENT])

@@ -230,6 +230,29 @@ def test_toxic_words_are_learned_and_located(spark):
         assert len(scores) == 1 and 0 <= scores.pop() <= 1
 
 
+def test_toxic_words_of_a_small_language_are_learned(spark):
+    """One in 26 toxic documents is of the second language; some clean ones hold its word too."""
+    rng = random.Random(16)
+    rows, labels, bad = [], [], {0: "vilefoo", 1: "malvado"}
+    other = [a + b for a in "uno dos tres rio piedra luz agua".split() for b in ["", "s", "ito"]]
+    for i in range(2496):
+        small = i >= 2400
+        body = [rng.choice(other) for _ in range(40)] if small else sentence(rng, 40).split()
+        if i % 4 == 0 or (small and i % 16 == 1):
+            for _ in range(3 if i % 4 == 0 else 1):
+                body.insert(rng.randrange(len(body)), bad[small])
+        rows.append((i, " ".join(body), "es" if small else "en", "a"))
+        labels.append((i, int(i % 4 == 0)))
+    docs, truth = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.train(docs, truth, crc_share("doc_id", 4) == 2)).collect()}
+    for i, t, *_ in rows[2400:]:
+        if i % 16 != 1:
+            assert (got[i]["score"] >= 0.3) == (i % 4 == 0)
+        if i % 4 == 0:
+            found = [t[int(a) : int(b)] for a, b in (s.split(":") for s in got[i]["spans"].split(","))]
+            assert all(w == "malvado" for span in found for w in span.split())
+
+
 def test_scoring_survives_odd_texts(docs):
     nothing = toxicity.Lexicon(np.array([1], np.uint64), np.array([3]))
     field = toxicity.Field(np.zeros((toxicity.N_CODES, 2)), np.zeros((2, 2)))
