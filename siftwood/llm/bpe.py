@@ -41,8 +41,10 @@ ROWS = 500  # of a batch, handed back together
 # The characters with the Unicode property White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _white = re.compile(f"[{WHITE}]+")
-# Letters up to U+024F that are the same in every version of Unicode, in composed form.
-_LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+# Letters up to U+024F that are the same in every version of Unicode, in composed form,
+# without those whose lower case is none of them.
+_letters = re.findall("[A-Za-zÀ-ÖØ-öø-įı-ɏ]", "".join(map(chr, range(0x250))))
+_LATIN = "".join([c for c in _letters if c.lower() in _letters])
 _plain = re.compile(f"[!-~{_LATIN}]+")
 _plain_pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
 

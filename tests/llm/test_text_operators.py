@@ -265,6 +265,16 @@ def test_encoding_equals_the_library(spark, docs, rows):
     assert bpe.digest(docs.limit(0), spec).count() == 0
 
 
+def test_every_latin_character_is_encoded_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    spec = queries.tokenizer_file()
+    library, encoder = Tokenizer.from_str(spec), bpe.Encoder(spec)
+    for c in map(chr, range(0x21, 0x250)):
+        for text in (c, f"{c}liyev", f"a{c}'s", f"x{c.lower()}{c}1"):
+            assert encoder.encode(text) == encoder.pack(library.encode(text, add_special_tokens=False).ids), text
+
+
 def test_joins_agree_with_whole_encoding():
     encoder = bpe.Encoder(queries.tokenizer_file())
     rng = random.Random(9)
