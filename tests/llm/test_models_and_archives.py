@@ -293,6 +293,20 @@ def test_licenses_are_found_and_nothing_else(spark, docs):
     assert licenses.scan(docs).count() == 0 and licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows of one id are told apart by their texts; texts without words are linked with nothing."""
+    rng = random.Random(21)
+    copied, near, own, other = (sentence(rng, 90) for _ in range(4))
+    rows = [(3, copied), (7, copied.upper()), (7, own), (9, other), (9, other), (11, near), (11, near + " end")]
+    rows += [(None, ""), (None, ""), (None, None), (5, " \n"), (5, "")]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in rows]).select(*corpus_pipeline.COLUMNS)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, SMALL).collect()]
+    nears = [row for row in got if row[0] == 11]
+    assert len(nears) == 1 and nears[0] in rows
+    want = [(3, copied), (7, own), (9, other), *nears, *rows[7:]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # --- registration and pipeline ----------------------------------------------------------
 
 
