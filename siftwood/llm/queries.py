@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.cluster import materialise
-from siftwood.llm import bpe, hmm, jaccard, licenses, mixing, multi_index, pii, rules, toxicity, warc
+from siftwood.llm import bpe, hmm, jaccard, licenses, mixing, multi_index, pii, rules, secrets, toxicity, warc
 from siftwood.llm.frames import crc_share, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,8 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     held = crc_share("doc_id", 4) == 2
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels"), held))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
+
+
+@query
+def op12_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.digest(table(spark, sf, "documents"))
