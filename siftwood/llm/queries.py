@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.cluster import materialise
-from siftwood.llm import bpe, hmm, jaccard, licenses, mixing, multi_index, pii, rules, secrets, toxicity, warc
+from siftwood.llm import bpe, hmm, jaccard, licenses, mixing, multi_index, pii, rules, secrets, toxicity, trie, warc
 from siftwood.llm.frames import crc_share, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,58 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op12_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.digest(table(spark, sf, "documents"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.trie(table(spark, sf, "conversations"))
+
+
+ORACLE_SQL["op13_prefix_trie"] = r"""
+WITH ids AS (
+  SELECT conv_id, turn, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS tokens,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) - 1 AS pos FROM ids
+), sizes AS (
+  -- crc32 of the decimal id, bit by bit: a byte is put in, then eight shifts (marked -1)
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base, xor(list_reduce(
+    list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+      lambda c: list_concat([ascii(c)::BIGINT], list_transform(range(8), lambda i: -1::BIGINT))))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END
+  ), 4294967295::BIGINT) % 4 AS h
+  FROM own GROUP BY conv_id
+), plans AS (
+  SELECT s.conv_id, s.base, s.h, least(s.h, coalesce(b.n, 0)) AS lent,
+    least(s.h, coalesce(b.n, 0)) + greatest(s.n - s.h, 0) AS turns
+  FROM sizes s LEFT JOIN sizes b ON b.conv_id = s.base
+), rebuilt AS (
+  SELECT o.conv_id, pos - h + lent + 1 AS depth, id, tokens FROM own o JOIN plans USING (conv_id) WHERE pos >= h
+  UNION ALL
+  SELECT p.conv_id, pos + 1, id, tokens FROM own o JOIN plans p ON o.conv_id = p.base WHERE pos < p.h
+), steps AS (
+  SELECT conv_id, depth, tokens, sha256(string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM plans
+), owned AS (
+  SELECT s.*, turns = depth AS ends, min(conv_id) OVER (PARTITION BY node) AS owner,
+    lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent
+  FROM steps s JOIN plans USING (conv_id)
+), kids AS (
+  SELECT parent AS node, count(DISTINCT node) AS n_children, any_value(1) FROM owned WHERE depth > 0 GROUP BY parent
+), told AS (
+  -- a leaf counts for its least member, a node's tokens are saved by all members but the least
+  SELECT o.*, coalesce(n_children, 0) AS n_children,
+    bool_or(ends AND n_children IS NULL AND conv_id = owner) OVER (PARTITION BY conv_id) AS leaf,
+    sum(CASE WHEN conv_id = owner THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY depth DESC) AS saved
+  FROM owned o LEFT JOIN kids USING (node)
+), nodes AS (
+  SELECT node, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs,
+    any_value(n_children) AS n_children, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM told GROUP BY node
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n.n_leaves,
+  n.saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.parent = p.node
+"""
