@@ -235,7 +235,8 @@ class _Index:
             i, j = divmod(row["cell"], len(right))
             counts[row["cell"]] = row["n"]
             radii[0][i], radii[1][j] = max(radii[0][i], row["l"]), max(radii[1][j], row["r"])
-        size = int(min(BLOCK_ROWS, max(256, BLOCK_BYTES // (8 * width))))
+        # Small tables get small blocks, so that they too are dealt to many tasks.
+        size = int(min(BLOCK_ROWS, max(512, n // 64), max(256, BLOCK_BYTES // (8 * width))))
         n_blocks = np.maximum(-(-counts // size), 1)
         small = n_blocks == 1
         packed = np.cumsum(np.where(small, counts, 0)) // size
