@@ -191,18 +191,17 @@ def _search(width: int) -> Callable:
                 for score, row in zip(products, some.itertuples(index=False), strict=True):
                     probed = np.zeros(len(known), bool)
                     probed[np.searchsorted(known, row.cells)[np.isin(row.cells, known)]] = True
-                    asked_rows = probed[cell]
+                    same = labels == row.label
                     if len(row.goals):
-                        asked_rows &= labels != row.label
-                        windows = [(int(g), asked_rows & (score >= lowest(int(g))) & (score <= g)) for g in set(row.goals)]
+                        at = np.flatnonzero(probed[cell] & ~same)
+                        windows = [(int(g), at[(score[at] >= lowest(int(g))) & (score[at] <= g)]) for g in set(row.goals)]
                     else:
-                        windows = [(0, asked_rows & (labels == row.label) & (ids != row.anchor_id))]
-                    for goal, inside in windows:
-                        here = np.flatnonzero(inside)
+                        windows = [(0, np.flatnonzero(probed[cell] & same & (ids != row.anchor_id)))]
+                    for goal, here in windows:
                         best = here[_first(ids[here], score[here], NEGATIVES if len(row.goals) else POSITIVES)]
-                        out.append(pd.DataFrame({"anchor_id": row.anchor_id, "goal": goal, "vec_id": ids[best], "score": score[best]}))
+                        out.append(np.stack([np.full(len(best), row.anchor_id), np.full(len(best), goal), ids[best], score[best]]))
         columns = [c.split()[0] for c in _FOUND.split(", ")]
-        return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.int64) for c in columns})
+        return pd.DataFrame(dict(zip(columns, np.concatenate(out, 1) if out else np.empty((4, 0), np.int64), strict=True)))
 
     return run
 
@@ -236,7 +235,7 @@ class _Index:
             counts[row["cell"]] = row["n"]
             radii[0][i], radii[1][j] = max(radii[0][i], row["l"]), max(radii[1][j], row["r"])
         # Small tables get small blocks, so that they too are dealt to many tasks.
-        size = int(min(BLOCK_ROWS, max(512, n // 64), max(256, BLOCK_BYTES // (8 * width))))
+        size = int(min(BLOCK_ROWS, max(512, n // 32), max(256, BLOCK_BYTES // (8 * width))))
         n_blocks = np.maximum(-(-counts // size), 1)
         small = n_blocks == 1
         packed = np.cumsum(np.where(small, counts, 0)) // size
