@@ -27,3 +27,8 @@ def spread(docs: DataFrame) -> DataFrame:
     """Deal out a table of fewer splits than cores; larger ones stay as they are."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the bytes of texts that a Python worker gets at once; 10,000 long texts are too many."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwood.llm.frames import spread, whole_text
+from siftwood.llm.frames import spread
 from siftwood.llm.words import Texts, _is_space, as_bytes, mix, slices, windows
 
 # Characters that count as symbols.
@@ -106,17 +106,23 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        texts = [as_bytes(x) for x in batch.pop("text")]
+        texts = [as_bytes(x) for x in batch["text"]]
         for a, b in slices(texts):
             yield batch.iloc[a:b].assign(**measure(texts[a:b]))
 
 
+def _measured_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for measured in _measured(batches):
+        yield measured.drop(columns="text")
+
+
 def features(docs: DataFrame, *columns: str) -> DataFrame:
     """``columns`` (by default doc_id) with COUNTS and MORE of every text."""
-    docs = whole_text(docs, *(columns or ["doc_id"]))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
+    columns = columns or ("doc_id",)
+    docs = docs.select(*columns, "text") if "text" not in columns else docs.select(*columns)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns]
     schema = ", ".join(kept + [f"{c} bigint" for c in COUNTS + MORE])
-    return spread(docs).mapInPandas(_measured, schema)
+    return spread(docs).mapInPandas(_measured if "text" in columns else _measured_only, schema)
 
 
 @dataclass(frozen=True)
@@ -197,15 +203,20 @@ def cover(values: np.ndarray, bad: np.ndarray, prune_part: np.ndarray) -> list[R
     return rules
 
 
-def learn(measured: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules for what labels with quality 0, from at most about ``sample_rows`` labelled rows."""
+def sampled(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id and _quality of at most about ``sample_rows`` labelled documents."""
     labels = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     labels = labels.groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     n = labels.count()
     if n > sample_rows:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
+    return labels
+
+
+def learn(measured: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Rules for what labels with quality 0, from at most about ``sample_rows`` labelled rows."""
     rows = (
-        measured.join(labels, "doc_id")
+        measured.join(sampled(labels, sample_rows), "doc_id")
         .select("_quality", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)).alias("_part"), *[F.expr(c).cast("double").alias(k) for k, c in RATIOS.items()])
         .orderBy("_part", *RATIOS)
         .toPandas()
