@@ -55,6 +55,22 @@ class Chains:
             beta[p : p + n] = ((emission[a : a + n] * beta[a : a + n]) / scale[a : a + n, None]) @ back
         return beta
 
+    def backward_with_moves(
+        self, alpha: np.ndarray, emission: np.ndarray, moves: np.ndarray, scale: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """``backward`` and ``moved`` in one pass, without copies of all items."""
+        beta, met = np.ones_like(emission), np.zeros_like(moves)
+        ahead = emission * (1 / scale)[:, None]
+        back = np.ascontiguousarray(moves.T)
+        for t in range(len(self.active) - 1, 0, -1):
+            a, n = self.offsets[t], self.active[t]
+            p = self.offsets[t - 1]
+            weighed = ahead[a : a + n]
+            weighed *= beta[a : a + n]
+            beta[p : p + n] = weighed @ back
+            met += alpha[p : p + n].T @ weighed
+        return beta, moves * met
+
     def moved(self, alpha: np.ndarray, beta: np.ndarray, emission: np.ndarray, moves: np.ndarray, scale: np.ndarray) -> np.ndarray:
         """Expected numbers of moves between states."""
         if len(self.active) < 2:

@@ -219,8 +219,7 @@ def _expect(counts, model) -> Callable:
                     laid = chains.laid(ids)
                     e = emission[laid]
                     alpha, scale = chains.forward(e, m.moves, m.first)
-                    beta = chains.backward(e, m.moves, scale)
-                    moved = chains.moved(alpha, beta, e, m.moves, scale)
+                    beta, moved = chains.backward_with_moves(alpha, e, m.moves, scale)
                     alpha *= beta
                     classes = block.classes[laid]
                     seen = np.stack([np.bincount(classes, alpha[:, s], N_CLASSES) for s in range(STATES)], 1)

@@ -152,6 +152,8 @@ def test_chains_equal_enumeration():
     assert np.allclose(chains.sums(np.log(scale)), likelihoods)
     assert np.allclose((alpha * beta)[chains.place], marginals)
     assert np.allclose(moved, want_moved)
+    both = chains.backward_with_moves(alpha, laid, moves, scale)
+    assert np.allclose(both[0], beta) and np.allclose(both[1], moved)
 
 
 def test_language_model_counts_and_scores(spark, docs):
@@ -312,7 +314,7 @@ def test_one_row_of_each_group_stays(spark):
 
 def test_one_query_per_operator():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES][:2] == ["quality_rules", "ngram_jaccard_join"]
 
 
