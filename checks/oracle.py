@@ -341,6 +341,11 @@ FROM (SELECT doc_id, norm, unnest(range(64)) AS pos FROM n) n LEFT JOIN s ON s.d
   round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM posts LEFT JOIN embeddings ON CAST(vec_id AS VARCHAR) = number""",
         "knn_exact": f"""SELECT qid, rank, doc_id, score FROM (SELECT *, {RANK} FROM (
   SELECT CAST(q.doc_id AS BIGINT) AS qid, d.doc_id, {near('d.vec', 'q.vec')} AS score FROM units q, units d)) WHERE rank <= 10""",
+        "knn_all_cells": f"""SELECT qid, rank, doc_id, score FROM (SELECT qid, doc_id, score, {RANK} FROM (
+  SELECT CAST(q.doc_id AS BIGINT) AS qid, d.doc_id, {near('d.vec', 'q.vec')} AS score,
+    round((1 + list_dot_product(list_transform(d.vec, lambda x: CAST(round(x * CAST(127 AS FLOAT)) AS DOUBLE) / 127),
+      list_transform(q.vec, lambda x: round(CAST(x AS DOUBLE) * 127) / 127))) / 2, 6) AS coarse
+  FROM units q, units d QUALIFY row_number() OVER (PARTITION BY q.doc_id ORDER BY coarse DESC, d.doc_id) <= 20)) WHERE rank <= 10""",
         "knn_filtered": f"SELECT qid, rank, doc_id, score FROM (SELECT *, {RANK} FROM (SELECT qid, doc_id, near AS score FROM near_matches)) WHERE rank <= 10",
         "match_all": "SELECT qid, field, doc_id FROM scored_and WHERE field IN ('title', 'body')",
         "match_any": "SELECT qid, field, doc_id FROM scored WHERE field IN ('title', 'body')",

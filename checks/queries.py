@@ -13,7 +13,7 @@ from siftwood.functions import encoders, text
 from siftwood.functions.vectors import unit_vector
 from siftwood.index import Index
 from siftwood.operators import index as ix
-from siftwood.operators import ingest, neighbours, numbering, projections, ranking, terms
+from siftwood.operators import cells, ingest, neighbours, numbering, projections, ranking, terms
 from siftwood.plans import build, collect, search
 from siftwood.sinks import files, index_store
 from siftwood.sources import readers
@@ -412,19 +412,26 @@ def knn_exact(spark, sf):
     return hits.select("qid", "rank", "doc_id", "score")
 
 
-def celled_vectors(spark, sf, cells: int = 16):
+CELLS = 16
+
+
+def _approx(spark, sf, nprobe: int) -> DataFrame:
     vecs = _unit_vectors(spark, sf)
-    centres = neighbours.train_cells(vecs, cells)
-    path = scratch_path(spark, "cells")
-    neighbours.assign_cells(vecs, centres).write.partitionBy("cell").parquet(path)
-    return spark.read.parquet(path), centres
+    centres = cells.train_cells(vecs, CELLS)
+    packed = materialise(cells.pack_cells(vecs, centres), "cells")
+    hits = cells.knn_approx(packed, centres, vecs, _vector_queries(spark, sf), 10, nprobe)
+    return hits.select("qid", "rank", "doc_id", "score")
 
 
 @query
 def knn_approx(spark, sf):
-    celled, centres = celled_vectors(spark, sf)
-    hits = neighbours.knn_approx(celled, _vector_queries(spark, sf), centres, 10)
-    return hits.select("qid", "rank", "doc_id", "score")
+    return _approx(spark, sf, cells.NPROBE)
+
+
+@query
+def knn_all_cells(spark, sf):
+    """Every cell probed: what is left of the approximation is the cut by 8-bit codes."""
+    return _approx(spark, sf, CELLS)
 
 
 @query

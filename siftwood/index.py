@@ -28,6 +28,8 @@ class Index:
     term_buckets: int
     doc_buckets: int
     analyzer_name: str = "terms"
+    cells: DataFrame | None = None  # cell, ids, codes: packed 8-bit vectors, if built with cells
+    centres: DataFrame | None = None  # cell, centre
 
     @property
     def analyzer(self) -> Analyzer:

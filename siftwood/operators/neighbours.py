@@ -11,27 +11,26 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwood.cluster import BROADCAST_VECTOR_BYTES, broadcast_if_small, materialise
-from siftwood.functions.vectors import dot, neighbour_score, quantize
+from siftwood.cluster import BROADCAST_VECTOR_BYTES, broadcast_if_small
+from siftwood.functions.vectors import dot, neighbour_score
 from siftwood.operators.ranking import top_k
 
 # The kernels travel with their tasks, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_HITS = "qid bigint, doc_id string, score double"
+HITS = "qid bigint, doc_id string, score double"
 _BLOCK = 1024  # vectors per packed block
 _PRODUCT = 4 << 20  # scores held at once by a task
-_KEPT_ROWS = 4_000_000  # rows a task may keep between batches
+KEPT_ROWS = 4_000_000  # rows a task may keep between batches
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of lists as a double matrix; lists of unequal widths or without a value raise."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -53,7 +52,7 @@ def _best(qid: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> np.nda
     return order[rank < k]
 
 
-class _Best:
+class Best:
     """The k best documents per query seen so far in a task."""
 
     def __init__(self, queries: int, k: int):
@@ -92,12 +91,19 @@ class _Best:
         rows = [np.concatenate((old[again], new)) for old, new in zip(self.rows, (at, ids, scores))]
         keep = _best(*rows, self.k)
         rows = [column[keep] for column in rows]
-        # Rows are grouped by query, best first: the k-th row is the floor.
+        # Rows are grouped by query, best first: the k-th row is the floor. All of
+        # them reached the last floor, so it never falls.
         query, start, count = np.unique(rows[0], return_index=True, return_counts=True)
         full = count == self.k
         self.floor[query[full]] = rows[2][start[full] + self.k - 1]
         self.rows = tuple(np.concatenate((old[~again], new)) for old, new in zip(self.rows, rows))
 
+    def drain(self, qids: np.ndarray) -> pa.RecordBatch:
+        """The rows kept so far, which are given up; later rows still have to reach the floor."""
+        out = self.batch(qids)
+        self.rows = (np.zeros(0, np.int64), np.zeros(0, "U1"), np.zeros(0))
+        return out
+
     def batch(self, qids: np.ndarray) -> pa.RecordBatch:
         at, docs, scores = self.rows
         return pa.record_batch(
@@ -114,10 +120,10 @@ def _scan_with(qids: np.ndarray, queries: np.ndarray, k: int):
     """mapInArrow function: documents in, the task's k best per query out."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, every = _Best(len(qids), k), np.arange(len(qids))
+        best, every = Best(len(qids), k), np.arange(len(qids))
         for batch in batches:
             if batch.num_rows:
-                best.add(every, queries, _matrix(batch.column("vec")), _ids(batch.column("doc_id")))
+                best.add(every, queries, as_matrix(batch.column("vec")), _ids(batch.column("doc_id")))
         yield best.batch(qids)
 
     return scan
@@ -136,7 +142,7 @@ def _with_packed_queries(vectors: DataFrame, queries: DataFrame, k: int) -> Data
         for batch in batches:
             for start in range(0, batch.num_rows, _BLOCK):
                 part = batch.slice(start, _BLOCK)
-                matrix = _matrix(part.column(1)).astype(kind)
+                matrix = as_matrix(part.column(1)).astype(kind)
                 yield pa.record_batch(
                     [pa.array([part.column(0).to_pylist()]), pa.array([matrix.tobytes()], pa.binary())],
                     names=["ids", "matrix"],
@@ -151,33 +157,46 @@ def _with_packed_queries(vectors: DataFrame, queries: DataFrame, k: int) -> Data
     blocks = (
         queries.select("qid", "vec")
         .mapInArrow(pack, "ids array<bigint>, matrix binary")
+        .withColumn("block", F.xxhash64("ids", "matrix"))
         .withColumn("lane", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint"))))
     )
 
+    kept_rows = KEPT_ROWS
+
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One result per query block and task; what is full is handed on, its floors stay.
+        held: dict[int, tuple[np.ndarray, Best]] = {}
+        rows = 0
         for batch in batches:
             for row in batch.to_pylist():
                 qids, ids = np.array(row["ids"], np.int64), np.array(row["doc_ids"], str)
                 left = np.frombuffer(row["matrix"], kind).astype(np.float64).reshape(len(qids), -1)
                 right = np.frombuffer(row["doc_matrix"], kind).astype(np.float64).reshape(len(ids), -1)
-                best = _Best(len(qids), k)
+                best = held.setdefault(row["block"], (qids, Best(len(qids), k)))[1]
+                rows -= len(best.rows[0])
                 best.add(np.arange(len(qids)), left, right, ids)
-                yield best.batch(qids)
+                rows += len(best.rows[0])
+                if rows > kept_rows:
+                    for qids, best in held.values():
+                        yield best.drain(qids)
+                    rows = 0
+        for qids, best in held.values():
+            yield best.drain(qids)
 
-    pairs = docs.join(blocks, "lane").select("doc_ids", "doc_matrix", "ids", "matrix")
-    return pairs.mapInArrow(multiply, _HITS)
+    pairs = docs.join(blocks, "lane").select("doc_ids", "doc_matrix", "ids", "matrix", "block")
+    return pairs.mapInArrow(multiply, HITS)
 
 
 def _fits(queries: DataFrame, k: int, limit: int) -> bool:
     """Whether the query matrix and the hits a task keeps for it are small."""
     row = queries.agg(F.count("*").alias("n"), F.sum(F.size("vec")).alias("values")).first()
-    return not row["n"] or (row["values"] * 8 <= limit and row["n"] * k <= _KEPT_ROWS)
+    return not row["n"] or (row["values"] * 8 <= limit and row["n"] * k <= KEPT_ROWS)
 
 
 def _collect_queries(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Query ids and matrix; the caller has checked the size."""
     table = queries.select("qid", "vec").toArrow()
-    return table.column("qid").to_numpy().astype(np.int64), _matrix(table.column("vec"))
+    return table.column("qid").to_numpy().astype(np.int64), as_matrix(table.column("vec"))
 
 
 def knn(
@@ -200,8 +219,8 @@ def knn(
         return top_k(_with_packed_queries(vectors, queries, k), k)
     packed = _collect_queries(queries)
     if not len(packed[0]):
-        return top_k(vectors.sparkSession.createDataFrame([], _HITS), k)
-    return top_k(vectors.mapInArrow(_scan_with(*packed, k), _HITS), k)
+        return top_k(vectors.sparkSession.createDataFrame([], HITS), k)
+    return top_k(vectors.mapInArrow(_scan_with(*packed, k), HITS), k)
 
 
 def pair_scores(vectors: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -217,9 +236,6 @@ def pair_scores(vectors: DataFrame, queries: DataFrame, pairs: DataFrame) -> Dat
     )
 
 
-# --- inverted-file cells ----------------------------------------------------
-
-
 def train_cells(
     vectors: DataFrame, cells: int, seed: int = 1, max_iter: int = 10, fraction: float = 1.0
 ) -> np.ndarray:
@@ -237,73 +253,6 @@ def train_cells(
     return np.stack(model.clusterCenters())
 
 
-def assign_cells(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Append ``cell`` (the nearest centre) and ``vec8``, the 8-bit vector."""
-    half_norms = (centres**2).sum(axis=1) / 2
-
-    @F.pandas_udf("int")
-    def nearest(vec):
-        points = np.stack(vec.to_numpy()).astype(np.float64)
-        return pd.Series((points @ centres.T - half_norms).argmax(axis=1).astype(np.int32))
-
-    return vectors.where(F.col("vec").isNotNull()).withColumns(
-        {"cell": nearest("vec"), "vec8": quantize(F.col("vec"))}
-    )
-
-
-def knn_approx(
-    celled: DataFrame,
-    queries: DataFrame,
-    centres: np.ndarray,
-    k: int,
-    nprobe: int = 12,
-    max_query_bytes: int = BROADCAST_VECTOR_BYTES,
-    splits: int = 0,
-) -> DataFrame:
-    """(qid, doc_id, score, rank) from the ``nprobe`` nearest cells of each query.
-
-    ``celled`` is a table partitioned by ``cell``. The first pass reads 8-bit
-    vectors and keeps 2k candidates per query; only these are scored exactly.
-    """
-    queries = queries.where(F.col("vec").isNotNull()).select("qid", "vec")
-    budget = 2 * k
-    if not _fits(queries, budget, max_query_bytes):
-        # Halve until a part fits: each is one scan of its cells.
-        part = F.pmod(F.xxhash64("qid", F.lit(splits)), F.lit(2))
-        halves = [
-            knn_approx(celled, queries.where(part == i), centres, k, nprobe, max_query_bytes, splits + 1) for i in (0, 1)
-        ]
-        return halves[0].unionByName(halves[1])
-    packed = _collect_queries(queries)
-    qids, matrix = packed
-    if not len(qids):
-        return top_k(celled.sparkSession.createDataFrame([], _HITS), k)
-    closeness = matrix @ centres.T - (centres**2).sum(axis=1) / 2
-    probed = np.argsort(-closeness, axis=1)[:, :nprobe]
-    probes = {int(c): np.flatnonzero((probed == c).any(axis=1)) for c in np.unique(probed)}
-    coarse = np.round(matrix * 127) / 127
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(len(qids), budget)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells, ids, docs = batch.column("cell").to_numpy(), _ids(batch.column("doc_id")), _matrix(batch.column("vec8"))
-            for cell in np.unique(cells):
-                here, asked = cells == cell, probes[int(cell)]
-                best.add(asked, coarse[asked], docs[here] / 127, ids[here])
-        yield best.batch(qids)
-
-    near = celled.where(F.col("cell").isin(list(probes))).select("cell", "doc_id", "vec8")
-    candidates = materialise(top_k(near.mapInArrow(scan, _HITS), budget).select("qid", "doc_id"), "candidates")
-    # 2k rows per query of a bounded query set.
-    wanted = candidates.select("doc_id").distinct()
-    rerank = celled.where(F.col("cell").isin(list(probes))).select("doc_id", "vec").join(
-        broadcast_if_small(wanted), "doc_id", "left_semi"
-    )
-    return top_k(pair_scores(rerank, queries, candidates), k)
-
-
 # --- pooling ----------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftwood.functions.vectors import unit_vector
 from siftwood.index import ANALYZERS, Index
 from siftwood.mapping import Mapping
+from siftwood.operators import cells as cell_ops
 from siftwood.operators import index as ops
 from siftwood.operators.projections import index_fields, required
 from siftwood.sinks.index_store import (
@@ -70,9 +71,15 @@ def build_index(
     term_buckets: int = 8,
     doc_buckets: int | None = None,
     version: int | None = None,
+    cells: int | None = None,
+    cell_fraction: float = 1.0,
 ) -> dict[str, int]:
     """Write every table of an index, then publish it once. Returns row counts.
 
+    With ``cells``, the vectors are also dealt to that many cells (learnt from a
+    ``cell_fraction`` of them) for approximate search; about the square root of
+    their number is usual.
+
     ``doc_buckets`` is the search parallelism (see ``buckets_for``; default: the
     shuffle width). With ``term_buckets`` it sets the number of postings files,
     so choose both so that files stay near 128 MB or more.
@@ -107,6 +114,9 @@ def build_index(
         docs, mapping.text_fields, key, ANALYZERS[analyzer], mapping.keyword_fields, spread=False, with_length=True
     ).withColumn("tbucket", ops.term_bucket(F.col("term"), term_buckets))
     write(vectors=vectors.where(F.col("vec").isNotNull()), postings=postings)
+    if cells and not tables["vectors"].isEmpty():
+        centres = cell_ops.train_cells(tables["vectors"], cells, fraction=cell_fraction)
+        write(cells=cell_ops.pack_cells(tables["vectors"], centres), centres=cell_ops.centres_table(spark, centres))
 
     # 3. Statistics read the written postings, so texts are analysed once. A
     #    term bucket too large for one writer is split by adaptive execution.
@@ -141,4 +151,6 @@ def load_index(spark: SparkSession, root: str, alias: str) -> Index | None:
         term_buckets=settings["term_buckets"],
         doc_buckets=settings["doc_buckets"],
         analyzer_name=settings["analyzer"],
+        cells=tables.get("cells"),
+        centres=tables.get("centres"),
     )

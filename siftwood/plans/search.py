@@ -17,8 +17,9 @@ from siftwood.cluster import broadcast_if_small, materialise
 from siftwood.functions.vectors import dot, neighbour_score, unit_vector
 from siftwood.index import Index
 from siftwood.mapping import Mapping
+from siftwood.operators.cells import NPROBE, knn_approx, read_centres
 from siftwood.operators.neighbours import knn
-from siftwood.operators.ranking import page_hits, top_k, total_hits
+from siftwood.operators.ranking import page_hits, select_source, top_k, total_hits
 from siftwood.operators.terms import MATCH_ALL, most_fields
 
 # A request's settings where it leaves them out.
@@ -77,9 +78,15 @@ def _settings(requests: DataFrame) -> DataFrame:
     return broadcast_if_small(requests.select("qid", "topk", "from_", "size"))
 
 
-def dense_hits(index: Index, requests: DataFrame, k: int) -> DataFrame:
-    """Ranked ``topk`` nearest per request; ``k`` bounds every ``topk``."""
-    ranked = knn(index.vectors, requests, k)
+def dense_hits(index: Index, requests: DataFrame, k: int, approx: bool = False, nprobe: int = NPROBE) -> DataFrame:
+    """Ranked ``topk`` nearest per request; ``k`` bounds every ``topk``. With
+    ``approx`` only the ``nprobe`` nearest cells of the index are looked at."""
+    if not approx:
+        ranked = knn(index.vectors, requests, k)
+    elif index.cells is None:
+        raise ValueError("the index was built without cells")
+    else:
+        ranked = knn_approx(index.cells, read_centres(index.centres), index.vectors, requests, k, nprobe)
     return ranked.join(_settings(requests), "qid").where(F.col("rank") <= F.col("topk"))
 
 
@@ -123,10 +130,24 @@ def batch_search(
     operator: str = MATCH_ALL,
     term_boost: float = 1.0,
     vector_boost: float = 1.0,
+    approx: bool = False,
+    nprobe: int = NPROBE,
+    source: list[str] | None = None,
+    vector_field: str | None = None,
 ) -> Results:
-    """Run every request with its own depth, page, fields and kind."""
+    """Run every request with its own depth, page, fields and kind.
+
+    Vector requests are answered from ``nprobe`` cells each with ``approx``; the
+    neighbours among a hybrid request's own matches are always exact. ``source``
+    names document fields that hits come with; ``vector_field`` must be the
+    index's one vector field."""
     if term_boost < 0 or vector_boost < 0:
         raise ValueError("boosts must not be negative")
+    if vector_field not in (None, index.mapping.vector_field):
+        raise ValueError(f"unknown vector field: {vector_field!r}")
+    unknown = sorted(set(source or []) - set(index.docs.columns))
+    if unknown:
+        raise ValueError(f"unknown source fields: {unknown}")
     requests = materialise(with_defaults(requests), "requests")
     bad = check_requests(requests, index.mapping).limit(5).collect()
     if bad:
@@ -142,7 +163,7 @@ def batch_search(
     ).first()
     parts, counts = [], []
     if bounds["dense"]:
-        ranked = materialise(dense_hits(index, requests.where(dense_only), bounds["k"]), "dense")
+        ranked = materialise(dense_hits(index, requests.where(dense_only), bounds["k"], approx, nprobe), "dense")
         parts.append(ranked.select(_HIT_COLUMNS))
         counts.append(ranked)
     if bounds["hybrid"]:
@@ -159,6 +180,8 @@ def batch_search(
     pages = page_hits(
         union(parts, _HIT_COLUMNS).join(_settings(requests), "qid"), F.col("from_"), F.col("size")
     ).select(_HIT_COLUMNS)
+    if source:
+        pages = select_source(pages, index.docs, source, index.mapping.key)
     return Results(pages, total_hits(union(counts, ["qid"]), requests))
 
 
@@ -177,6 +200,10 @@ def search(
     operator: str = MATCH_ALL,
     term_boost: float = 1.0,
     vector_boost: float = 1.0,
+    approx: bool = False,
+    nprobe: int = NPROBE,
+    source: list[str] | None = None,
+    vector_field: str | None = None,
 ) -> Results:
     """One setting for all of ``queries`` (qid, query, vec)."""
     index.split_fields(search_fields)
@@ -187,7 +214,7 @@ def search(
     if search_fields == []:
         fields = F.array()
     requests = requests.withColumn("search_fields", fields.cast("array<string>"))
-    return batch_search(index, requests, operator, term_boost, vector_boost)
+    return batch_search(index, requests, operator, term_boost, vector_boost, approx, nprobe, source, vector_field)
 
 
 def bm25_search(

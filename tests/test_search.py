@@ -277,3 +277,37 @@ def test_index_tables_count_terms(spark):
     assert {tuple(r) for r in ix.doc_freqs(posts).collect()} == {("body", "a", 1), ("body", "b", 2)}
     assert tuple(ix.field_stats(ix.doc_lengths(posts)).first()) == ("body", 2, 2.0, 4)
     assert {tuple(r) for r in ix.keyword_terms(df, ["tag"]).collect()} == {("tag", "x", "1"), ("tag", "x", "3")}
+
+
+def test_approximate_search_through_the_index(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(600, 8)).astype(np.float32)
+    points[::3] = points[0]  # a third are copies
+    rows = [(f"d{i}", "word", "some words", f"u{i}", [float(x) for x in p]) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "docid string, title string, body string, url string, vec array<float>")
+    mapping = Mapping(MAPPING.fields, dims=8)
+    build.build_index(spark, df, mapping, str(tmp_path), "a", cells=12)
+    index = build.load_index(spark, str(tmp_path), "a")
+    asked = df.where("substr(docid, 2) % 3 = 1").select(F.expr("substr(docid, 2)").cast("bigint").alias("qid"), "vec")
+    requests = asked.withColumns({"hybrid": F.lit(False), "topk": (F.col("qid") % 7 + 5).cast("int"), "size": F.lit(10)})
+    exact, near, full = (
+        {(r["qid"], r["rank"]): (r["doc_id"], r["score"]) for r in search.batch_search(index, requests, **how).hits.collect()}
+        for how in ({}, {"approx": True, "nprobe": 6}, {"approx": True, "nprobe": 12})
+    )
+    found = lambda hits: {(q, d) for (q, _), (d, _) in hits.items()}
+    assert len(found(exact) & found(near)) / len(exact) >= 0.9
+    assert len(found(exact) & found(full)) / len(exact) >= 0.99
+    assert search.search(index, asked, approx=True, topk=4, size=3).hits.count() == 3 * asked.count()
+
+
+def test_search_arguments_for_source_and_vector_field(index, queries):
+    hits = search.search(index, queries, size=3, source=["title", "url"], vector_field="vec").hits
+    assert hits.columns == ["qid", "rank", "doc_id", "score", "title", "url"]
+    plain = {(r["qid"], r["rank"]): (r["doc_id"], r["score"]) for r in search.search(index, queries, size=3).hits.collect()}
+    by_id = {d[0]: d for d in DOCS}
+    rows = hits.collect()
+    assert {(r["qid"], r["rank"]): (r["doc_id"], r["score"]) for r in rows} == plain
+    assert all((r["title"], r["url"]) == (by_id[r["doc_id"]][1], by_id[r["doc_id"]][3]) for r in rows)
+    for bad in ({"source": ["nothing"]}, {"vector_field": "title"}, {"approx": True}):
+        with pytest.raises(ValueError):
+            search.search(index, queries, **bad)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwood.functions import encoders
 from siftwood.functions.vectors import unit_vector
+from siftwood.operators import cells as cl
 from siftwood.operators import neighbours as nb
 
 
@@ -92,19 +93,56 @@ def test_knn_filtered(spark):
     assert as_set(nb.knn(df, as_queries(df), 4, filter=pairs)) == brute(points, points, 4, allowed)
 
 
-def test_knn_approx_recall_and_full_probe(spark, tmp_path):
+@pytest.fixture(scope="module")
+def celled(spark):
     df, points = vectors(spark, 400, dims=16)
-    centres = nb.train_cells(df, 8)
-    nb.assign_cells(df, centres).write.partitionBy("cell").parquet(str(tmp_path / "cells"))
-    celled = spark.read.parquet(str(tmp_path / "cells"))
+    centres = cl.train_cells(df, 8)
+    return df, points, centres, cl.pack_cells(df, centres).cache()
+
+
+def test_knn_approx_recall_and_full_probe(celled):
+    df, points, centres, cells = celled
     truth = {(q, d) for q, _, d, _ in brute(points, points, 10)}
-    found = {(q, d) for q, _, d, _ in as_set(nb.knn_approx(celled, as_queries(df), centres, 10, nprobe=6))}
+    found = {(q, d) for q, _, d, _ in as_set(cl.knn_approx(cells, centres, df, as_queries(df), 10, nprobe=6))}
     assert len(truth & found) / len(truth) >= 0.9
     # All cells probed: only the 8-bit cut to 2k can lose a neighbour.
-    full = {(q, d) for q, _, d, _ in as_set(nb.knn_approx(celled, as_queries(df), centres, 10, nprobe=8))}
-    assert len(truth & full) / len(truth) >= 0.99
-    parts = nb.knn_approx(celled, as_queries(df), centres, 10, nprobe=8, max_query_bytes=20_000)
-    assert {(q, d) for q, _, d, _ in as_set(parts)} == full
+    full = as_set(cl.knn_approx(cells, centres, df, as_queries(df), 10, nprobe=8))
+    assert len(truth & {(q, d) for q, _, d, _ in full}) / len(truth) >= 0.99
+    # Joined by shuffle instead of a broadcast.
+    assert as_set(cl.knn_approx(cells, centres, df, as_queries(df), 10, nprobe=8, max_query_bytes=0)) == full
+
+
+def test_knn_approx_of_any_depth_is_one_plan(spark, celled, monkeypatch):
+    df, points, centres, cells = celled
+    every = brute(points, points, 400)
+    # More rows than a task may keep, one large query, and a depth beyond the table.
+    monkeypatch.setattr(nb, "KEPT_ROWS", 50)
+    assert as_set(cl.knn_approx(cells, centres, df, as_queries(df), 400, nprobe=8)) == every
+    one = as_queries(df).where("qid = 7")
+    assert as_set(cl.knn_approx(cells, centres, df, one, 5_000, nprobe=8)) == {r for r in every if r[0] == 7}
+    assert cl.knn_approx(cells, centres, df, one.where("qid < 0"), 5).count() == 0
+    assert cl.knn_approx(cells.where("cell < 0"), centres, df, one, 5).count() == 0
+
+
+def test_cells_hold_every_vector_and_split_large_ones(spark, celled, monkeypatch):
+    df, points, centres, cells = celled
+    held = [(i, r["cell"]) for r in cells.collect() for i in r["ids"]]
+    assert sorted(i for i, _ in held) == sorted(r["doc_id"] for r in df.collect())
+    near = ((points[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    assert all(near[int(i[1:])] == cell for i, cell in held)
+    monkeypatch.setattr(cl, "_BLOCK", 10)
+    small = cl.pack_cells(df, centres).collect()
+    assert max(len(r["ids"]) for r in small) == 10 and sum(len(r["ids"]) for r in small) == 400
+    assert cl.read_centres(cl.centres_table(spark, centres)).tolist() == centres.tolist()
+
+
+def test_packed_exact_search_keeps_one_result_per_query_block(spark, monkeypatch):
+    df, points = vectors(spark, 300, copies=120)
+    want = brute(points, points, 9)
+    monkeypatch.setattr(nb, "_BLOCK", 16)
+    assert as_set(nb.knn(df, as_queries(df), 9, max_query_bytes=0)) == want
+    monkeypatch.setattr(nb, "KEPT_ROWS", 40)
+    assert as_set(nb.knn(df, as_queries(df), 9, max_query_bytes=0)) == want
 
 
 def test_pooling(spark):
