@@ -74,8 +74,10 @@ def weigh_terms(index: Index, terms: DataFrame, operator: str = MATCH_ANY) -> Da
         .select("tbucket", "field", "term", "qid", "n_terms", "qtf", "idf", "avg_len")
     )
     if operator == MATCH_ALL:
-        known = F.count("*").over(W.partitionBy("qid", "field"))
-        weighed = weighed.withColumn("known", known).where(F.col("known") == F.col("n_terms")).drop("known")
+        of_field = W.partitionBy("qid", "field")
+        rarest = F.row_number().over(of_field.orderBy(F.desc("idf"), "term")) == 1
+        weighed = weighed.withColumns({"known": F.count("*").over(of_field), "rarest": rarest})
+        weighed = weighed.where(F.col("known") == F.col("n_terms")).drop("known")
     weighed = materialise(weighed, "weighed")
     # At most one row per query term, so the count above bounds it too.
     return F.broadcast(weighed) if small else weighed
@@ -99,10 +101,30 @@ def bm25_weight(tf: Column, dl: Column, avg_len: Column, idf: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_len))
 
 
+def rarest_first(index: Index, weighed: DataFrame) -> DataFrame:
+    """Postings of "and" requests with their weighed terms: of a field asked for
+    several terms only the documents of its rarest one. These documents are found
+    first and written; up to BROADCAST_ROWS of them filter the other terms'
+    postings where they are scanned, so a term that is everywhere adds no more
+    rows than the rarest. Beyond that the aggregate decides alone, with equal rows."""
+    keys = ["tbucket", "field", "term"]
+    found = _asked_postings(index, weighed).join(weighed, keys)
+    lead = weighed.where("n_terms > 1 AND rarest")
+    lead = materialise(_asked_postings(index, lead).join(lead, keys).select("qid", "field", "doc_id"), "rarest")
+    if lead.count() > BROADCAST_ROWS:
+        return found.drop("rarest")
+    listed = F.broadcast(lead.withColumn("listed", F.lit(True)))
+    found = found.join(listed, ["qid", "field", "doc_id"], "left")
+    return found.where("n_terms = 1 OR listed").drop("rarest", "listed")
+
+
 def _field_scores(index: Index, weighed: DataFrame, fields: list[str]) -> DataFrame:
     """Per (qid, doc_id) and field: distinct query terms found (``m_``) and asked
     for (``n_``), and the score (``s_``), in one aggregate keyed by the document."""
-    hit = _asked_postings(index, weighed).join(weighed, ["tbucket", "field", "term"])
+    if "rarest" in weighed.columns:
+        hit = rarest_first(index, weighed)
+    else:
+        hit = _asked_postings(index, weighed).join(weighed, ["tbucket", "field", "term"])
     weight = F.col("qtf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("avg_len"), F.col("idf"))
     columns = []
     for f in fields:

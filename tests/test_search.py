@@ -311,3 +311,25 @@ def test_search_arguments_for_source_and_vector_field(index, queries):
     for bad in ({"source": ["nothing"]}, {"vector_field": "title"}, {"approx": True}):
         with pytest.raises(ValueError):
             search.search(index, queries, **bad)
+
+
+def test_and_reads_the_rarest_term_first(spark, tmp_path):
+    """A term in every document adds no more rows than the rarest term has."""
+    rows = [(f"d{i}", "", "every document says common words" + (" seldom" if i % 50 == 0 else ""), None, None) for i in range(500)]
+    df = spark.createDataFrame(rows, "docid string, title string, body string, url string, vec array<float>")
+    build.build_index(spark, df, MAPPING, str(tmp_path), "r", term_buckets=3)
+    index = build.load_index(spark, str(tmp_path), "r")
+    asked = spark.createDataFrame([(1, "common seldom words"), (2, "seldom"), (3, "common nowhere"), (4, "every common")], "qid bigint, query string")
+    weighed = terms.weigh_terms(index, terms.query_terms(asked, ["body"], [], index.analyzer), "and")
+    rows = {r["qid"]: r["count"] for r in terms.rarest_first(index, weighed).groupBy("qid").count().collect()}
+    assert rows == {1: 3 * 10, 2: 10, 4: 2 * 500}
+    hits = as_scores(terms.most_fields(index, asked, ["body"], "and"))
+    assert {q: len(d) for q, d in hits.items()} == {1: 10, 2: 10, 4: 500}
+    terms_or = as_scores(terms.most_fields(index, asked, ["body"], "or"))
+    assert all(terms_or[1][d] == s for d, s in hits[1].items())
+
+
+def test_and_without_a_broadcast_of_the_rarest(index, queries, monkeypatch):
+    want = as_scores(terms.most_fields(index, queries, None, "and"))
+    monkeypatch.setattr(terms, "BROADCAST_ROWS", 0)
+    assert as_scores(terms.most_fields(index, queries, None, "and")) == want
