@@ -354,6 +354,7 @@ FROM (SELECT doc_id, norm, unnest(range(64)) AS pos FROM n) n LEFT JOIN s ON s.d
         "most_fields": "SELECT qid, doc_id, score FROM fields_or",
         "bm25_search": paged("fields_and", "2", "10"),
         "top_k": ranked("body_or", 10),
+        "bm25_block_max": f"SELECT qid, rank, doc_id, score FROM ({ranked('fields_or', 10)})",
         "page_hits": f"SELECT * FROM ({ranked('body_or', 7)}) WHERE rank > 3",
         "total_hits": "SELECT qid, count(doc_id) AS total FROM (SELECT qid FROM requests) LEFT JOIN fields_or USING (qid) GROUP BY 1",
         "page_progress": f"""SELECT (n - 1) // 100 + 1 AS page, count(*) AS posts, max(n) AS read,

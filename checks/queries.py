@@ -56,9 +56,9 @@ def term_list(df: DataFrame, tokens: Column) -> DataFrame:
 _indexes: dict[tuple, Index] = {}
 
 
-def _build(spark, sf, docs: DataFrame, root: str, alias: str, analyzer: str = "terms") -> dict[str, int]:
+def _build(spark, sf, docs: DataFrame, root: str, alias: str, analyzer: str = "terms", **more) -> dict[str, int]:
     buckets = build.buckets_for(spark, fx.table(spark, sf, "documents").count())
-    return build.build_index(spark, docs, fx.MAPPING, root, alias, analyzer, term_buckets=4, doc_buckets=buckets)
+    return build.build_index(spark, docs, fx.MAPPING, root, alias, analyzer, term_buckets=4, doc_buckets=buckets, **more)
 
 
 def _index(spark: SparkSession, sf: str, alias: str, make: Callable[[str], object]) -> Index:
@@ -78,6 +78,13 @@ def posts_index(spark: SparkSession, sf: str) -> Index:
     return _index(spark, sf, "posts", lambda root: _build(spark, sf, fx.index_docs(spark, sf), root, "posts"))
 
 
+def blocked_index(spark: SparkSession, sf: str) -> Index:
+    """Posts with their postings in blocks and their vectors in cells."""
+    fx.use_utc(spark)
+    make = lambda root: _build(spark, sf, fx.index_docs(spark, sf), root, "blocked", block_docs=32, cells=CELLS)
+    return _index(spark, sf, "blocked", make)
+
+
 def cleaned_posts(spark: SparkSession, sf: str) -> DataFrame:
     """Load, rename, clean, encode, attach: the records of a full index build."""
     marked = fx.posts(spark, sf).drop("body_md").join(
@@ -487,6 +494,13 @@ def top_k(spark, sf):
     return ranking.top_k(bm25_field(spark, sf), 10)
 
 
+@query
+def bm25_block_max(spark, sf):
+    asked = fx.requests(spark, sf).select("qid", "query")
+    hits = search.bm25_search(blocked_index(spark, sf), asked, TEXT, "or", from_=0, size=10, totals=False).hits
+    return hits.select("qid", "rank", "doc_id", "score")
+
+
 @query
 def page_hits(spark, sf):
     return ranking.page_hits(ranking.top_k(bm25_field(spark, sf), 7), 3, 4)

@@ -30,6 +30,8 @@ class Index:
     analyzer_name: str = "terms"
     cells: DataFrame | None = None  # cell, ids, codes: packed 8-bit vectors, if built with cells
     centres: DataFrame | None = None  # cell, centre
+    tops: DataFrame | None = None  # tbucket, field, term, dblock, top: if built with blocks
+    block_docs: int = 0
 
     @property
     def analyzer(self) -> Analyzer:

@@ -83,7 +83,7 @@ def weigh_terms(index: Index, terms: DataFrame, operator: str = MATCH_ANY) -> Da
     return F.broadcast(weighed) if small else weighed
 
 
-def _asked_postings(index: Index, weighed: DataFrame) -> DataFrame:
+def asked_postings(postings: DataFrame, weighed: DataFrame) -> DataFrame:
     """Postings that the queries can touch, by what a scan can skip: the term
     buckets, and the terms themselves while they are few, else their range. At
     most FEW_TERMS terms, or one number per bucket, come to the driver."""
@@ -94,7 +94,7 @@ def _asked_postings(index: Index, weighed: DataFrame) -> DataFrame:
     else:
         row = weighed.agg(F.collect_set("tbucket"), F.min("term"), F.max("term")).first()
         buckets, named = row[0], F.col("term").between(row[1], row[2])
-    return index.postings.where(F.col("tbucket").isin(buckets) & named)
+    return postings.where(F.col("tbucket").isin(buckets) & named)
 
 
 def bm25_weight(tf: Column, dl: Column, avg_len: Column, idf: Column) -> Column:
@@ -108,9 +108,9 @@ def rarest_first(index: Index, weighed: DataFrame) -> DataFrame:
     postings where they are scanned, so a term that is everywhere adds no more
     rows than the rarest. Beyond that the aggregate decides alone, with equal rows."""
     keys = ["tbucket", "field", "term"]
-    found = _asked_postings(index, weighed).join(weighed, keys)
+    found = asked_postings(index.postings, weighed).join(weighed, keys)
     lead = weighed.where("n_terms > 1 AND rarest")
-    lead = materialise(_asked_postings(index, lead).join(lead, keys).select("qid", "field", "doc_id"), "rarest")
+    lead = materialise(asked_postings(index.postings, lead).join(lead, keys).select("qid", "field", "doc_id"), "rarest")
     if lead.count() > BROADCAST_ROWS:
         return found.drop("rarest")
     listed = F.broadcast(lead.withColumn("listed", F.lit(True)))
@@ -118,14 +118,9 @@ def rarest_first(index: Index, weighed: DataFrame) -> DataFrame:
     return found.where("n_terms = 1 OR listed").drop("rarest", "listed")
 
 
-def _field_scores(index: Index, weighed: DataFrame, fields: list[str]) -> DataFrame:
-    """Per (qid, doc_id) and field: distinct query terms found (``m_``) and asked
-    for (``n_``), and the score (``s_``), in one aggregate keyed by the document."""
-    if "rarest" in weighed.columns:
-        hit = rarest_first(index, weighed)
-    else:
-        hit = _asked_postings(index, weighed).join(weighed, ["tbucket", "field", "term"])
-    weight = F.col("qtf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("avg_len"), F.col("idf"))
+def field_columns(fields: list[str], weight: Column) -> list[Column]:
+    """Aggregates per field: distinct query terms found (``m_``) and asked for
+    (``n_``), and the sum of their weights (``s_``)."""
     columns = []
     for f in fields:
         here = F.col("field") == f
@@ -134,7 +129,17 @@ def _field_scores(index: Index, weighed: DataFrame, fields: list[str]) -> DataFr
             F.max(F.when(here, F.col("n_terms"))).alias(f"n_{f}"),
             F.sum(F.when(here, weight)).alias(f"s_{f}"),
         ]
-    return hit.groupBy("qid", "doc_id").agg(*columns)
+    return columns
+
+
+def _field_scores(index: Index, weighed: DataFrame, fields: list[str]) -> DataFrame:
+    """``field_columns`` per (qid, doc_id), in one aggregate keyed by the document."""
+    if "rarest" in weighed.columns:
+        hit = rarest_first(index, weighed)
+    else:
+        hit = asked_postings(index.postings, weighed).join(weighed, ["tbucket", "field", "term"])
+    weight = F.col("qtf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("avg_len"), F.col("idf"))
+    return hit.groupBy("qid", "doc_id").agg(*field_columns(fields, weight))
 
 
 def _matches(field: str, operator: str) -> Column:
@@ -143,6 +148,16 @@ def _matches(field: str, operator: str) -> Column:
     return F.coalesce(found == F.col(f"n_{field}"), F.lit(False)) if operator == MATCH_ALL else found > 0
 
 
+def matched_fields(fields: list[str], operator: str) -> Column:
+    """Whether any field matches."""
+    return reduce(lambda a, b: a | b, [_matches(f, operator) for f in fields])
+
+
+def summed_fields(fields: list[str], operator: str) -> Column:
+    """The sum over the fields that match."""
+    return reduce(lambda a, b: a + b, [F.when(_matches(f, operator), F.col(f"s_{f}")).otherwise(0.0) for f in fields])
+
+
 def _score_queries(index: Index, queries: DataFrame, fields: list[str] | None, operator: str):
     if operator not in (MATCH_ALL, MATCH_ANY):
         raise ValueError(f"operator must be {MATCH_ALL!r} or {MATCH_ANY!r}")
@@ -174,10 +189,8 @@ def most_fields(
 ) -> DataFrame:
     """(qid, doc_id, score): the sum of the scores of every field that matches."""
     scored, every = _score_queries(index, queries, fields, operator)
-    parts = [F.when(_matches(f, operator), F.col(f"s_{f}")).otherwise(0.0) for f in every]
-    matched = reduce(lambda a, b: a | b, [_matches(f, operator) for f in every])
-    total = reduce(lambda a, b: a + b, parts)
-    return scored.where(matched).select("qid", "doc_id", F.round(boost * total, 6).alias("score"))
+    total = summed_fields(every, operator)
+    return scored.where(matched_fields(every, operator)).select("qid", "doc_id", F.round(boost * total, 6).alias("score"))
 
 
 def bm25_field(index: Index, queries: DataFrame, field: str, operator: str = MATCH_ANY) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftwood.functions.vectors import unit_vector
 from siftwood.index import ANALYZERS, Index
 from siftwood.mapping import Mapping
+from siftwood.operators import blocks
 from siftwood.operators import cells as cell_ops
 from siftwood.operators import index as ops
 from siftwood.operators.projections import index_fields, required
@@ -73,12 +74,14 @@ def build_index(
     version: int | None = None,
     cells: int | None = None,
     cell_fraction: float = 1.0,
+    block_docs: int | None = None,
 ) -> dict[str, int]:
     """Write every table of an index, then publish it once. Returns row counts.
 
     With ``cells``, the vectors are also dealt to that many cells (learnt from a
     ``cell_fraction`` of them) for approximate search; about the square root of
-    their number is usual.
+    their number is usual. With ``block_docs``, postings lie in blocks of so many
+    documents, and the best hits are found without reading all of them.
 
     ``doc_buckets`` is the search parallelism (see ``buckets_for``; default: the
     shuffle width). With ``term_buckets`` it sets the number of postings files,
@@ -113,6 +116,11 @@ def build_index(
     postings = ops.postings(
         docs, mapping.text_fields, key, ANALYZERS[analyzer], mapping.keyword_fields, spread=False, with_length=True
     ).withColumn("tbucket", ops.term_bucket(F.col("term"), term_buckets))
+    if block_docs:
+        layouts["postings"] = Layout("tbucket", "doc_id", ["field", "term", "dblock"], buckets)
+        layouts["doc_blocks"] = by_doc("doc_id")
+        write(doc_blocks=blocks.doc_blocks(docs, mapping.text_fields, key, buckets, block_docs))
+        postings = postings.join(tables["doc_blocks"], "doc_id")
     write(vectors=vectors.where(F.col("vec").isNotNull()), postings=postings)
     if cells and not tables["vectors"].isEmpty():
         centres = cell_ops.train_cells(tables["vectors"], cells, fraction=cell_fraction)
@@ -125,6 +133,10 @@ def build_index(
     placed = dfs.hint("rebalance", F.col("tbucket")).sortWithinPartitions("tbucket", "field", "term")
     write(dfs=placed, lengths=ops.doc_lengths(postings))
     write(stats=ops.field_stats(tables["lengths"]))
+    if block_docs:
+        tops = blocks.block_weights(postings, tables["stats"]).hint("rebalance", F.col("tbucket"))
+        layouts["tops"] = Layout("tbucket")
+        write(tops=tops.sortWithinPartitions("tbucket", "field", "term", "dblock"))
     settings = {
         "fields": mapping.fields,
         "dims": mapping.dims,
@@ -132,6 +144,7 @@ def build_index(
         "term_buckets": term_buckets,
         "doc_buckets": buckets,
         "analyzer": analyzer,
+        "block_docs": block_docs or 0,
     }
     write(meta=spark.range(1, numPartitions=1).select(F.lit(json.dumps(settings)).alias("settings")))
     seal_build(spark, folder, tables, layouts)
@@ -153,4 +166,6 @@ def load_index(spark: SparkSession, root: str, alias: str) -> Index | None:
         analyzer_name=settings["analyzer"],
         cells=tables.get("cells"),
         centres=tables.get("centres"),
+        tops=tables.get("tops"),
+        block_docs=settings.get("block_docs", 0),
     )

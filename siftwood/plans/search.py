@@ -17,6 +17,7 @@ from siftwood.cluster import broadcast_if_small, materialise
 from siftwood.functions.vectors import dot, neighbour_score, unit_vector
 from siftwood.index import Index
 from siftwood.mapping import Mapping
+from siftwood.operators.blocks import bm25_top
 from siftwood.operators.cells import NPROBE, knn_approx, read_centres
 from siftwood.operators.neighbours import knn
 from siftwood.operators.ranking import page_hits, select_source, top_k, total_hits
@@ -30,7 +31,7 @@ _HIT_COLUMNS = ["qid", "rank", "doc_id", "score"]
 
 class Results(NamedTuple):
     hits: DataFrame  # qid, rank, doc_id, score: one page per request
-    totals: DataFrame  # qid, total: hits before paging
+    totals: DataFrame | None  # qid, total: hits before paging
 
 
 def with_defaults(requests: DataFrame) -> DataFrame:
@@ -224,9 +225,14 @@ def bm25_search(
     operator: str = MATCH_ALL,
     from_: int = 0,
     size: int = 10,
+    totals: bool = True,
 ) -> Results:
-    """Terms only: page of the best documents, and the number that match."""
+    """Terms only: page of the best documents, and the number that match. Without
+    ``totals`` an index built with blocks reads only blocks that can hold a hit."""
     queries = materialise(queries.select("qid", "query"), "requests")
+    if not totals and index.tops is not None:
+        ranked, _ = bm25_top(index, queries, max(from_ + size, 1), search_fields, operator)
+        return Results(page_hits(ranked, from_, size).select(_HIT_COLUMNS), None)
     matches = materialise(most_fields(index, queries, search_fields, operator), "matches")
     ranked = top_k(matches, max(from_ + size, 1))
     return Results(page_hits(ranked, from_, size).select(_HIT_COLUMNS), total_hits(matches, queries))

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwood.mapping import Mapping
+from siftwood.operators import blocks
 from siftwood.operators import index as ix
+from siftwood.operators import ranking
 from siftwood.operators import terms
 from siftwood.plans import build, search
 from siftwood.sinks import index_store as store
@@ -333,3 +335,57 @@ def test_and_without_a_broadcast_of_the_rarest(index, queries, monkeypatch):
     want = as_scores(terms.most_fields(index, queries, None, "and"))
     monkeypatch.setattr(terms, "BROADCAST_ROWS", 0)
     assert as_scores(terms.most_fields(index, queries, None, "and")) == want
+
+
+@pytest.fixture(scope="module")
+def blocked(spark, tmp_path_factory):
+    """Documents of very different lengths, a third of them copies."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(900):
+        n = int(rng.choice([2, 4, 8, 30, 120, 300]))
+        body = "w1 w2 copies of one text" if i % 3 == 0 else " ".join(rng.choice(words[: 20 if i % 5 else 200], n))
+        rows.append((f"d{i}", " ".join(rng.choice(words, 2)) if i % 2 else "", body, f"u{i}", None))
+    df = spark.createDataFrame(rows, "docid string, title string, body string, url string, vec array<float>")
+    root = str(tmp_path_factory.mktemp("blocked"))
+    build.build_index(spark, df, MAPPING, root, "b", term_buckets=3, block_docs=8)
+    asked = ["w1", "w1 w2 w3", "w150 w3", "w9 w9 w12 w4 w180", "nowhere", "", "u7", "w7 nowhere"]
+    return build.load_index(spark, root, "b"), spark.createDataFrame(list(enumerate(asked)), "qid bigint, query string")
+
+
+def as_hits(df):
+    return {(r["qid"], r["rank"]): (r["doc_id"], r["score"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("operator", ["and", "or"])
+@pytest.mark.parametrize("fields", [["body"], None])
+@pytest.mark.parametrize("k", [1, 10, 2000])
+def test_block_max_gives_the_hits_of_a_full_search(blocked, operator, fields, k):
+    index, asked = blocked
+    want = as_hits(ranking.top_k(terms.most_fields(index, asked, fields, operator), k))
+    hits, _ = blocks.bm25_top(index, asked, k, fields, operator)
+    assert as_hits(hits) == want
+
+
+def test_block_max_reads_few_blocks(spark, blocked):
+    index, _ = blocked
+    asked = spark.createDataFrame([(1, "w1"), (2, "w3 w5"), (3, "w11 w12 w13")], "qid bigint, query string")
+    weighed = terms.weigh_terms(index, terms.query_terms(asked, ["body"], [], index.analyzer), "or")
+    every = {r["qid"]: r["count"] for r in blocks.block_bounds(index, weighed, ["body"], "or").groupBy("qid").count().collect()}
+    hits, read = blocks.bm25_top(index, asked, 5, ["body"], "or")
+    few = {r["qid"]: r["count"] for r in read.groupBy("qid").count().collect()}
+    assert read.count() == read.distinct().count()
+    assert all(few[q] < 0.7 * every[q] for q in every) and sum(few.values()) < sum(every.values()) / 2, (few, every)
+    assert as_hits(hits) == as_hits(ranking.top_k(terms.most_fields(index, asked, ["body"], "or"), 5))
+
+
+def test_search_without_totals(blocked, index, queries):
+    built, asked = blocked
+    for from_ in (0, 3):
+        fast = search.bm25_search(built, asked, ["title", "body"], "or", from_, 4, totals=False)
+        assert fast.totals is None
+        assert as_hits(fast.hits) == as_hits(search.bm25_search(built, asked, ["title", "body"], "or", from_, 4).hits)
+    assert search.bm25_search(index, queries, totals=False).totals is not None, "an index without blocks counts as well"
+    with pytest.raises(ValueError):
+        blocks.bm25_top(index, queries, 3)
