@@ -376,6 +376,7 @@ FROM requests r JOIN ({paged("batch_scores", "r.from_", "r.from_ + r.size")}) p
         "stream_upsert": f"SELECT {FLAT} FROM (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY number ORDER BY n DESC) = 1)",
         "stream_dedupe": f"SELECT number, {STAMP.format('updated_at')} FROM revisions",
     }
+    sql["merge_buckets"], sql["collect_into"] = sql["upsert_posts"], sql["collect_run"]
     return {name: _with(body) for name, body in sql.items()}
 
 

@@ -15,7 +15,7 @@ from siftwood.index import Index
 from siftwood.operators import index as ix
 from siftwood.operators import cells, ingest, neighbours, numbering, projections, ranking, terms
 from siftwood.plans import build, collect, search
-from siftwood.sinks import files, index_store
+from siftwood.sinks import bucket_store, files, index_store
 from siftwood.sources import readers
 from siftwood.streaming import feeds
 
@@ -188,6 +188,30 @@ def upsert_posts(spark, sf):
     return _flat_posts(ingest.upsert_posts(fx.posts(spark, sf), changes))
 
 
+@query
+def merge_buckets(spark, sf):
+    """A store of all posts, merged twice: the revisions of one half of the keys, then all of the long ones."""
+    def run(path: str) -> None:
+        bucket_store.create_store(fx.posts(spark, sf), path, "number", 16)
+        revisions = fx.revisions(spark, sf).where("length(body_md) >= 1500")
+        bucket_store.merge_store(spark, path, revisions.where("crc32(number) % 2 = 0"), ["arrival"])
+        bucket_store.merge_store(spark, path, revisions, ["arrival"])
+
+    store = bucket_store.open_store(spark, fx.once(spark, sf, "store", run))
+    return _flat_posts(store.read(spark))
+
+
+@query
+def collect_into(spark, sf):
+    """The run of collect_run into a bucket store."""
+    def run(path: str) -> None:
+        fx.run_log(spark, sf).select(*[f.split()[0] for f in ingest.RUN_LOG.split(", ")]).write.parquet(f"{path}/runs")
+        bucket_store.create_store(fx.posts(spark, sf), f"{path}/posts", "number", 16)
+        collect.collect_into(spark, fx.feed_pages(spark, sf), f"{path}/posts", f"{path}/runs", "2024-02-01")
+
+    return _flat_posts(bucket_store.open_store(spark, fx.once(spark, sf, "collected-into", run) + "/posts").read(spark))
+
+
 @query
 def collect_run(spark, sf):
     def run(path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from siftwood.mapping import Mapping
 from siftwood.operators import ingest, projections
 from siftwood.plans import collect
+from siftwood.sinks import bucket_store
 from siftwood.sinks.files import write_jsonl
 from siftwood.sources import readers
 from siftwood.streaming import feeds
@@ -268,3 +269,73 @@ def test_search_requests(spark):
         ("x", 200, 0, 10, True, None),
         ("", 200, 0, 10, True, None),
     ]
+
+
+# --- bucket stores ------------------------------------------------------------------
+
+
+def numbered(spark, n, text="old"):
+    return spark.createDataFrame([(str(i), f"{text} {i}") for i in range(n)], "number string, full_name string")
+
+
+def test_a_change_of_one_key_writes_one_bucket(spark, tmp_path):
+    root = str(tmp_path / "store")
+    first = bucket_store.create_store(numbered(spark, 200), root, "number", 8)
+    assert len(first.folders) == 8
+    second = bucket_store.merge_store(spark, root, spark.createDataFrame([("7", "new", 1)], POST), ["arrival"])
+    changed = {b for b in first.folders if first.folders[b] != second.folders[b]}
+    assert len(changed) == 1 and [p.name for p in (tmp_path / "store" / "data" / f"v={second.version}").glob("_bucket=*")] == [f"_bucket={b}" for b in changed]
+    # A reader of the old version still sees it whole.
+    old = bucket_store.open_store(spark, root, first.version)
+    assert rows(first.read(spark)) == rows(old.read(spark)) == rows(numbered(spark, 200))
+    assert rows(bucket_store.open_store(spark, root).read(spark)) == sorted([(str(i), "new" if i == 7 else f"old {i}") for i in range(200)])
+
+
+def test_merges_equal_one_upsert_of_all(spark, tmp_path):
+    root = str(tmp_path / "store")
+    target = numbered(spark, 50)
+    bucket_store.create_store(target, root, "number", 5)
+    changes = spark.createDataFrame([(str(i % 70), f"change {i}", i) for i in range(300)], POST)
+    for low, high in ((0, 100), (100, 220), (220, 300)):
+        bucket_store.merge_store(spark, root, changes.where(f"arrival >= {low} AND arrival < {high}"), ["arrival"])
+    assert rows(bucket_store.open_store(spark, root).read(spark)) == rows(ingest.upsert_posts(target, changes))
+    # Columns that changes lack, new buckets, and an empty store.
+    empty = bucket_store.create_store(target.limit(0), str(tmp_path / "empty"), "number", 4)
+    assert empty.read(spark).count() == 0
+    merged = bucket_store.merge_store(spark, str(tmp_path / "empty"), changes.where("arrival < 3").drop("full_name"), ["arrival"])
+    assert rows(merged.read(spark)) == [("0", None), ("1", None), ("2", None)]
+
+
+def test_merges_refuse_what_is_not_there_and_what_came_between(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    change = spark.createDataFrame([("1", "x", 1)], POST)
+    assert bucket_store.open_store(spark, root) is None
+    with pytest.raises(ValueError):
+        bucket_store.merge_store(spark, root, change, ["arrival"])
+    first = bucket_store.create_store(numbered(spark, 5), root, "number", 2)
+    with pytest.raises(ValueError):
+        bucket_store.create_store(numbered(spark, 5), root, "number", 2)
+    assert bucket_store.merge_store(spark, root, change.limit(0), ["arrival"]).version == first.version
+    write = bucket_store._write
+
+    def slow(*args):
+        monkeypatch.setattr(bucket_store, "_write", write)
+        bucket_store.merge_store(spark, root, spark.createDataFrame([("2", "between", 1)], POST), ["arrival"])
+        return write(*args)
+
+    monkeypatch.setattr(bucket_store, "_write", slow)
+    with pytest.raises(RuntimeError):
+        bucket_store.merge_store(spark, root, change, ["arrival"])
+    assert ("2", "between") in rows(bucket_store.open_store(spark, root).read(spark))
+
+
+def test_stream_changes_merge_once_into_a_store(spark, tmp_path):
+    root, log = str(tmp_path / "store"), str(tmp_path / "log")
+    change = "crawl string, arrived timestamp, page int, pos int, number string, full_name string, batch int"
+    batches = [("2024", None, 1, 0, "1", "first", 0), ("2024", None, 1, 1, "2", "first", 0), ("2025", None, 1, 0, "1", "second", 1)]
+    bucket_store.create_store(numbered(spark, 4), root, "number", 3)
+    for last in (0, 1):
+        spark.createDataFrame([b for b in batches if b[6] == last], change).write.mode("append").partitionBy("batch").parquet(log)
+        merged = feeds.merge_changes(spark, root, log)
+        assert merged.notes == {"batch": last} and feeds.merge_changes(spark, root, log).version == merged.version
+    assert rows(merged.read(spark)) == [("0", "old 0"), ("1", "second"), ("2", "first"), ("3", "old 3")]
