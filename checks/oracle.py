@@ -377,6 +377,7 @@ FROM requests r JOIN ({paged("batch_scores", "r.from_", "r.from_ + r.size")}) p
         "stream_dedupe": f"SELECT number, {STAMP.format('updated_at')} FROM revisions",
     }
     sql["merge_buckets"], sql["collect_into"] = sql["upsert_posts"], sql["collect_run"]
+    sql["search_segments"] = sql["bm25_search"]
     return {name: _with(body) for name, body in sql.items()}
 
 

@@ -14,7 +14,7 @@ from siftwood.functions.vectors import unit_vector
 from siftwood.index import Index
 from siftwood.operators import index as ix
 from siftwood.operators import cells, ingest, neighbours, numbering, projections, ranking, terms
-from siftwood.plans import build, collect, search
+from siftwood.plans import build, collect, search, segments
 from siftwood.sinks import bucket_store, files, index_store
 from siftwood.sources import readers
 from siftwood.streaming import feeds
@@ -525,6 +525,22 @@ def bm25_block_max(spark, sf):
     return hits.select("qid", "rank", "doc_id", "score")
 
 
+@query
+def search_segments(spark, sf):
+    """An index of stale posts, the posts of one half of the keys added, then those of the other."""
+    fx.use_utc(spark)
+    docs = fx.index_docs(spark, sf)
+    half = F.crc32(F.col("docid")) % 2
+
+    def make(root: str) -> None:
+        stale = docs.where(F.crc32(F.col("docid")) % 3 > 0).withColumn("body", F.col("title"))
+        _build(spark, sf, stale, root, "segments")
+        for part in (0, 1):
+            segments.add_segment(spark, docs.where(half == part), root, "segments")
+
+    return with_totals(search.bm25_search(_index(spark, sf, "segments", make), _asked(spark, sf), from_=2, size=8))
+
+
 @query
 def page_hits(spark, sf):
     return ranking.page_hits(ranking.top_k(bm25_field(spark, sf), 7), 3, 4)

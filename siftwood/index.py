@@ -32,6 +32,7 @@ class Index:
     centres: DataFrame | None = None  # cell, centre
     tops: DataFrame | None = None  # tbucket, field, term, dblock, top: if built with blocks
     block_docs: int = 0
+    segments: int = 1  # with several, dfs has a row per term and segment
 
     @property
     def analyzer(self) -> Analyzer:

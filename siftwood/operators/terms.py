@@ -67,9 +67,11 @@ def weigh_terms(index: Index, terms: DataFrame, operator: str = MATCH_ANY) -> Da
     wanted = F.broadcast(terms) if small else terms
     # One row per field of the mapping.
     stats = F.broadcast(index.stats.select("field", "n", (F.col("total_len") / F.col("n")).alias("avg_len")))
+    asked = index.dfs.join(wanted, ["tbucket", "field", "term"])
+    if index.segments > 1:
+        asked = asked.groupBy(wanted.columns).agg(F.sum("df").alias("df")).where("df > 0")
     weighed = (
-        index.dfs.join(wanted, ["tbucket", "field", "term"])
-        .join(stats, "field")
+        asked.join(stats, "field")
         .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         .select("tbucket", "field", "term", "qid", "n_terms", "qtf", "idf", "avg_len")
     )

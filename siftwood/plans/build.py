@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from siftwood.sinks.index_store import (
     Layout,
     build_folder,
     count_tables,
+    current_builds,
     new_version,
     open_index,
     seal_build,
@@ -75,13 +77,17 @@ def build_index(
     cells: int | None = None,
     cell_fraction: float = 1.0,
     block_docs: int | None = None,
+    extra: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None,
+    publish: bool = True,
 ) -> dict[str, int]:
     """Write every table of an index, then publish it once. Returns row counts.
 
     With ``cells``, the vectors are also dealt to that many cells (learnt from a
     ``cell_fraction`` of them) for approximate search; about the square root of
     their number is usual. With ``block_docs``, postings lie in blocks of so many
-    documents, and the best hits are found without reading all of them.
+    documents, and the best hits are found without reading all of them. ``extra``
+    makes further tables of the build from those written; unless ``publish``, the
+    alias is left as it is (see ``plans/segments.py``).
 
     ``doc_buckets`` is the search parallelism (see ``buckets_for``; default: the
     shuffle width). With ``term_buckets`` it sets the number of postings files,
@@ -147,13 +153,20 @@ def build_index(
         "block_docs": block_docs or 0,
     }
     write(meta=spark.range(1, numPartitions=1).select(F.lit(json.dumps(settings)).alias("settings")))
+    if extra:
+        write(**extra(tables))
     seal_build(spark, folder, tables, layouts)
-    switch_alias(spark, root, alias, version)
+    if publish:
+        switch_alias(spark, root, alias, version)
     return count_tables({name: tables[name] for name in TABLES})
 
 
 def load_index(spark: SparkSession, root: str, alias: str) -> Index | None:
-    """The index an alias names now."""
+    """The index an alias names now, with all of its segments."""
+    if len(current_builds(spark, root, alias)) > 1:
+        from siftwood.plans.segments import Segments
+
+        return Segments(spark, root, alias).index()
     tables = open_index(spark, root, alias)
     if tables is None:
         return None

@@ -25,6 +25,7 @@ from pyspark.sql.utils import AnalysisException
 
 ALIAS_SCHEMA = "alias string, index_name string, version bigint"
 _LAYOUT_SCHEMA = "layout string"
+_BETWEEN = "+"  # between the names of builds that one alias row names
 
 
 @dataclass(frozen=True)
@@ -91,8 +92,10 @@ def seal_build(spark: SparkSession, folder: str, tables: dict[str, DataFrame], l
     _one_row(spark, layout=json.dumps(notes)).write.parquet(f"{folder}/_layout")
 
 
-def switch_alias(spark: SparkSession, root: str, alias: str, version: int) -> None:
-    row = _one_row(spark, alias=alias, index_name=index_name(alias, version)).withColumn(
+def switch_alias(spark: SparkSession, root: str, alias: str, version: int, names: list[str] | None = None) -> None:
+    """Let an alias name a build, or several builds that are read together, oldest first."""
+    named = _BETWEEN.join(names or [index_name(alias, version)])
+    row = _one_row(spark, alias=alias, index_name=named).withColumn(
         "version", F.lit(version).cast("bigint")
     )
     row.write.mode("append").parquet(_alias_log(root))
@@ -159,11 +162,17 @@ def open_build(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return tables
 
 
-def open_index(spark: SparkSession, root: str, alias: str) -> dict[str, DataFrame] | None:
-    """The tables the alias names, or None for an unknown alias."""
+def current_builds(spark: SparkSession, root: str, alias: str) -> list[str]:
+    """The builds an alias names now, oldest first; none for an unknown alias."""
     try:
         log = spark.read.schema(ALIAS_SCHEMA).parquet(_alias_log(root))
         name = latest_index(log, alias)
     except AnalysisException:  # nothing was ever published here
-        return None
-    return None if name is None else open_build(spark, f"{root}/{name}")
+        return []
+    return name.split(_BETWEEN) if name else []
+
+
+def open_index(spark: SparkSession, root: str, alias: str) -> dict[str, DataFrame] | None:
+    """The tables of the newest build that the alias names, or None for an unknown alias."""
+    names = current_builds(spark, root, alias)
+    return open_build(spark, f"{root}/{names[-1]}") if names else None

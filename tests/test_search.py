@@ -13,7 +13,7 @@ from siftwood.operators import blocks
 from siftwood.operators import index as ix
 from siftwood.operators import ranking
 from siftwood.operators import terms
-from siftwood.plans import build, search
+from siftwood.plans import build, search, segments
 from siftwood.sinks import index_store as store
 
 MAPPING = Mapping({"vec": "vector", "docid": "keyword", "title": "text", "body": "text", "url": "keyword"}, dims=4)
@@ -389,3 +389,36 @@ def test_search_without_totals(blocked, index, queries):
     assert search.bm25_search(index, queries, totals=False).totals is not None, "an index without blocks counts as well"
     with pytest.raises(ValueError):
         blocks.bm25_top(index, queries, 3)
+
+
+def test_search_over_segments_equals_one_build(spark, index, queries, tmp_path):
+    schema = "docid string, title string, body string, url string, vec array<float>"
+    root = str(tmp_path)
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    stale = [(d, "stale words", "the the alpha of", u, v) for d, _, _, u, v in DOCS[:40]]
+    with pytest.raises(ValueError):
+        segments.add_segment(spark, frame(DOCS[:1]), root, "s")
+    build.build_index(spark, frame(stale), MAPPING, root, "s", term_buckets=3)
+    segments.add_segment(spark, frame(DOCS[:30]), root, "s")
+    before = build.load_index(spark, root, "s")
+    names = segments.add_segment(spark, frame(DOCS[20:]), root, "s")
+    assert len(names) == 3 and before.docs.count() == 40 and {r["title"] for r in before.docs.collect()} >= {"stale words"}
+
+    def same(found):
+        for table in ("docs", "vectors", "lengths", "stats"):
+            one, many = getattr(index, table), getattr(found, table)
+            assert sorted(map(repr, many.select(sorted(many.columns)).collect())) == sorted(map(repr, one.select(sorted(many.columns)).collect())), table
+        for operator in ("and", "or"):
+            assert as_scores(terms.most_fields(found, queries, None, operator)) == as_scores(terms.most_fields(index, queries, None, operator))
+        for how in ({"hybrid": True}, {}):
+            one, many = (search.search(i, queries, topk=9, **how) for i in (index, found))
+            assert as_hits(many.hits) == as_hits(one.hits)
+            assert sorted(map(tuple, many.totals.collect())) == sorted(map(tuple, one.totals.collect()))
+
+    same(build.load_index(spark, root, "s"))
+    # The newest two become one, then all.
+    assert len(segments.merge_segments(spark, root, "s", 1)) == 2
+    same(build.load_index(spark, root, "s"))
+    assert len(segments.merge_segments(spark, root, "s")) == 1 and len(segments.merge_segments(spark, root, "s")) == 1
+    same(build.load_index(spark, root, "s"))
+    assert before.docs.count() == 40
