@@ -255,6 +255,17 @@ def test_toxic_words_of_a_small_language_are_learned(spark):
             assert all(w == "malvado" for span in found for w in span.split())
 
 
+def test_settings_are_ranked_by_rows_left_out_of_each_fit(spark):
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, 40) + (" vilest wretches" if i % 4 == 0 else ""), "en", "s") for i in range(160)]
+    truth = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 160, 2)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(frame(spark, rows), truth, F.col("doc_id") % 10 == 0)
+    assert sample.count() == 64 and {r["toxic"] for r in sample.collect()} == {0, 1}
+    blind = toxicity.Settings((50.0, 60.0, 70.0, 80.0), 3, 0.85)
+    ranked = toxicity.cross_validate(sample, [blind, toxicity.SETTINGS])
+    assert [s for _, s in ranked] == [toxicity.SETTINGS, blind] and ranked[0][0] < ranked[1][0] / 2
+
+
 def test_scoring_survives_odd_texts(docs):
     nothing = toxicity.Lexicon(np.array([1], np.uint64), np.array([3]))
     field = toxicity.Field(np.zeros((toxicity.N_CODES, 2)), np.zeros((2, 2)))
