@@ -10,7 +10,8 @@ vectors (or SAMPLE_BYTES) chosen by a hash of their id: the share is the least
 of SHARES at which sample queries find GOAL of their true neighbours. Every
 vector is indexed. Cells are dealt to blocks of equal size, a cell larger than
 a block is split by a hash of the id, and a task holds one block of entries and
-one of queries. Vectors null, zero, holding null or non-finite components, of a
+one of queries; a block is copied only as often as the queries that probe it fill
+tasks. Vectors null, zero, holding null or non-finite components, of a
 width other than the commonest, or without an id take no part. Of several query
 rows of one id the least vector is asked; rows of the query's own id are no
 candidates. Equal distances go to smaller ids.
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwood.cluster import materialise
+from siftwood.cluster import broadcast_if_small, materialise
+from siftwood.llm.frames import SMALL_ROWS
 
 K = 10
 SAMPLE_ROWS = 20_000
@@ -147,13 +149,13 @@ def _probe(shared, counts, first_block, n_blocks, enough: float) -> Callable:
                 continue
             a, b = shared.value.distances(_matrix(batch["vec"]))
             out = []
-            for i, (query, vec, part) in enumerate(zip(batch["vec_id"], batch["vec"], batch["part"], strict=True)):
+            for i, (query, vec) in enumerate(zip(batch["vec_id"], batch["vec"], strict=True)):
                 by_block: dict[int, list[int]] = {}
                 for cell in walk(a[i], b[i], counts.value, enough):
                     for k in range(n_blocks.value[cell]):
                         by_block.setdefault(int(first_block.value[cell]) + k, []).append(cell)
-                out += [(block, part, query, vec, cells) for block, cells in by_block.items()]
-            yield pd.DataFrame(out, columns=["block", "part", "query_id", "vec", "cells"])
+                out += [(block, query, vec, cells) for block, cells in by_block.items()]
+            yield pd.DataFrame(out, columns=["block", "query_id", "vec", "cells"])
 
     return run
 
@@ -214,18 +216,21 @@ def search(vectors: DataFrame, every: int = 100) -> DataFrame:
     placed = [spark.sparkContext.broadcast(x) for x in (counts, first_block, n_blocks)]
 
     queries = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    parts = -(-queries.count() // QUERY_BLOCK) or 1
-    asked = queries.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(parts))).mapInPandas(
-        _probe(shared, *placed, max(share * n, LEAST_ENTRIES)),
-        "block bigint, part bigint, query_id bigint, vec array<double>, cells array<int>",
-    )
+    probe = _probe(shared, *placed, max(share * n, LEAST_ENTRIES))
+    asked = queries.mapInPandas(probe, "block bigint, query_id bigint, vec array<double>, cells array<int>")
+    asked = materialise(asked, "asked")
+    # Only blocks that are probed are sent, once for every QUERY_BLOCK of their queries.
+    parts = asked.groupBy("block").agg((F.floor((F.count("*") - 1) / QUERY_BLOCK) + 1).alias("parts"))
+    parts = broadcast_if_small(materialise(parts, "parts"), SMALL_ROWS)
+    asked = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(2)), F.col("parts"))).drop("parts")
 
     cells = spark.createDataFrame(
         [(int(c), int(first_block[c]), int(n_blocks[c])) for c in np.flatnonzero(counts)], "cell int, first long, blocks long"
     )
     block = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).alias("block")
-    every_part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part")
-    entries = index.join(F.broadcast(cells), "cell").select(block, "vec_id", "vec", "cell", every_part)
+    every_part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
+    entries = index.join(F.broadcast(cells), "cell").select(block, "vec_id", "vec", "cell")
+    entries = entries.join(parts, "block").select("block", "vec_id", "vec", "cell", every_part)
     found = (
         entries.groupBy("block", "part")
         .cogroup(asked.groupBy("block", "part"))

@@ -42,7 +42,9 @@ def nearest(points, query, k=10):
     return [i for _, i in distance[:k]]
 
 
-def test_neighbours_find_nine_in_ten_and_measure_exactly(spark):
+@pytest.mark.parametrize("query_block", [1024, 7])
+def test_neighbours_find_nine_in_ten_and_measure_exactly(spark, monkeypatch, query_block):
+    monkeypatch.setattr(multi_index, "QUERY_BLOCK", query_block)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 16))
     points = {i: (centres[i % 30] + 0.4 * rng.normal(size=16)).astype(np.float32).astype(float) for i in range(6000)}
