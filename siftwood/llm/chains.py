@@ -59,8 +59,8 @@ class Chains:
         self, alpha: np.ndarray, emission: np.ndarray, moves: np.ndarray, scale: np.ndarray
     ) -> tuple[np.ndarray, np.ndarray]:
         """``backward`` and ``moved`` in one pass, without copies of all items."""
-        beta, met = np.ones_like(emission), np.zeros_like(moves)
-        ahead = emission * (1 / scale)[:, None]
+        beta, met = np.ones_like(emission), np.zeros(moves.shape)
+        ahead = emission * (1 / scale).astype(emission.dtype)[:, None]
         back = np.ascontiguousarray(moves.T)
         for t in range(len(self.active) - 1, 0, -1):
             a, n = self.offsets[t], self.active[t]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from siftwood.cluster import materialise
 from siftwood.llm.chains import Chains
-from siftwood.llm.frames import spread
+from siftwood.llm.frames import small_batches, spread
 from siftwood.llm.words import Texts, as_bytes, slices
 
 STATES = 6
@@ -205,11 +205,13 @@ def _expect(counts, model) -> Callable:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         told, m = counts.value, model.value
+        # Single precision is enough to add up what is expected; sums and scores are doubles.
+        first, moves = m.first.astype(np.float32), m.moves.astype(np.float32)
         total = np.zeros(STATES + STATES * STATES + N_CLASSES * STATES)
         for batch in batches:
             for _, row in batch.iterrows():
                 block = Block(row, told)
-                emission = block.emission(m)
+                emission = block.emission(m).astype(np.float32)
                 for part in block.parts():
                     train, lengths = ~block.held[part], block.lengths[part]
                     if not train.any():
@@ -218,8 +220,8 @@ def _expect(counts, model) -> Callable:
                     chains = Chains(lengths[train])
                     laid = chains.laid(ids)
                     e = emission[laid]
-                    alpha, scale = chains.forward(e, m.moves, m.first)
-                    beta, moved = chains.backward_with_moves(alpha, e, m.moves, scale)
+                    alpha, scale = chains.forward(e, moves, first)
+                    beta, moved = chains.backward_with_moves(alpha, e, moves, scale)
                     alpha *= beta
                     classes = block.classes[laid]
                     seen = np.stack([np.bincount(classes, alpha[:, s], N_CLASSES) for s in range(STATES)], 1)
@@ -298,6 +300,7 @@ def score(blocks: DataFrame, counts: Counts, model: Model) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, held: Column, rounds: int = ROUNDS) -> DataFrame:
+    small_batches(docs.sparkSession)  # a block or two at once
     packed = pack(docs, held)
     words, counts = count_words(packed)
     blocks = with_counts(packed, words)
