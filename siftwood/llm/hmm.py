@@ -50,9 +50,12 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         texts = [as_bytes(x) for x in batch["text"]]
-        held = batch["held"].to_numpy()
+        all_held = batch["held"].to_numpy()
         for a, b in slices(texts, BLOCK_BYTES):
-            t = Texts(texts[a:b])
+            # By length, so that the long texts, which need many steps, share their parts.
+            at = np.array(sorted(range(a, b), key=lambda i: len(texts[i])))
+            held, doc_ids = all_held[at], batch["doc_id"].iloc[at]
+            t = Texts([texts[i] for i in at])
             starts, ends = t.word_spans()
             hashes = t.hashes(starts, ends)
             lengths = np.bincount(t.owners(starts), minlength=t.n).astype(np.int32)
@@ -64,11 +67,11 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, words, at = rank[ids], words[order], np.sort(first)
             endings = np.empty(len(order), np.int64)
             endings[ids[at]] = (t.hashes(np.maximum(starts[at], ends[at] - 3), ends[at]) % np.uint64(RARE)).astype(np.int64)
-            trained = ids[np.repeat(~held[a:b], lengths)]
+            trained = ids[np.repeat(~held, lengths)]
             yield pd.DataFrame(
                 {
-                    "doc_ids": [[None if pd.isna(i) else int(i) for i in batch["doc_id"].iloc[a:b]]],
-                    "held": [held[a:b]],
+                    "doc_ids": [[None if pd.isna(i) else int(i) for i in doc_ids]],
+                    "held": [held],
                     "lengths": [lengths],
                     "ids": [packer.compress(ids.tobytes())],
                     "words": [words.view(np.int64)],
@@ -300,8 +303,9 @@ def score(blocks: DataFrame, counts: Counts, model: Model) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, held: Column, rounds: int = ROUNDS) -> DataFrame:
-    small_batches(docs.sparkSession)  # a block or two at once
+    small_batches(docs.sparkSession, 2 * BLOCK_BYTES)
     packed = pack(docs, held)
+    small_batches(docs.sparkSession)  # now rows are packed blocks; one or two at once
     words, counts = count_words(packed)
     blocks = with_counts(packed, words)
     return score(blocks, counts, train(blocks, counts, rounds))
