@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from siftwood.cluster import materialise
 from siftwood.llm.chains import Chains
 from siftwood.llm.frames import small_batches, spread
-from siftwood.llm.words import Texts, as_bytes, slices
+from siftwood.llm.words import Texts, as_bytes
 
 STATES = 6
 ROUNDS = 4
@@ -47,38 +47,49 @@ PRIOR = 200.0  # tokens' worth of overall frequencies in each state's emissions
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    packer = zstandard.ZstdCompressor(level=1)
+    """Packed blocks of about BLOCK_BYTES of text, gathered over small batches."""
+    rows: list[tuple[bytes, bool, int | None]] = []
+    size = 0
     for batch in batches:
-        texts = [as_bytes(x) for x in batch["text"]]
-        all_held = batch["held"].to_numpy()
-        for a, b in slices(texts, BLOCK_BYTES):
-            # By length, so that the long texts, which need many steps, share their parts.
-            at = np.array(sorted(range(a, b), key=lambda i: len(texts[i])))
-            held, doc_ids = all_held[at], batch["doc_id"].iloc[at]
-            t = Texts([texts[i] for i in at])
-            starts, ends = t.word_spans()
-            hashes = t.hashes(starts, ends)
-            lengths = np.bincount(t.owners(starts), minlength=t.n).astype(np.int32)
-            words, first, ids, found = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-            # Frequent words first: their small numbers pack well.
-            order = np.argsort(-found, kind="stable")
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
-            ids, words, at = rank[ids], words[order], np.sort(first)
-            endings = np.empty(len(order), np.int64)
-            endings[ids[at]] = (t.hashes(np.maximum(starts[at], ends[at] - 3), ends[at]) % np.uint64(RARE)).astype(np.int64)
-            trained = ids[np.repeat(~held, lengths)]
-            yield pd.DataFrame(
-                {
-                    "doc_ids": [[None if pd.isna(i) else int(i) for i in doc_ids]],
-                    "held": [held],
-                    "lengths": [lengths],
-                    "ids": [packer.compress(ids.tobytes())],
-                    "words": [words.view(np.int64)],
-                    "rare": [endings + 1 + FREQUENT],
-                    "counts": [np.bincount(trained, minlength=len(words))],
-                }
-            )
+        for text, held, doc_id in zip(batch["text"], batch["held"], batch["doc_id"], strict=True):
+            text = as_bytes(text)
+            if rows and size + len(text) > BLOCK_BYTES:
+                yield _block(rows)
+                rows, size = [], 0
+            rows.append((text, held, None if pd.isna(doc_id) else int(doc_id)))
+            size += len(text)
+    if rows:
+        yield _block(rows)
+
+
+def _block(rows: list[tuple[bytes, bool, int | None]]) -> pd.DataFrame:
+    # By length, so that the long texts, which need many steps, share their parts.
+    rows.sort(key=lambda row: len(row[0]))
+    held = np.array([row[1] for row in rows], bool)
+    t = Texts([row[0] for row in rows])
+    starts, ends = t.word_spans()
+    hashes = t.hashes(starts, ends)
+    lengths = np.bincount(t.owners(starts), minlength=t.n).astype(np.int32)
+    words, first, ids, found = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    # Frequent words first: their small numbers pack well.
+    order = np.argsort(-found, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    ids, words, at = rank[ids], words[order], np.sort(first)
+    endings = np.empty(len(order), np.int64)
+    endings[ids[at]] = (t.hashes(np.maximum(starts[at], ends[at] - 3), ends[at]) % np.uint64(RARE)).astype(np.int64)
+    trained = ids[np.repeat(~held, lengths)]
+    return pd.DataFrame(
+        {
+            "doc_ids": [[row[2] for row in rows]],
+            "held": [held],
+            "lengths": [lengths],
+            "ids": [zstandard.ZstdCompressor(level=1).compress(ids.tobytes())],
+            "words": [words.view(np.int64)],
+            "rare": [endings + 1 + FREQUENT],
+            "counts": [np.bincount(trained, minlength=len(words))],
+        }
+    )
 
 
 def pack(docs: DataFrame, held: Column) -> DataFrame:
@@ -303,9 +314,8 @@ def score(blocks: DataFrame, counts: Counts, model: Model) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, held: Column, rounds: int = ROUNDS) -> DataFrame:
-    small_batches(docs.sparkSession, 2 * BLOCK_BYTES)
+    small_batches(docs.sparkSession)  # of texts, and then of packed blocks
     packed = pack(docs, held)
-    small_batches(docs.sparkSession)  # now rows are packed blocks; one or two at once
     words, counts = count_words(packed)
     blocks = with_counts(packed, words)
     return score(blocks, counts, train(blocks, counts, rounds))
