@@ -109,6 +109,7 @@ def test_join_of_groups_with_shared_passages(spark, monkeypatch, heavy, parts):
             rows.append((len(rows), " ".join(copy) + (" " + passage if rng.random() < 0.5 else ""), "en", "a"))
     rows += [(1000 + k, passage if k < 3 else f"{passage} own{k} words{k} here{k}", "en", "a") for k in range(9)]
     monkeypatch.setattr(jaccard, "HEAVY_DOCS", heavy)
+    monkeypatch.setattr(jaccard, "STAR_DOCS", 8 * heavy)
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", parts)
     monkeypatch.setattr(jaccard, "PAIR_ROWS", 50)
     assert joined(frame(spark, rows)) == components_of(rows)
