@@ -55,21 +55,39 @@ class Chains:
             beta[p : p + n] = ((emission[a : a + n] * beta[a : a + n]) / scale[a : a + n, None]) @ back
         return beta
 
-    def backward_with_moves(
+    def forward_by_state(self, emission: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``forward`` of states by items, in place of ``emission``: long rows suit many sequences."""
+        alpha, scale = emission, np.empty(emission.shape[1], emission.dtype)
+        back, before = np.ascontiguousarray(moves.T), None
+        for n, a in zip(self.active.tolist(), self.offsets.tolist(), strict=False):
+            now = alpha[:, a : a + n]
+            now *= first[:, None] if before is None else back @ before[:, :n]
+            total = scale[a : a + n]
+            now.sum(0, out=total)
+            now /= total
+            before = now
+        return alpha, scale
+
+    def marginals_by_state(
         self, alpha: np.ndarray, emission: np.ndarray, moves: np.ndarray, scale: np.ndarray
     ) -> tuple[np.ndarray, np.ndarray]:
-        """``backward`` and ``moved`` in one pass, without copies of all items."""
-        beta, met = np.ones_like(emission), np.zeros(moves.shape)
-        ahead = emission * (1 / scale).astype(emission.dtype)[:, None]
-        back = np.ascontiguousarray(moves.T)
-        for t in range(len(self.active) - 1, 0, -1):
-            a, n = self.offsets[t], self.active[t]
-            p = self.offsets[t - 1]
-            weighed = ahead[a : a + n]
-            weighed *= beta[a : a + n]
-            beta[p : p + n] = weighed @ back
-            met += alpha[p : p + n].T @ weighed
-        return beta, moves * met
+        """Each item's states given all items, in place of ``alpha``, and ``moved``; ``emission`` is used up."""
+        met, after = np.zeros(moves.shape), None
+        emission /= scale
+        offsets = self.offsets.tolist()
+        for t in range(len(self.active) - 1, -1, -1):
+            now = alpha[:, offsets[t] : offsets[t + 1]]
+            if after is not None:
+                n = after.shape[1]
+                met += now[:, :n] @ after.T
+                beta = moves @ after
+                now[:, :n] *= beta
+            if t:
+                after_now = emission[:, offsets[t] : offsets[t + 1]]
+                if after is not None:
+                    after_now[:, :n] *= beta
+                after = after_now
+        return alpha, moves * met
 
     def moved(self, alpha: np.ndarray, beta: np.ndarray, emission: np.ndarray, moves: np.ndarray, scale: np.ndarray) -> np.ndarray:
         """Expected numbers of moves between states."""

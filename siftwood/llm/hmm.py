@@ -41,7 +41,7 @@ END = 0  # class of the end mark; frequent words follow, then rare classes
 N_CLASSES = 1 + FREQUENT + RARE
 SLICES = 64
 BLOCK_BYTES = 16 << 20
-PART_TOKENS = 200_000
+PART_TOKENS = 600_000
 STICKY = 0.98
 PRIOR = 200.0  # tokens' worth of overall frequencies in each state's emissions
 
@@ -70,12 +70,15 @@ def _block(rows: list[tuple[bytes, bool, int | None]]) -> pd.DataFrame:
     starts, ends = t.word_spans()
     hashes = t.hashes(starts, ends)
     lengths = np.bincount(t.owners(starts), minlength=t.n).astype(np.int32)
-    words, first, ids, found = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    ids, words = pd.factorize(hashes)
+    # Codes are given as words first occur.
+    at = np.flatnonzero(np.diff(np.maximum.accumulate(ids), prepend=-1))
+    found = np.bincount(ids, minlength=len(words))
     # Frequent words first: their small numbers pack well.
     order = np.argsort(-found, kind="stable")
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
-    ids, words, at = rank[ids], words[order], np.sort(first)
+    ids, words = rank[ids], words[order]
     endings = np.empty(len(order), np.int64)
     endings[ids[at]] = (t.hashes(np.maximum(starts[at], ends[at] - 3), ends[at]) % np.uint64(RARE)).astype(np.int64)
     trained = ids[np.repeat(~held, lengths)]
@@ -194,7 +197,7 @@ class Block:
         within[:-1][rare] = ((c + 0.5) / (counts.by_class[classes] + 0.5 * (counts.words_of[classes] + 1)))[rare]
         self.within, self.classes = within, np.r_[classes, END]
         self.c = np.r_[c, counts.by_class[END]]
-        self.ids = np.full(int(self.lengths.sum()), len(c))
+        self.ids = np.full(int(self.lengths.sum()), len(c), np.int32)
         self.ends = np.cumsum(self.lengths)
         mask = np.ones(len(self.ids), bool)
         mask[self.ends - 1] = False
@@ -203,7 +206,8 @@ class Block:
         self.starts = self.ends - self.lengths
 
     def emission(self, model: Model) -> np.ndarray:
-        return model.emission[self.classes] * self.within[:, None]
+        """States by the block's words."""
+        return np.take(np.ascontiguousarray(model.emission.T), self.classes, 1) * self.within
 
     def parts(self) -> Iterator[slice]:
         """Runs of texts of about PART_TOKENS; a longer text stands alone."""
@@ -222,6 +226,7 @@ def _expect(counts, model) -> Callable:
         # Single precision is enough to add up what is expected; sums and scores are doubles.
         first, moves = m.first.astype(np.float32), m.moves.astype(np.float32)
         total = np.zeros(STATES + STATES * STATES + N_CLASSES * STATES)
+        seen = total[STATES + STATES * STATES :].reshape(N_CLASSES, STATES)
         for batch in batches:
             for _, row in batch.iterrows():
                 block = Block(row, told)
@@ -233,13 +238,14 @@ def _expect(counts, model) -> Callable:
                     ids = block.ids[block.starts[part][0] : block.ends[part][-1]][np.repeat(train, lengths)]
                     chains = Chains(lengths[train])
                     laid = chains.laid(ids)
-                    e = emission[laid]
-                    alpha, scale = chains.forward(e, moves, first)
-                    beta, moved = chains.backward_with_moves(alpha, e, moves, scale)
-                    alpha *= beta
+                    e = np.take(emission, laid, 1)
+                    alpha, scale = chains.forward_by_state(e.copy(), moves, first)
+                    gamma, moved = chains.marginals_by_state(alpha, e, moves, scale)
                     classes = block.classes[laid]
-                    seen = np.stack([np.bincount(classes, alpha[:, s], N_CLASSES) for s in range(STATES)], 1)
-                    total += np.r_[alpha[: chains.active[0]].sum(0), moved.ravel(), seen.ravel()]
+                    total[:STATES] += gamma[:, : chains.active[0]].sum(1)
+                    total[STATES:][: STATES * STATES] += moved.ravel()
+                    for s in range(STATES):
+                        seen[:, s] += np.bincount(classes, gamma[s], N_CLASSES)
         parts = np.array_split(total, SLICES)
         yield pd.DataFrame({"slice": range(SLICES), "sums": [p.tobytes() for p in parts]})
 
@@ -286,7 +292,7 @@ def _score(counts, model) -> Callable:
                     ids = block.ids[block.starts[part][0] : block.ends[part][-1]]
                     starts = block.starts[part] - block.starts[part][0]
                     chains = Chains(lengths)
-                    _, scale = chains.forward(emission[chains.laid(ids)], m.moves, m.first)
+                    _, scale = chains.forward_by_state(np.take(emission, chains.laid(ids), 1), m.moves, m.first)
                     doc_ids = [None if pd.isna(i) else int(i) for i in row["doc_ids"][part]]
                     yield pd.DataFrame(
                         {

@@ -154,8 +154,10 @@ def test_chains_equal_enumeration():
     assert np.allclose(chains.sums(np.log(scale)), likelihoods)
     assert np.allclose((alpha * beta)[chains.place], marginals)
     assert np.allclose(moved, want_moved)
-    both = chains.backward_with_moves(alpha, laid, moves, scale)
-    assert np.allclose(both[0], beta) and np.allclose(both[1], moved)
+    by_state = chains.forward_by_state(laid.T.copy(), moves, first)
+    assert np.allclose(by_state[0].T, alpha) and np.allclose(by_state[1], scale)
+    gamma, both = chains.marginals_by_state(by_state[0], laid.T.copy(), moves, scale)
+    assert np.allclose(gamma.T, alpha * beta) and np.allclose(both, moved)
 
 
 def test_language_model_counts_and_scores(spark, docs):
