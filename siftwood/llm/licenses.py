@@ -9,20 +9,27 @@ above 0.18, and BANDS bands of one row collide with probability 1 - (1 - s) **
 BANDS: above 0.99 there, above 0.9999 for a whole copy with m = h. A template of
 one shingle needs one band. Window minima come from minima of half windows.
 
-A band match is a candidate; the shared shingles of template and window are
-then counted exactly, and LEAST of the template's must be there. Windows of one
-template that overlap give one match, the span of its shingles. Templates are a
-given table of at most MOST_TEMPLATES; more raise. Null and empty texts match
-nothing; every row is scanned whole and for itself.
+A band match is a candidate. In the union of a template's overlapping candidate
+windows its shingles are then found exactly, and cut into pieces where the
+template starts over or pauses for longer than itself: every piece with LEAST of
+the template is a match, so notices in a row are told apart and a stray phrase
+before one is not part of it. Between such pieces the least span of at most 2h
+shingles with LEAST of the template, in any order, is a match; it goes on over
+neighbouring shingles that are new to it. Templates are a given table or mapping
+of at most MOST_TEMPLATES; more raise. Null and empty texts match nothing; every
+row is scanned whole and for itself.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siftwood.llm.frames import spread, whole_text
 from siftwood.llm.words import Texts, as_bytes, mix, not_alphanumeric, slices, windows
@@ -31,6 +38,7 @@ SHINGLE = 5
 LEAST = 0.8
 BANDS = 24
 MOST_TEMPLATES = 10_000
+MOST_CHARACTERS = 32 << 20  # of all templates of a table
 
 # Short public license notices.
 TEMPLATES = {
@@ -81,11 +89,17 @@ class Templates:
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
         self.sets = []
+        self.places: list[dict[int, list[int]]] = []
         self.sizes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         by_half: dict[int, list[int]] = {}
         for i, name in enumerate(self.names):
-            keys = np.unique(shingles(Texts([as_bytes(texts[name])]))[0])
+            ordered = shingles(Texts([as_bytes(texts[name])]))[0]
+            keys = np.unique(ordered)
             self.sets.append(keys)
+            places: dict[int, list[int]] = {}
+            for place, key in enumerate(ordered.tolist()):
+                places.setdefault(key, []).append(place)
+            self.places.append(places)
             if len(keys):
                 by_half.setdefault(_half(len(keys)), []).append(i)
         for half, members in by_half.items():
@@ -130,23 +144,72 @@ class Templates:
                         out.add((int(members[j]), int(a), int(end)))
         return out
 
+    def _pieces(self, i: int, at: list[int], hits: list[int]) -> Iterator[tuple[int, int]]:
+        """Ranges of hits in which template ``i`` goes forward without a long pause."""
+        places, pause = self.places[i], max(len(self.sets[i]), SHINGLE)
+        first, place = 0, -1
+        for k, key in enumerate(hits):
+            known = places[key]
+            later = bisect_right(known, place)
+            if k > first and (later == len(known) or at[k] - at[k - 1] > pause):
+                yield first, k
+                first, later = k, 0
+            place = known[min(later, len(known) - 1)]
+        if hits:
+            yield first, len(hits)
+
+    def _least_spans(self, i: int, at: list[int], hits: list[int], low: int, high: int) -> Iterator[tuple[int, int]]:
+        """Ranges of hits with LEAST of template ``i`` in any order, from the left."""
+        need, width = LEAST * len(self.sets[i]), 2 * _half(len(self.sets[i]))
+        first, end, seen = low, low, Counter()
+        while end < high:
+            seen[hits[end]] += 1
+            end += 1
+            while at[end - 1] - at[first] >= width or seen[hits[first]] > 1:
+                seen[hits[first]] -= 1
+                if not seen[hits[first]]:
+                    del seen[hits[first]]
+                first += 1
+            if len(seen) < need:
+                continue
+            while first > low and at[first] - at[first - 1] <= SHINGLE and hits[first - 1] not in seen:
+                first -= 1
+                seen[hits[first]] += 1
+            while end < high and at[end] - at[end - 1] <= SHINGLE and hits[end] not in seen:
+                seen[hits[end]] += 1
+                end += 1
+            yield first, end
+            low = first = end
+            seen.clear()
+
+    def spans(self, i: int, at: list[int], hits: list[int]) -> Iterator[tuple[int, int]]:
+        """Ranges of hits, in order, that are matches of template ``i``; ``at`` is
+        where each hit lies, in shingles."""
+        need, done = LEAST * len(self.sets[i]), 0
+        for a, b in self._pieces(i, at, hits):
+            if len(set(hits[a:b])) >= need:
+                yield from self._least_spans(i, at, hits, done, a)
+                yield a, b
+                done = b
+        yield from self._least_spans(i, at, hits, done, len(hits))
+
     def matches(self, texts: list[bytes]) -> list[tuple[int, str, int, int, float]]:
         """(text, license, start_word, end_word, containment) of some texts, in order."""
         keys, words, owners = shingles(Texts(texts))
-        found = []
+        areas: list[list[int]] = []
         for i, a, b in sorted(self.candidates(keys, owners)):
-            inside = np.isin(keys[a:b], self.sets[i])
-            share = len(np.unique(keys[a:b][inside])) / len(self.sets[i])
-            if share >= LEAST:
-                at = np.flatnonzero(inside) + a
-                found.append((i, int(owners[a]), int(words[at[0]]), int(words[at[-1]]) + SHINGLE, share))
-        out: list[list] = []
-        for i, owner, start, end, share in sorted(found):
-            if out and out[-1][:2] == [i, owner] and start < out[-1][3]:
-                out[-1][3], out[-1][4] = max(out[-1][3], end), max(out[-1][4], share)
+            if areas and areas[-1][0] == i and a <= areas[-1][2] and owners[a] == owners[areas[-1][1]]:
+                areas[-1][2] = max(areas[-1][2], b)
             else:
-                out.append([i, owner, start, end, share])
-        return sorted((owner, self.names[i], start, end, share) for i, owner, start, end, share in out)
+                areas.append([i, a, b])
+        out = []
+        for i, a, b in areas:
+            places = np.flatnonzero(np.isin(keys[a:b], self.sets[i])) + a
+            at, hits = places.tolist(), keys[places].tolist()
+            for first, end in self.spans(i, at, hits):
+                share = len(set(hits[first:end])) / len(self.sets[i])
+                out.append((int(owners[a]), self.names[i], int(words[at[first]]), int(words[at[end - 1]]) + SHINGLE, share))
+        return sorted(out)
 
 
 def _scan(shared) -> Callable:
@@ -164,10 +227,21 @@ def _scan(shared) -> Callable:
     return run
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def read_templates(table: DataFrame) -> dict[str, str]:
+    """The templates of a table (license, text); its size is checked before it is
+    read. Of texts with one name the first in order is taken; rows without a name go."""
+    named = table.where(F.col("license").isNotNull()).select("license", F.coalesce("text", F.lit("")).alias("text"))
+    size = named.agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("characters")).first()
+    if size["rows"] > MOST_TEMPLATES or (size["characters"] or 0) > MOST_CHARACTERS:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates or {MOST_CHARACTERS} characters")
+    return {r["license"]: r["text"] for r in named.groupBy("license").agg(F.min("text").alias("text")).collect()}
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES) -> DataFrame:
     """doc_id, license, start_word, end_word and containment of every match."""
+    templates = read_templates(templates) if isinstance(templates, DataFrame) else dict(templates)
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    shared = docs.sparkSession.sparkContext.broadcast(dict(templates))
+    shared = docs.sparkSession.sparkContext.broadcast(templates)
     schema = "doc_id bigint, license string, start_word bigint, end_word bigint, containment double"
     return spread(whole_text(docs, "doc_id")).mapInPandas(_scan(shared), schema)

@@ -310,6 +310,63 @@ def test_licenses_are_found_and_nothing_else(spark, docs):
     assert licenses.scan(docs).count() == 0 and licenses.scan(docs.limit(0)).count() == 0
 
 
+def license_spans(text: str, templates=licenses.TEMPLATES) -> list[tuple]:
+    return [r[1:] for r in licenses.Templates(dict(templates)).matches([text.encode()])]
+
+
+def test_license_spans_are_exact():
+    bsd, n = licenses.TEMPLATES["BSD"], 16
+    assert license_spans(bsd) == [("BSD", 0, n, 1.0)]
+    assert license_spans(" ".join([bsd] * 3)) == [("BSD", k * n, k * n + n, 1.0) for k in range(3)]
+    stray = "redistribution and use in source and binary code words"
+    assert license_spans(f"{stray} {bsd} and more") == [("BSD", 9, 9 + n, 1.0)]
+    for before in (0, 1, 13, 400, 3000):
+        text = " ".join([f"w{k}" for k in range(before)] + [bsd, "x " * 5000, bsd])
+        assert license_spans(text) == [("BSD", before, before + n, 1.0), ("BSD", before + n + 5000, before + 2 * n + 5000, 1.0)]
+    # Two in a row of a notice of one shingle.
+    assert license_spans(licenses.TEMPLATES["MIT"] * 2) == [("MIT", 0, 5, 1.0), ("MIT", 5, 10, 1.0)]
+
+
+def test_license_parts_in_another_order_and_templates_that_repeat_words():
+    words = [f"t{k}" for k in range(60)]
+    swapped = " ".join(["a", "b", *words[30:], *words[:30], "c"])
+    (found,) = license_spans(swapped, {"L": " ".join(words)})
+    assert found[:3] == ("L", 2, 62) and found[3] == 52 / 56
+    again = words[:10] + words[5:10] * 2 + words[10:]
+    assert license_spans(" ".join(["a", *again, "b", *again]), {"L": " ".join(again)}) == [("L", 1, 71, 1.0), ("L", 72, 142, 1.0)]
+
+
+def test_license_spans_are_found_wherever_a_plain_window_holds_enough():
+    rng = random.Random(5)
+    for _ in range(300):
+        words = [rng.choice("abcdefgh") for _ in range(rng.randrange(5, 40))]
+        body = [rng.choice("abcdefgh") for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(4)):
+            cut = rng.randrange(len(words))
+            body += rng.choice([words, words[cut:] + words[:cut], words[cut:], words[:cut]]) + [rng.choice("abxy")]
+        template, text = " ".join(words), " ".join(body)
+        found = license_spans(text, {"L": template})
+        if plain_matches(text, template):
+            assert found
+        wanted = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        for _, a, b, share in found:
+            inside = {tuple(body[k : k + 5]) for k in range(a, b - 4)} & wanted
+            assert share == len(inside) / len(wanted) >= licenses.LEAST
+            assert tuple(body[a : a + 5]) in wanted and tuple(body[b - 5 : b]) in wanted
+
+
+def test_license_templates_from_a_table(spark, monkeypatch):
+    rows = [("A", "one two three four five six"), ("B", None), (None, "gone"), ("A", "zzz")]
+    table = spark.createDataFrame(rows, "license string, text string")
+    assert licenses.read_templates(table) == {"A": "one two three four five six", "B": ""}
+    docs = frame(spark, [(1, "x one two three four five six", "en", "a")])
+    assert [tuple(r) for r in licenses.scan(docs, table).collect()] == [(1, "A", 1, 7, 1.0)]
+    assert licenses.scan(docs, table.limit(0)).count() == 0
+    monkeypatch.setattr(licenses, "MOST_TEMPLATES", 1)
+    with pytest.raises(ValueError):
+        licenses.scan(docs, table)
+
+
 def test_one_row_of_each_group_stays(spark):
     """Rows of one id are told apart by their texts; texts without words are linked with nothing."""
     rng = random.Random(21)
