@@ -274,6 +274,21 @@ def _assemble(spec, decoded: bool) -> Callable:
     return run
 
 
+def unsplit(run: int = RUN, text: str = "text") -> Column:
+    """Whether a text holds ``run`` characters without white space.
+
+    Such a run covers an aligned block of half its bytes. Blocks are looked at only
+    up to their first white space, so the slow exact search is left to texts that have
+    a block without any."""
+    size = max(run // 2, 1)
+    raw = F.col(text).cast("binary")
+    block = lambda k: F.substring(raw, (k * size + 1).cast("int"), F.lit(size)).cast("string")
+    blocks = F.sequence(F.lit(0), F.floor(F.octet_length(text) / size).cast("int"))
+    whole = lambda k: ((k + 1) * size <= F.octet_length(text)) & ~block(k).rlike("[\\t\\n\\r ]")
+    exact = F.col(text).rlike(f"(?<![^{WHITE}])[^{WHITE}]{{{run}}}")
+    return (F.octet_length(text) >= run) & F.exists(blocks, whole) & exact
+
+
 def encode(
     docs: DataFrame, spec: str, *columns: str, decoded: bool = False, run: int = RUN, leaf: int = LEAF
 ) -> DataFrame:
@@ -284,11 +299,10 @@ def encode(
     shared = docs.sparkSession.sparkContext.broadcast(spec)
     docs = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    unsplit = (F.length("text") >= run) & F.col("text").rlike(f"(?<![^{WHITE}])[^{WHITE}]{{{run}}}")
     result = "ids binary, decoded string" if decoded else "ids binary"
-    plain = spread(docs.where(~unsplit)).mapInPandas(_encode(shared, decoded), f"{kept}, {result}")
+    plain = spread(docs.where(~unsplit(run))).mapInPandas(_encode(shared, decoded), f"{kept}, {result}")
 
-    long = materialise(docs.where(unsplit).withColumn("_row", F.monotonically_increasing_id()), "unsplit")
+    long = materialise(docs.where(unsplit(run)).withColumn("_row", F.monotonically_increasing_id()), "unsplit")
     parts = long.select("_row", "text").mapInPandas(_parts(shared, leaf), "_row bigint, part bigint, leaf bigint, ids binary, symbols string")
     leaves = parts.repartition("_row", "part", "leaf").mapInPandas(
         _merge_leaves(shared), "_row bigint, part bigint, leaf bigint, ids binary, tokens string"

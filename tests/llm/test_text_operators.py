@@ -240,6 +240,20 @@ def test_secrets_are_added_and_redacted(spark):
 # --- byte-pair encoding ---------------------------------------------------------------
 
 
+def test_texts_with_long_runs_are_told_exactly(spark):
+    rng = random.Random(31)
+    letters = ["a", "é", "日", "😀", "-"]
+    rows = []
+    for k in range(400):
+        body = ""
+        for _ in range(rng.randrange(4)):
+            body += rng.choice(letters) * rng.choice([1, 30, 48, 49, 50, 51, 75, 120]) + rng.choice([*bpe.WHITE, ""])
+        rows.append((k, body, "en", "a"))
+    for run in (1, 2, 49, 50, 51):
+        found = {r["doc_id"] for r in frame(spark, rows).where(bpe.unsplit(run)).collect()}
+        assert found == {k for k, body, *_ in rows if re.search(f"[^{bpe.WHITE}]{{{run}}}", body)}
+
+
 def test_encoding_equals_the_library(spark, docs, rows):
     from tokenizers import Tokenizer
 
