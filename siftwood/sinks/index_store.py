@@ -131,14 +131,18 @@ def latest_index(log: DataFrame, alias: str) -> str | None:
     return row["name"] if row else None
 
 
+def _catalog_name(folder: str, name: str) -> str:
+    """The catalog entry that tells scans about a table's buckets. The folder's hash
+    keeps equal names under different roots apart."""
+    label = re.sub(r"\W", "_", f"{folder.rsplit('/', 1)[-1]}_{name}")
+    return f"siftwood_{label}_{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex[:12]}"
+
+
 def _read_table(spark: SparkSession, folder: str, name: str, layout: Layout, schema: T.StructType) -> DataFrame:
     path = f"{folder}/{name}"
     if not layout.bucket_by:
         return spark.read.schema(schema).parquet(path)
-    # A catalog entry tells scans about the buckets. The folder's hash keeps
-    # equal names under different roots apart.
-    label = re.sub(r"\W", "_", f"{folder.rsplit('/', 1)[-1]}_{name}")
-    table = f"siftwood_{label}_{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex[:12]}"
+    table = _catalog_name(folder, name)
     if not spark.catalog.tableExists(table):
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         parts = f"PARTITIONED BY (`{layout.partition_by}`)" if layout.partition_by else ""
@@ -152,11 +156,24 @@ def _read_table(spark: SparkSession, folder: str, name: str, layout: Layout, sch
     return spark.table(table)
 
 
+def _layout_notes(spark: SparkSession, folder: str) -> dict[str, dict]:
+    return json.loads(spark.read.schema(_LAYOUT_SCHEMA).parquet(f"{folder}/_layout").first()["layout"])
+
+
+def forget_build(spark: SparkSession, folder: str) -> None:
+    """Drop the catalog entries of a build that is about to be removed."""
+    try:
+        notes = _layout_notes(spark, folder)
+    except AnalysisException:  # it was never sealed, so nobody has opened it
+        return
+    for name in notes:
+        spark.sql(f"DROP TABLE IF EXISTS {_catalog_name(folder, name)}")
+
+
 def open_build(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of one build."""
-    row = spark.read.schema(_LAYOUT_SCHEMA).parquet(f"{folder}/_layout").first()
     tables = {}
-    for name, note in json.loads(row["layout"]).items():
+    for name, note in _layout_notes(spark, folder).items():
         schema = T.StructType.fromJson(note.pop("schema"))
         tables[name] = _read_table(spark, folder, name, Layout(**note), schema)
     return tables
