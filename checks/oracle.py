@@ -337,6 +337,9 @@ s AS (SELECT doc_id, code % 64 AS dim, sum(CASE WHEN (code // 64) % 2 = 0 THEN 1
 n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY ALL HAVING norm > 0)
 SELECT n.doc_id, CAST(pos AS INT) AS pos, round(CAST(CAST(coalesce(x, 0) / norm AS FLOAT) AS DOUBLE), 6) AS value
 FROM (SELECT doc_id, norm, unnest(range(64)) AS pos FROM n) n LEFT JOIN s ON s.doc_id = n.doc_id AND s.dim = n.pos""",
+        "encode_tokens": f"""WITH t AS (SELECT doc_id, unnest({tok('text')}) AS term FROM documents)
+SELECT doc_id, CAST(pos AS INT) AS pos, round(CAST(CAST(sum(CASE WHEN length(term) % 8 = pos THEN 1 ELSE 0 END) / count(*) AS FLOAT) AS DOUBLE), 6) AS value
+FROM t, (SELECT unnest(range(8)) AS pos) GROUP BY ALL""",
         "attach_vectors": """SELECT number AS docid, full_name AS title, CAST(len(embedding) AS INT) AS width,
   round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM posts LEFT JOIN embeddings ON CAST(vec_id AS VARCHAR) = number""",
         "knn_exact": f"""SELECT qid, rank, doc_id, score FROM (SELECT *, {RANK} FROM (
@@ -374,6 +377,7 @@ FROM requests r JOIN ({paged("batch_scores", "r.from_", "r.from_ + r.size")}) p
   WHEN hybrid AND topk = 9 THEN 'unknown field'
   WHEN topk = 11 THEN 'bad page' END AS reason FROM requests) WHERE reason IS NOT NULL""",
         "stream_upsert": f"SELECT {FLAT} FROM (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY number ORDER BY n DESC) = 1)",
+        "stream_dedupe_once": f"SELECT number, {STAMP.format('updated_at')} FROM revisions",
         "stream_dedupe": f"SELECT number, {STAMP.format('updated_at')} FROM revisions",
     }
     sql["merge_buckets"], sql["collect_into"] = sql["upsert_posts"], sql["collect_run"]

@@ -418,6 +418,29 @@ def encode_text(spark, sf):
     return components(encoders.encode(fx.texts(spark, sf), "doc_id", F.col("text")), "doc_id")
 
 
+def _length_model():
+    """A model whose tokens are words, each with the unit vector of its length modulo 8."""
+    import numpy as np
+
+    def predict(texts):
+        tokens = [[len(t) % 8 for t in text.split(" ") if t] for text in texts]
+        vectors = np.zeros((len(tokens), max(map(len, tokens)), 8), np.float32)
+        mask = np.zeros(vectors.shape[:2], np.int8)
+        for i, lengths in enumerate(tokens):
+            vectors[i, np.arange(len(lengths)), lengths] = 1
+            mask[i, : len(lengths)] = 1
+        return vectors, mask
+
+    return predict
+
+
+@query
+def encode_tokens(spark, sf):
+    words = F.array_join(text.tokenize(F.col("text")), " ")
+    encoder = encoders.token_model_encoder(_length_model, "mean")
+    return components(encoders.encode(fx.texts(spark, sf), "doc_id", words, encoder), "doc_id")
+
+
 @query
 def attach_vectors(spark, sf):
     paired = build.attach_vectors(_post_docs(spark, sf), fx.vectors(spark, sf))
@@ -633,3 +656,28 @@ def stream_dedupe(spark, sf):
 
     out = fx.once(spark, sf, "deduped", run) + "/out"
     return spark.read.parquet(out).select("number", stamp("updated_at"))
+
+
+@query
+def stream_dedupe_once(spark, sf):
+    """Three crawls, each by a query restarted from the checkpoint. The last one
+    repeats all of the first, far later than any watermark."""
+
+    def run(path: str) -> None:
+        revisions = fx.revisions(spark, sf).select("number", "updated_at")
+        first = revisions.where("updated_at < timestamp '2024-01-15 12:00:00'")
+        second = revisions.where("updated_at >= timestamp '2024-01-15 00:00:00'")
+        for crawl in (first, second, first):
+            crawl.write.mode("append").parquet(f"{path}/crawls")
+            stream = spark.readStream.schema(revisions.schema).parquet(f"{path}/crawls")
+            (
+                feeds.stream_dedupe_once(stream, ["number", "updated_at"], 7 * 86400)
+                .writeStream.format("parquet")
+                .option("checkpointLocation", f"{path}/checkpoint")
+                .trigger(availableNow=True)
+                .start(f"{path}/out")
+                .awaitTermination()
+            )
+
+    out = fx.once(spark, sf, "deduped_once", run) + "/out"
+    return spark.read.parquet(out).select("number", stamp("updated_at"))

@@ -256,18 +256,17 @@ def train_cells(
 # --- pooling ----------------------------------------------------------------
 
 
-def mean_pool(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Mean of a document's token vectors where ``mask`` is 1. Sums per component
-    combine before the shuffle, so a document of any length is fine; only the
-    finished components, bounded by the width, are gathered."""
-    means = (
-        tokens.where(F.col("mask") == 1)
-        .select(key, F.posexplode("vec").alias("dim", "x"))
-        .groupBy(key, "dim")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))
-    return means.groupBy(key).agg(F.transform(ordered, lambda s: s["x"]).alias("vec"))
+def mean_pool(tokens: DataFrame, key: str = "doc_id", dims: int | None = None) -> DataFrame:
+    """Mean of a document's token vectors where ``mask`` is 1. All ``dims``
+    components (by default those of some row) are summed side by side, one row per
+    document and task, before the shuffle, so a document of any length is fine."""
+    if dims is None:
+        some = tokens.where(F.col("vec").isNotNull()).select(F.size("vec")).first()
+        dims = some[0] if some else 0
+    parts = [F.avg(F.get("vec", F.lit(i)).cast("double")).alias(f"_x{i}") for i in range(dims)]
+    means = tokens.where(F.col("mask") == 1).groupBy(key).agg(F.count("vec").alias("_vectors"), *parts)
+    vec = F.array(*[F.col(f"_x{i}") for i in range(dims)]).cast("array<double>")
+    return means.where(F.col("_vectors") > 0).select(key, vec.alias("vec"))
 
 
 def cls_pool(tokens: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -339,3 +339,34 @@ def test_stream_changes_merge_once_into_a_store(spark, tmp_path):
         merged = feeds.merge_changes(spark, root, log)
         assert merged.notes == {"batch": last} and feeds.merge_changes(spark, root, log).version == merged.version
     assert rows(merged.read(spark)) == [("0", "old 0"), ("1", "second"), ("2", "first"), ("3", "old 3")]
+
+
+def test_stream_dedupe_once_outlives_restarts_and_late_repeats(spark, tmp_path):
+    schema = "number string, updated_at timestamp, v int"
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    batches = [[("1", day(3), 0), ("1", day(1), 1), (None, day(0), 2)], [("2", day(90), 3), ("1", day(1), 4)], [("1", day(0), 5), (None, None, 6), ("3", None, 7)]]
+    out = tmp_path / "out"
+
+    def run(batch, keep):
+        if batch:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = (
+            feeds.stream_dedupe_once(stream, ["number"], keep)
+            .writeStream.format("parquet")
+            .option("checkpointLocation", str(tmp_path / "ck"))
+            .trigger(availableNow=True)
+            .start(str(out))
+        )
+        query.awaitTermination()
+        return sorted(r["v"] for r in spark.read.schema(schema).parquet(str(out)).collect())
+
+    assert run(batches[0], 3600) == [1, 2]
+    assert run(batches[1], 3600) == [1, 2, 3]
+    assert run(batches[2], 3600) == [1, 2, 3, 7]
+    assert run([("3", None, 8)], 0.001) == [1, 2, 3, 7]
+    # The state of "3" ends; of what timed out in a batch only later batches know.
+    assert run([("9", day(5), 9)], 3600) == [1, 2, 3, 7, 9]
+    assert run([("3", day(5), 10), ("2", day(5), 11)], 3600) == [1, 2, 3, 7, 9, 10]
+    with pytest.raises(ValueError):
+        feeds.stream_dedupe_once(spark.createDataFrame([], schema), ["number"], 0)

@@ -183,3 +183,58 @@ def test_many_equal_scores_in_small_blocks(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute(points, points, 6)
+
+
+def token_model(calls=None):
+    """Words as tokens: (length, 1) each, padded with large numbers that a mask hides."""
+
+    def make():
+        def predict(texts):
+            split = [t.split() for t in texts]
+            longest = max(map(len, split))
+            vectors = np.full((len(split), longest, 2), 1e6, np.float32)
+            mask = np.zeros((len(split), longest), np.int64)
+            for i, ws in enumerate(split):
+                mask[i, : len(ws)] = 1
+                for j, w in enumerate(ws):
+                    vectors[i, j] = len(w), 1
+            return vectors, mask
+
+        return predict
+
+    return make
+
+
+@pytest.mark.parametrize("budget", [1, 40, 1 << 20])
+def test_token_models_are_pooled_in_packed_batches(spark, budget):
+    texts = [(i, " ".join("x" * (1 + (i * k) % 7) for k in range(1, 1 + i % 90))) for i in range(200)] + [(200, None)]
+    df = spark.createDataFrame(texts, "id int, t string")
+    for pooling in encoders.POOLINGS:
+        encoder = encoders.token_model_encoder(token_model(), pooling, budget)
+        got = {r["id"]: r["vec"] for r in encoders.encode(df, "id", F.col("t"), encoder).collect()}
+        assert len(got) == 201 and got[200] is None
+        for i, text in texts[:200]:
+            sizes = [len(w) for w in text.split()]
+            if sizes:
+                want = [sum(sizes) / len(sizes) if pooling == "mean" else sizes[0], 1.0]
+                assert got[i] == pytest.approx(want, rel=1e-6)
+            elif pooling == "mean":
+                assert got[i] is None
+    with pytest.raises(ValueError):
+        encoders.token_model_encoder(token_model(), "max")
+    assert encoders.encode(df.limit(0), "id", F.col("t"), encoder).count() == 0
+
+
+def test_packed_batches_stay_in_their_budget():
+    sizes = np.array([5, 1, 90, 7, 7, 0, 30, 200, 1, 2])
+    parts = [p.tolist() for p in encoders.packed_batches(sizes, 60)]
+    assert sorted(sum(parts, [])) == list(range(10))
+    assert all(len(p) == 1 or len(p) * sizes[p].max() <= 60 for p in parts) and len(parts) == 4
+    assert list(encoders.packed_batches(np.array([], np.int64), 60)) == []
+
+
+def test_mean_pool_of_unmasked_and_missing_rows(spark):
+    rows = [(1, 0, [9.0]), (2, 1, None), (3, 1, [4.0]), (3, 1, None)]
+    tokens = spark.createDataFrame(rows, "doc_id int, mask int, vec array<float>")
+    assert [tuple(r) for r in nb.mean_pool(tokens).collect()] == [(3, [4.0])]
+    assert nb.mean_pool(tokens.limit(0)).count() == 0
