@@ -7,17 +7,27 @@ so the score of a document is summed without a shuffle.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwood.cluster import BROADCAST_ROWS, materialise
 from siftwood.functions.text import tokenize
 from siftwood.index import Analyzer, Index
 from siftwood.operators.index import term_bucket
 
+# The kernel travels with its tasks, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of the similarity.
 K1 = 2.0
 B = 0.75
@@ -28,6 +38,9 @@ MATCH_ANY = "or"
 # Query terms that are named to the scan of postings one by one.
 FEW_TERMS = 200
 
+# Pairs of a posting and a query term that a task holds at once, above one document's.
+HELD_PAIRS = 1 << 20
+
 
 def query_terms(
     queries: DataFrame,
@@ -144,6 +157,88 @@ def _field_scores(index: Index, weighed: DataFrame, fields: list[str]) -> DataFr
     return hit.groupBy("qid", "doc_id").agg(*field_columns(fields, weight))
 
 
+def _scored_documents(asked: pa.Table, starts: np.ndarray, fields: list[str], operator: str, held: int):
+    """mapInArrow function: documents with their postings of asked terms in, a row per
+    request that matches out. ``asked`` has the weighed terms in order of their number,
+    those of number t from ``starts[t]`` on."""
+    qid = pc.dictionary_encode(asked.column("qid").combine_chunks(), null_encoding="encode")
+    qids, q = qid.dictionary, qid.indices.to_numpy().astype(np.int64)
+    place = np.array([fields.index(f) for f in asked.column("field").to_pylist()], np.int64)
+    number = lambda name: asked.column(name).to_numpy().astype(np.float64)
+    qtf, idf, avg_len, n_terms = map(number, ("qtf", "idf", "avg_len", "n_terms"))
+    every = np.diff(starts)
+
+    def score(doc: np.ndarray, t: np.ndarray, tf: np.ndarray, dl: np.ndarray):
+        times = every[t]
+        at = np.repeat(starts[t] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+        doc, tf, dl = (np.repeat(x, times) for x in (doc, tf, dl))
+        weight = qtf[at] * (idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_len[at])))
+        pair = doc * len(qids) + q[at]
+        order = np.argsort(pair, kind="stable")
+        pair, weight, at = pair[order], weight[order], at[order]
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        total, mask = np.zeros(len(first)), np.zeros(len(first), np.int64)
+        for k in np.unique(place[at]):
+            here = place[at] == k
+            found = np.add.reduceat(here, first, dtype=np.int64)
+            matched = found > 0
+            if operator == MATCH_ALL:
+                matched &= found == np.maximum.reduceat(np.where(here, n_terms[at], 0), first)
+            total += np.where(matched, np.add.reduceat(np.where(here, weight, 0.0), first), 0.0)
+            mask |= np.where(matched, 1 << int(k), 0)
+        kept = np.flatnonzero(mask)
+        return pair[first[kept]], total[kept], mask[kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, hits = batch.column("doc_id"), batch.column("hits")
+            if not batch.num_rows:
+                continue
+            ends = np.cumsum(pc.list_value_length(hits).to_numpy().astype(np.int64))
+            hit = hits.flatten()
+            t, tf, dl = (hit.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            doc = np.repeat(np.arange(len(docs)), np.diff(np.r_[0, ends]))
+            done = np.cumsum(every[t])[ends - 1]  # pairs up to each document
+            begin = 0
+            while begin < len(docs):
+                before = done[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(done, before + held, side="right")))
+                part = slice(ends[begin - 1] if begin else 0, ends[end - 1])
+                pair, total, mask = score(doc[part], t[part], tf[part].astype(np.float64), dl[part].astype(np.float64))
+                yield pa.record_batch(
+                    [qids.take(pa.array(pair % len(qids))), docs.take(pa.array(pair // len(qids))), pa.array(total), pa.array(mask)],
+                    names=["qid", "doc_id", "total", "matched"],
+                )
+                begin = end
+
+    return run
+
+
+def _totals_by_document(index: Index, weighed: DataFrame, fields: list[str], operator: str) -> DataFrame:
+    """``_totals`` by one document after the other. The postings of a document meet in
+    its bucket; the requests they answer are summed in the task that has them, so what
+    it holds follows from the postings, not from the number of requests they answer."""
+    keys = ["tbucket", "field", "term"]
+    spark = weighed.sparkSession
+    asked = weighed.toArrow()  # at most BROADCAST_ROWS
+    asked = asked.sort_by([(c, "ascending") for c in keys])
+    new = np.zeros(asked.num_rows, bool)
+    for c in keys:
+        column = asked.column(c).to_numpy(zero_copy_only=False)
+        new[1:] |= column[1:] != column[:-1]
+    new[:1] = True
+    starts = np.flatnonzero(new)
+    named = asked.take(pa.array(starts)).select(keys).append_column("t", pa.array(np.arange(len(starts), dtype=np.int32)))
+    schema = T.StructType([*[weighed.schema[c] for c in keys], T.StructField("t", T.IntegerType())])
+    numbered = F.broadcast(spark.createDataFrame(named.to_pylist(), schema))
+    hit = F.struct("t", F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"))
+    by_doc = asked_postings(index.postings, weighed).join(numbered, keys).groupBy("doc_id").agg(F.collect_list(hit).alias("hits"))
+    asked = asked.select(["qid", "field", "n_terms", "qtf", "idf", "avg_len"])
+    run = _scored_documents(asked, np.r_[starts, asked.num_rows], fields, operator, HELD_PAIRS)
+    out = [weighed.schema["qid"], T.StructField("doc_id", T.StringType()), T.StructField("total", T.DoubleType()), T.StructField("matched", T.LongType())]
+    return by_doc.mapInArrow(run, T.StructType(out))
+
+
 def _matches(field: str, operator: str) -> Column:
     found = F.col(f"m_{field}")
     # n_ is null where the field has no hit at all.
@@ -160,20 +255,29 @@ def summed_fields(fields: list[str], operator: str) -> Column:
     return reduce(lambda a, b: a + b, [F.when(_matches(f, operator), F.col(f"s_{f}")).otherwise(0.0) for f in fields])
 
 
-def _score_queries(index: Index, queries: DataFrame, fields: list[str] | None, operator: str):
+def _totals(index: Index, queries: DataFrame, fields: list[str] | None, operator: str) -> tuple[DataFrame, list[str]]:
+    """(qid, doc_id, total, matched) of the matches, and the fields: the sum of the
+    scores of the fields that match, and these fields as bits in their order."""
     if operator not in (MATCH_ALL, MATCH_ANY):
         raise ValueError(f"operator must be {MATCH_ALL!r} or {MATCH_ANY!r}")
     text, keyword = index.split_fields(fields)
+    every = text + keyword
     weighed = weigh_terms(index, query_terms(queries, text, keyword, index.analyzer), operator)
-    return _field_scores(index, weighed, text + keyword), text + keyword
+    if len(every) < 64 and 0 < weighed.count() <= BROADCAST_ROWS:
+        return _totals_by_document(index, weighed, every, operator), every
+    scored = _field_scores(index, weighed, every).where(matched_fields(every, operator))
+    bits = [F.when(_matches(f, operator), F.lit(1 << i)).otherwise(0).cast("bigint") for i, f in enumerate(every)]
+    matched = reduce(lambda a, b: a.bitwiseOR(b), bits)
+    return scored.select("qid", "doc_id", summed_fields(every, operator).alias("total"), matched.alias("matched")), every
 
 
 def match(index: Index, queries: DataFrame, operator: str = MATCH_ALL, fields: list[str] | None = None) -> DataFrame:
     """(qid, field, doc_id) of documents matching a query in a field: every
     distinct term in that same field for "and", any for "or"; the whole value
     for keyword fields."""
-    scored, every = _score_queries(index, queries, fields, operator)
-    matched = F.array_compact(F.array(*[F.when(_matches(f, operator), F.lit(f)) for f in every]))
+    scored, every = _totals(index, queries, fields, operator)
+    has = [F.when(F.col("matched").bitwiseAND(F.lit(1 << i)) != 0, F.lit(f)) for i, f in enumerate(every)]
+    matched = F.array_compact(F.array(*has))
     return scored.select("qid", "doc_id", F.explode(matched).alias("field")).select("qid", "field", "doc_id")
 
 
@@ -190,9 +294,8 @@ def most_fields(
     boost: float = 1.0,
 ) -> DataFrame:
     """(qid, doc_id, score): the sum of the scores of every field that matches."""
-    scored, every = _score_queries(index, queries, fields, operator)
-    total = summed_fields(every, operator)
-    return scored.where(matched_fields(every, operator)).select("qid", "doc_id", F.round(boost * total, 6).alias("score"))
+    scored, _ = _totals(index, queries, fields, operator)
+    return scored.select("qid", "doc_id", F.round(boost * F.col("total"), 6).alias("score"))
 
 
 def bm25_field(index: Index, queries: DataFrame, field: str, operator: str = MATCH_ANY) -> DataFrame:
