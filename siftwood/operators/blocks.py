@@ -95,7 +95,7 @@ def bm25_top(
     first = materialise(first.select("qid", "dblock"), "lead")
     begun = materialise(score_blocks(index, weighed, first, every, operator), "begun")
     # A request without k hits yet has no floor.
-    floors = top_k(begun, k).where(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
+    floors = top_k(begun, k, cut=False).where(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
     rest = bounds.join(broadcast_if_small(materialise(floors, "floors")), "qid", "left").where(
         F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - _ROUNDING)
     )

@@ -172,8 +172,8 @@ def knn_approx(
     told = packed.agg(F.coalesce(F.sum(F.octet_length("asked") + 8 * F.size("qids")), F.lit(0))).first()[0]
     pairs = near.join(F.broadcast(packed) if told <= max_query_bytes else packed, "cell")
     found = pairs.select("cell", "ids", "codes", "qids", "asked").mapInArrow(_scanned(budget, kept), HITS)
-    candidates = materialise(top_k(found, budget).select("qid", "doc_id"), "candidates")
-    return top_k(pair_scores(vectors, queries, candidates), k)
+    candidates = materialise(top_k(found, budget, cut=False).select("qid", "doc_id"), "candidates")
+    return top_k(pair_scores(vectors, queries, candidates), k, cut=False)
 
 
 __all__ = ["centres_table", "knn_approx", "pack_cells", "read_centres", "train_cells"]

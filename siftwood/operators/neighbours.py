@@ -216,11 +216,11 @@ def knn(
     if filter is not None:
         return top_k(pair_scores(vectors, queries, filter), k)
     if not _fits(queries, k, max_query_bytes):
-        return top_k(_with_packed_queries(vectors, queries, k), k)
+        return top_k(_with_packed_queries(vectors, queries, k), k, cut=False)
     packed = _collect_queries(queries)
     if not len(packed[0]):
-        return top_k(vectors.sparkSession.createDataFrame([], HITS), k)
-    return top_k(vectors.mapInArrow(_scan_with(*packed, k), HITS), k)
+        return top_k(vectors.sparkSession.createDataFrame([], HITS), k, cut=False)
+    return top_k(vectors.mapInArrow(_scan_with(*packed, k), HITS), k, cut=False)
 
 
 def pair_scores(vectors: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:

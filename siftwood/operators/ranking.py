@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwood.cluster import broadcast_if_small, materialise
 from siftwood.operators.numbering import rank_deep
 
+# The kernel travels with its tasks, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Up to this depth Spark cuts each group before the shuffle (its default
 # window group limit threshold); deeper ranks are numbered by range.
 WINDOW_DEPTH = 1000
@@ -16,12 +27,69 @@ WINDOW_DEPTH = 1000
 # Up to this many documents a page lookup names its keys in a filter.
 PRUNED_DOCS = 500
 
-
-def top_k(scored: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` hits per ``qid`` by score, ties to the smaller ``doc_id``."""
+# Rows a task holds while it looks for the best ones of each request.
+HELD_ROWS = 1 << 20
+
+
+def _best_of_task(k: int, held: int):
+    """mapInArrow function: rows that can't be among the best ``k`` of their qid are
+    left out. What is kept is handed on early where many requests fill the bound."""
+    order = [("qid", "ascending"), ("score", "descending"), ("doc_id", "ascending")]
+
+    def best(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, order))
+        qid = rows.column("qid").to_numpy()
+        starts = np.flatnonzero(np.r_[True, qid[1:] != qid[:-1]])
+        rank = np.arange(len(qid)) - np.repeat(starts, np.diff(np.r_[starts, len(qid)]))
+        return rows.filter(pa.array(rank < k))
+
+    def floors_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Requests with k rows, and the score of the last one."""
+        qids, first, count = np.unique(rows.column("qid").to_numpy(), return_index=True, return_counts=True)
+        full = count == k
+        return qids[full], rows.column("score").to_numpy()[first[full] + k - 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, waiting, floors = [], 0, (np.zeros(0, np.int64), np.zeros(0))
+        for batch in batches:
+            plain = np.ones(batch.num_rows, bool)
+            for name in ("qid", "score", "doc_id"):
+                plain &= pc.is_valid(batch.column(name)).to_numpy(zero_copy_only=False)
+            plain &= ~pc.fill_null(pc.is_nan(batch.column("score")), False).to_numpy(zero_copy_only=False)
+            if not plain.all():  # these rank by Spark's rules alone
+                yield batch.filter(pa.array(~plain))
+                batch = batch.filter(pa.array(plain))
+            if len(floors[0]) and batch.num_rows:
+                qid, score = batch.column("qid").to_numpy(), batch.column("score").to_numpy()
+                at = np.minimum(np.searchsorted(floors[0], qid), len(floors[0]) - 1)
+                batch = batch.filter(pa.array((floors[0][at] != qid) | (score >= floors[1][at])))
+            if batch.num_rows:
+                kept.append(batch)
+                waiting += batch.num_rows
+            if waiting > held:
+                rows = best(pa.Table.from_batches(kept).combine_chunks())
+                floors = floors_of(rows)
+                if rows.num_rows > held // 2:
+                    yield from rows.to_batches()
+                    kept, waiting = [], 0
+                else:
+                    kept, waiting = rows.to_batches(), rows.num_rows
+        if kept:
+            yield from best(pa.Table.from_batches(kept).combine_chunks()).to_batches()
+
+    return run
+
+
+def top_k(scored: DataFrame, k: int, cut: bool = True) -> DataFrame:
+    """Best ``k`` hits per ``qid`` by score, ties to the smaller ``doc_id``. Each task
+    first leaves out what can't be among them, without sorting all it has; ``cut``
+    is for rows that are cut already."""
     best = [F.desc("score"), F.asc("doc_id")]
     if k > WINDOW_DEPTH:
         return rank_deep(scored, "qid", best).where(F.col("rank") <= k)
+    kinds = [scored.schema[c].dataType for c in ("qid", "score", "doc_id")]
+    if cut and k > 0 and kinds == [T.LongType(), T.DoubleType(), T.StringType()]:
+        scored = scored.mapInArrow(_best_of_task(k, HELD_ROWS), scored.schema)
     ranks = F.row_number().over(W.partitionBy("qid").orderBy(*best))
     return scored.withColumn("rank", ranks).where(F.col("rank") <= k)
 
