@@ -56,3 +56,9 @@ def test_little_of_many_hits_leaves_a_task(spark):
     cut = scored.mapInArrow(ranking._best_of_task(10, 5000), scored.schema)
     assert cut.count() == 4 * 5 * 10
     assert "MapInArrow" in ranking.top_k(scored, 10)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_buckets_follow_the_documents_not_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert build.buckets_for(spark, 10) == cores
+    assert all(n / build.buckets_for(spark, n) <= 10_000 for n in (250_000, 1_800_000))
