@@ -8,7 +8,7 @@ so the score of a document is summed without a shuffle.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -157,10 +157,19 @@ def _field_scores(index: Index, weighed: DataFrame, fields: list[str]) -> DataFr
     return hit.groupBy("qid", "doc_id").agg(*field_columns(fields, weight))
 
 
-def _scored_documents(asked: pa.Table, starts: np.ndarray, fields: list[str], operator: str, held: int):
-    """mapInArrow function: documents with their postings of asked terms in, a row per
-    request that matches out. ``asked`` has the weighed terms in order of their number,
-    those of number t from ``starts[t]`` on."""
+def bm25_values(of_term: dict[str, np.ndarray], tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+    idf, avg_len = of_term["idf"], of_term["avg_len"]
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_len))
+
+
+def _summed_requests(
+    asked: pa.Table, starts: np.ndarray, fields: list[str], operator: str, held: int, values: Callable, floors: np.ndarray | None
+):
+    """mapInArrow function: rows of a key and its ``hits`` (term number and what
+    ``values`` weighs) in, a row per request that matches out. ``asked`` has the weighed
+    terms in order of their number, those of number t from ``starts[t]`` on. Rows may
+    name the requests to look at, by place and in order, as ``wanted``. Totals below the
+    ``floors`` of their requests are left out."""
     qid = pc.dictionary_encode(asked.column("qid").combine_chunks(), null_encoding="encode")
     qids, q = qid.dictionary, qid.indices.to_numpy().astype(np.int64)
     place = np.array([fields.index(f) for f in asked.column("field").to_pylist()], np.int64)
@@ -168,12 +177,17 @@ def _scored_documents(asked: pa.Table, starts: np.ndarray, fields: list[str], op
     qtf, idf, avg_len, n_terms = map(number, ("qtf", "idf", "avg_len", "n_terms"))
     every = np.diff(starts)
 
-    def score(doc: np.ndarray, t: np.ndarray, tf: np.ndarray, dl: np.ndarray):
+    def score(row: np.ndarray, t: np.ndarray, given: list[np.ndarray], wanted: np.ndarray | None):
         times = every[t]
         at = np.repeat(starts[t] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
-        doc, tf, dl = (np.repeat(x, times) for x in (doc, tf, dl))
-        weight = qtf[at] * (idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_len[at])))
-        pair = doc * len(qids) + q[at]
+        row, *given = (np.repeat(x, times) for x in (row, *given))
+        pair = row * len(qids) + q[at]
+        if wanted is not None:
+            there = wanted[np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)] == pair
+            pair, at, given = pair[there], at[there], [x[there] for x in given]
+        if not len(pair):
+            return pair, np.zeros(0), pair
+        weight = qtf[at] * values({"idf": idf[at], "avg_len": avg_len[at]}, *given)
         order = np.argsort(pair, kind="stable")
         pair, weight, at = pair[order], weight[order], at[order]
         first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
@@ -186,57 +200,94 @@ def _scored_documents(asked: pa.Table, starts: np.ndarray, fields: list[str], op
                 matched &= found == np.maximum.reduceat(np.where(here, n_terms[at], 0), first)
             total += np.where(matched, np.add.reduceat(np.where(here, weight, 0.0), first), 0.0)
             mask |= np.where(matched, 1 << int(k), 0)
-        kept = np.flatnonzero(mask)
+        keep = mask != 0
+        if floors is not None:
+            keep &= total >= floors[pair[first] % len(qids)]
+        kept = np.flatnonzero(keep)
         return pair[first[kept]], total[kept], mask[kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, hits = batch.column("doc_id"), batch.column("hits")
+            keys, hits = batch.column(0), batch.column(1)
             if not batch.num_rows:
                 continue
             ends = np.cumsum(pc.list_value_length(hits).to_numpy().astype(np.int64))
             hit = hits.flatten()
-            t, tf, dl = (hit.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            doc = np.repeat(np.arange(len(docs)), np.diff(np.r_[0, ends]))
-            done = np.cumsum(every[t])[ends - 1]  # pairs up to each document
+            t, *given = (hit.field(i).to_numpy(zero_copy_only=False) for i in range(hit.type.num_fields))
+            row = np.repeat(np.arange(len(keys)), np.diff(np.r_[0, ends]))
+            done = np.cumsum(every[t])[ends - 1]  # pairs up to each row
+            wanted = None
+            if batch.num_columns > 2:
+                named = batch.column(2)
+                until = np.cumsum(pc.list_value_length(named).to_numpy().astype(np.int64))
+                named = named.flatten().to_numpy(zero_copy_only=False)
+                done = done + until
             begin = 0
-            while begin < len(docs):
+            while begin < len(keys):
                 before = done[begin - 1] if begin else 0
                 end = max(begin + 1, int(np.searchsorted(done, before + held, side="right")))
                 part = slice(ends[begin - 1] if begin else 0, ends[end - 1])
-                pair, total, mask = score(doc[part], t[part], tf[part].astype(np.float64), dl[part].astype(np.float64))
+                if batch.num_columns > 2:
+                    lengths = np.diff(np.r_[0, until])[begin:end]
+                    wanted = named[until[begin - 1] if begin else 0 : until[end - 1]]
+                    wanted = np.repeat(np.arange(begin, end) * len(qids), lengths) + wanted
+                pair, total, mask = score(row[part], t[part], [x[part].astype(np.float64) for x in given], wanted)
                 yield pa.record_batch(
-                    [qids.take(pa.array(pair % len(qids))), docs.take(pa.array(pair // len(qids))), pa.array(total), pa.array(mask)],
-                    names=["qid", "doc_id", "total", "matched"],
+                    [qids.take(pa.array(pair % len(qids))), keys.take(pa.array(pair // len(qids))), pa.array(total), pa.array(mask)],
+                    names=["qid", batch.schema.names[0], "total", "matched"],
                 )
                 begin = end
 
     return run
 
 
+class NumberedTerms:
+    """Weighed terms (at most BROADCAST_ROWS) with a number per term, for sums over all
+    requests of a row in the task that has it: what a task holds follows from its
+    postings, not from the number of requests they answer."""
+
+    def __init__(self, weighed: DataFrame):
+        keys = ["tbucket", "field", "term"]
+        asked = weighed.toArrow()
+        asked = asked.sort_by([(c, "ascending") for c in keys])
+        new = np.zeros(asked.num_rows, bool)
+        for c in keys:
+            column = asked.column(c).to_numpy(zero_copy_only=False)
+            new[1:] |= column[1:] != column[:-1]
+        new[:1] = True
+        starts = np.flatnonzero(new)
+        named = asked.take(pa.array(starts)).select(keys).append_column("t", pa.array(np.arange(len(starts), dtype=np.int32)))
+        schema = T.StructType([*[weighed.schema[c] for c in keys], T.StructField("t", T.IntegerType())])
+        self.table = F.broadcast(weighed.sparkSession.createDataFrame(named.to_pylist(), schema))
+        self.starts = np.r_[starts, asked.num_rows]
+        self.asked = asked.select(["qid", "field", "n_terms", "qtf", "idf", "avg_len"])
+        self.kind = weighed.schema["qid"].dataType
+
+    def requests(self) -> list:
+        """The requests in the order that ``wanted`` and ``floors`` name them by."""
+        qid = self.asked.column("qid").combine_chunks()
+        return pc.dictionary_encode(qid, null_encoding="encode").dictionary.to_pylist()
+
+    def summed(
+        self, rows: DataFrame, fields: list[str], operator: str, values: Callable = bm25_values, floors: np.ndarray | None = None
+    ) -> DataFrame:
+        """(qid, key, total, matched) of rows (key, hits) or (key, hits, wanted)."""
+        run = _summed_requests(self.asked, self.starts, fields, operator, HELD_PAIRS, values, floors)
+        out = [T.StructField("qid", self.kind), rows.schema[0], T.StructField("total", T.DoubleType()), T.StructField("matched", T.LongType())]
+        return rows.mapInArrow(run, T.StructType(out))
+
+
+def posting_hit() -> Column:
+    return F.struct("t", F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"))
+
+
 def _totals_by_document(index: Index, weighed: DataFrame, fields: list[str], operator: str) -> DataFrame:
     """``_totals`` by one document after the other. The postings of a document meet in
-    its bucket; the requests they answer are summed in the task that has them, so what
-    it holds follows from the postings, not from the number of requests they answer."""
-    keys = ["tbucket", "field", "term"]
-    spark = weighed.sparkSession
-    asked = weighed.toArrow()  # at most BROADCAST_ROWS
-    asked = asked.sort_by([(c, "ascending") for c in keys])
-    new = np.zeros(asked.num_rows, bool)
-    for c in keys:
-        column = asked.column(c).to_numpy(zero_copy_only=False)
-        new[1:] |= column[1:] != column[:-1]
-    new[:1] = True
-    starts = np.flatnonzero(new)
-    named = asked.take(pa.array(starts)).select(keys).append_column("t", pa.array(np.arange(len(starts), dtype=np.int32)))
-    schema = T.StructType([*[weighed.schema[c] for c in keys], T.StructField("t", T.IntegerType())])
-    numbered = F.broadcast(spark.createDataFrame(named.to_pylist(), schema))
-    hit = F.struct("t", F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"))
-    by_doc = asked_postings(index.postings, weighed).join(numbered, keys).groupBy("doc_id").agg(F.collect_list(hit).alias("hits"))
-    asked = asked.select(["qid", "field", "n_terms", "qtf", "idf", "avg_len"])
-    run = _scored_documents(asked, np.r_[starts, asked.num_rows], fields, operator, HELD_PAIRS)
-    out = [weighed.schema["qid"], T.StructField("doc_id", T.StringType()), T.StructField("total", T.DoubleType()), T.StructField("matched", T.LongType())]
-    return by_doc.mapInArrow(run, T.StructType(out))
+    its bucket; the requests they answer are summed in the task that has them."""
+    numbered = NumberedTerms(weighed)
+    hit = asked_postings(index.postings, weighed).join(numbered.table, ["tbucket", "field", "term"])
+    by_doc = hit.groupBy("doc_id").agg(F.collect_list(posting_hit()).alias("hits"))
+    return numbered.summed(by_doc, fields, operator)
 
 
 def _matches(field: str, operator: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwood.mapping import Mapping
-from siftwood.operators import ranking, terms
+from siftwood.operators import blocks, ranking, terms
 from siftwood.plans import build
 
 
@@ -62,3 +62,26 @@ def test_buckets_follow_the_documents_not_the_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     assert build.buckets_for(spark, 10) == cores
     assert all(n / build.buckets_for(spark, n) <= 10_000 for n in (250_000, 1_800_000))
+
+
+@pytest.mark.parametrize("operator", ["and", "or"])
+def test_blocks_are_scored_without_pairs_of_postings_and_requests(spark, tmp_path_factory, monkeypatch, operator):
+    rows = [(f"d{i}", f"w{i % 3}", " ".join(f"w{j}" for j in range(i % 7)) + " the" * (i % 5), None) for i in range(120)]
+    df = spark.createDataFrame(rows, "docid string, title string, body string, url string")
+    root = str(tmp_path_factory.mktemp("blocks"))
+    mapping = Mapping({"docid": "keyword", "title": "text", "body": "text", "url": "keyword"}, dims=None)
+    build.build_index(spark, df, mapping, root, "b", term_buckets=3, block_docs=8)
+    index = build.load_index(spark, root, "b")
+    asked = [(1, "the w1"), (2, "w1 w2 w1"), (4, "nowhere the"), (5, ""), (6, "d7"), (7, "w0 w1 w2 w3 w4 w5 the"), (8, "nowhere")]
+    asked = spark.createDataFrame(asked, "qid bigint, query string")
+    built, written = [], blocks.materialise
+    monkeypatch.setattr(blocks, "materialise", lambda df, label: built.append((label, df)) or written(df, label))
+    found = lambda: sorted(map(repr, blocks.bm25_top(index, asked, 3, None, operator)[0].collect()))
+    whole = found()
+    plans = [df._jdf.queryExecution().executedPlan().toString() for label, df in built if label in ("bounds", "begun")]
+    assert len(plans) == 2 and all("MapInArrow" in p and "keys=[qid" not in p for p in plans)
+    monkeypatch.setattr(terms, "HELD_PAIRS", 3)
+    assert found() == whole
+    monkeypatch.setattr(terms, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(blocks, "BROADCAST_ROWS", 0)
+    assert found() == whole and whole
