@@ -26,7 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HITS = "qid bigint, doc_id string, score double"
 _BLOCK = 1024  # vectors per packed block
-_PRODUCT = 4 << 20  # scores held at once by a task
+_PRODUCT = 1 << 20  # scores held at once by a task
 KEPT_ROWS = 4_000_000  # rows a task may keep between batches
 
 
@@ -107,7 +107,7 @@ class Best:
     def batch(self, qids: np.ndarray) -> pa.RecordBatch:
         at, docs, scores = self.rows
         return pa.record_batch(
-            [pa.array(qids[at], pa.int64()), pa.array(docs.tolist(), pa.string()), pa.array(scores, pa.float64())],
+            [pa.array(qids[at], pa.int64()), pa.array(docs, pa.string()), pa.array(scores, pa.float64())],
             names=["qid", "doc_id", "score"],
         )
 
@@ -116,15 +116,29 @@ def _ids(column) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=str)
 
 
+def rows_of(batch: pa.RecordBatch, matrix: str, dtype: type) -> Iterator[tuple[dict, np.ndarray]]:
+    """Rows one at a time, with one column as numbers where they lie: a batch has
+    thousands of ids a row, which must not all be Python objects at once."""
+    for i in range(batch.num_rows):
+        yield {name: batch.column(name)[i] for name in batch.schema.names if name != matrix}, np.frombuffer(batch.column(matrix)[i].as_buffer(), dtype)
+
+
 def _scan_with(qids: np.ndarray, queries: np.ndarray, k: int):
-    """mapInArrow function: documents in, the task's k best per query out."""
+    """mapInArrow function: documents in, the task's k best per query out. Queries are
+    taken block by block, so that ranking hits needs room for those of one block only."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, every = Best(len(qids), k), np.arange(len(qids))
+        starts = range(0, len(qids), _BLOCK)
+        best = [Best(len(qids[i : i + _BLOCK]), k) for i in starts]
         for batch in batches:
-            if batch.num_rows:
-                best.add(every, queries, as_matrix(batch.column("vec")), _ids(batch.column("doc_id")))
-        yield best.batch(qids)
+            if not batch.num_rows:
+                continue
+            docs, ids = as_matrix(batch.column("vec")), _ids(batch.column("doc_id"))
+            for i, found in zip(starts, best):
+                part = queries[i : i + _BLOCK].astype(np.float64)
+                found.add(np.arange(len(part)), part, docs, ids)
+        for i, found in zip(starts, best):
+            yield found.drain(qids[i : i + _BLOCK])
 
     return scan
 
@@ -168,11 +182,11 @@ def _with_packed_queries(vectors: DataFrame, queries: DataFrame, k: int) -> Data
         held: dict[int, tuple[np.ndarray, Best]] = {}
         rows = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                qids, ids = np.array(row["ids"], np.int64), np.array(row["doc_ids"], str)
-                left = np.frombuffer(row["matrix"], kind).astype(np.float64).reshape(len(qids), -1)
-                right = np.frombuffer(row["doc_matrix"], kind).astype(np.float64).reshape(len(ids), -1)
-                best = held.setdefault(row["block"], (qids, Best(len(qids), k)))[1]
+            for row, left in rows_of(batch, "matrix", kind):
+                qids, ids = np.array(row["ids"].as_py(), np.int64), _ids(row["doc_ids"].values)
+                left = left.astype(np.float64).reshape(len(qids), -1)
+                right = np.frombuffer(row["doc_matrix"].as_buffer(), kind).astype(np.float64).reshape(len(ids), -1)
+                best = held.setdefault(row["block"].as_py(), (qids, Best(len(qids), k)))[1]
                 rows -= len(best.rows[0])
                 best.add(np.arange(len(qids)), left, right, ids)
                 rows += len(best.rows[0])
@@ -194,9 +208,11 @@ def _fits(queries: DataFrame, k: int, limit: int) -> bool:
 
 
 def _collect_queries(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Query ids and matrix; the caller has checked the size."""
+    """Query ids and matrix, with numbers of the width they are stored in; the caller
+    has checked the size."""
     table = queries.select("qid", "vec").toArrow()
-    return table.column("qid").to_numpy().astype(np.int64), as_matrix(table.column("vec"))
+    kind = np.float32 if queries.schema["vec"].dataType.elementType.typeName() == "float" else np.float64
+    return table.column("qid").to_numpy().astype(np.int64), as_matrix(table.column("vec")).astype(kind)
 
 
 def knn(

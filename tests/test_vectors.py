@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +240,22 @@ def test_mean_pool_of_unmasked_and_missing_rows(spark):
     tokens = spark.createDataFrame(rows, "doc_id int, mask int, vec array<float>")
     assert [tuple(r) for r in nb.mean_pool(tokens).collect()] == [(3, [4.0])]
     assert nb.mean_pool(tokens.limit(0)).count() == 0
+
+
+def _traced_peak(run) -> float:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_ranks_the_hits_of_few_queries_at_a_time():
+    rng = np.random.default_rng(3)
+    queries, docs = rng.normal(size=(20_000, 4)), rng.normal(size=(2000, 4))
+    batch = pa.record_batch([pa.array([f"d{i:05d}" for i in range(2000)]), pa.array(docs.tolist(), pa.list_(pa.float64()))], names=["doc_id", "vec"])
+    found = []
+    run = lambda: found.extend(b.num_rows for b in nb._scan_with(np.arange(20_000), queries, 10)(iter([batch])))
+    assert _traced_peak(run) < 100
+    assert sum(found) == 200_000 and max(found) < 20_000
