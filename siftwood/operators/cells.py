@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from siftwood.cluster import BROADCAST_VECTOR_BYTES, materialise
 from siftwood.functions.vectors import quantize
 from siftwood.operators import neighbours
-from siftwood.operators.neighbours import HITS, Best, as_matrix, pair_scores, train_cells
+from siftwood.operators.neighbours import HITS, Best, as_matrix, pair_scores, rows_of, train_cells
 from siftwood.operators.ranking import top_k
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -129,17 +129,18 @@ def _scanned(budget: int, kept_rows: int) -> Callable:
                 yield best.drain(qids)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                key = (row["cell"], row["qids"][0])
+            for row, codes in rows_of(batch, "codes", np.int8):
+                cell = row["cell"].as_py()
+                key = (cell, row["qids"][0].as_py())
                 if key not in held:
-                    if any(cell != row["cell"] for cell, _ in held):  # cells come one after another
+                    if any(other != cell for other, _ in held):  # cells come one after another
                         yield from drained()
                         held = {}
-                    held[key] = (np.array(row["qids"], np.int64), Best(len(row["qids"]), budget))
+                    held[key] = (np.array(row["qids"].as_py(), np.int64), Best(len(row["qids"]), budget))
                 qids, best = held[key]
-                ids = np.array(row["ids"], str)
-                docs = np.frombuffer(row["codes"], np.int8).astype(np.float64).reshape(len(ids), -1) / 127
-                asked = np.frombuffer(row["asked"], np.int8).astype(np.float64).reshape(len(qids), -1) / 127
+                ids = np.array(row["ids"].as_py(), str)
+                docs = codes.astype(np.float64).reshape(len(ids), -1) / 127
+                asked = np.frombuffer(row["asked"].as_buffer(), np.int8).astype(np.float64).reshape(len(qids), -1) / 127
                 best.add(np.arange(len(qids)), asked, docs, ids)
                 if sum(len(b.rows[0]) for _, b in held.values()) > kept_rows:
                     yield from drained()

@@ -259,3 +259,16 @@ def test_a_task_ranks_the_hits_of_few_queries_at_a_time():
     run = lambda: found.extend(b.num_rows for b in nb._scan_with(np.arange(20_000), queries, 10)(iter([batch])))
     assert _traced_peak(run) < 100
     assert sum(found) == 200_000 and max(found) < 20_000
+
+
+def test_a_task_makes_objects_of_one_row_of_a_batch_at_a_time():
+    ids = [[f"doc{r}-{i}" for i in range(1024)] for r in range(400)]
+    columns = {
+        "cell": pa.array([0] * 400, pa.int32()), "ids": pa.array(ids), "codes": pa.array([bytes(1024)] * 400, pa.binary()),
+        "qids": pa.array([[r] for r in range(400)], pa.list_(pa.int64())), "asked": pa.array([bytes(1)] * 400, pa.binary()),
+    }
+    batch, found = pa.record_batch(list(columns.values()), names=list(columns)), []
+    del ids, columns
+    run = lambda: found.extend(b.num_rows for b in cl._scanned(2, 1000)(iter([batch])))
+    assert _traced_peak(run) < 12
+    assert sum(found) == 800
