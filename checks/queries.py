@@ -56,8 +56,12 @@ def term_list(df: DataFrame, tokens: Column) -> DataFrame:
 _indexes: dict[tuple, Index] = {}
 
 
+def _buckets(spark, sf) -> int:
+    return build.buckets_for(spark, fx.table(spark, sf, "documents").count())
+
+
 def _build(spark, sf, docs: DataFrame, root: str, alias: str, analyzer: str = "terms", **more) -> dict[str, int]:
-    buckets = build.buckets_for(spark, fx.table(spark, sf, "documents").count())
+    buckets = _buckets(spark, sf)
     return build.build_index(spark, docs, fx.MAPPING, root, alias, analyzer, term_buckets=4, doc_buckets=buckets, **more)
 
 
@@ -94,8 +98,8 @@ def cleaned_posts(spark: SparkSession, sf: str) -> DataFrame:
     docs = projections.preprocess(
         projections.map_columns(marked, fx.POST_MAPPER), [lambda d: projections.strip_markdown(d, ["body"], keep_raw=False)]
     )
-    # Read by the encoder and by the build: cleaned once.
-    docs = materialise(docs, "cleaned")
+    # Read by the encoder and by the build: cleaned and shuffled once.
+    docs = build.place_docs(docs, _buckets(spark, sf))
     vecs = encoders.encode(docs, "docid", text.doc_text(F.col("title"), F.col("body")))
     return build.attach_vectors(docs, vecs.withColumnRenamed("docid", "doc_id"))
 
@@ -103,7 +107,8 @@ def cleaned_posts(spark: SparkSession, sf: str) -> DataFrame:
 def encoded_index(spark: SparkSession, sf: str) -> Index:
     """Cleaned posts under the full analyzer, with vectors of the hash encoder."""
     fx.use_utc(spark)
-    return _index(spark, sf, "encoded", lambda root: _build(spark, sf, cleaned_posts(spark, sf), root, "encoded", "full"))
+    make = lambda root: _build(spark, sf, cleaned_posts(spark, sf), root, "encoded", "full", placed=True)
+    return _index(spark, sf, "encoded", make)
 
 
 def encoded_requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -385,7 +390,7 @@ def keyword_terms(spark, sf):
 @query
 def build_index(spark, sf):
     """A full pass on every call; its result is the rows of each index table."""
-    counts = _build(spark, sf, cleaned_posts(spark, sf), scratch_path(spark, "built"), "built", "full")
+    counts = _build(spark, sf, cleaned_posts(spark, sf), scratch_path(spark, "built"), "built", "full", placed=True)
     return spark.createDataFrame(list(counts.items()), "index_table string, rows bigint")
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwood.cluster import scratch_path
 from siftwood.functions.vectors import unit_vector
 from siftwood.index import ANALYZERS, Index
 from siftwood.mapping import Mapping
@@ -39,6 +40,14 @@ def buckets_for(spark: SparkSession, expected_docs: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-expected_docs // DOCS_PER_BUCKET))
 
 
+def place_docs(docs: DataFrame, buckets: int, key: str = "docid") -> DataFrame:
+    """Write documents once, dealt as an index of so many ``doc_buckets`` lies. What reads
+    them by key, as an encoder, ``attach_vectors`` and the build, then shuffles no text."""
+    layouts = {"docs": Layout(None, key, [key], buckets)}
+    folder = scratch_path(docs.sparkSession, "placed")
+    return write_tables(folder, {"docs": docs.repartition(buckets, key)}, layouts)["docs"]
+
+
 def attach_vectors(docs: DataFrame, vecs: DataFrame, key: str = "docid", vec_key: str = "doc_id") -> DataFrame:
     """Pair documents with their vectors; ``vec`` is null where there is none."""
     return docs.drop("vec").join(vecs.select(F.col(vec_key).cast("string").alias(key), "vec"), key, "left")
@@ -80,6 +89,7 @@ def build_index(
     block_docs: int | None = None,
     extra: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None,
     publish: bool = True,
+    placed: bool = False,
 ) -> dict[str, int]:
     """Write every table of an index, then publish it once. Returns row counts.
 
@@ -92,7 +102,9 @@ def build_index(
 
     ``doc_buckets`` is the search parallelism (see ``buckets_for``; default: the
     shuffle width). With ``term_buckets`` it sets the number of postings files,
-    so choose both so that files stay near 128 MB or more.
+    so choose both so that files stay near 128 MB or more. Documents that ``place_docs``
+    dealt to as many buckets, and that were only joined by key since, are ``placed``:
+    their texts are not shuffled again.
     """
     buckets = doc_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     version = new_version() if version is None else version
@@ -112,8 +124,8 @@ def build_index(
 
     # 1. The records, written once in their final partitioning: the only
     #    shuffle of texts, and the only run of cleaning and encoding.
-    records = required(index_fields(df, mapping), key).repartition(buckets, key)
-    write(docs=records)
+    records = required(index_fields(df, mapping), key)
+    write(docs=records if placed else records.repartition(buckets, key))
     docs = tables["docs"]
     check_records(docs, mapping)
 

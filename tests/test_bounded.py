@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftwood.functions import encoders
 from siftwood.mapping import Mapping
 from siftwood.operators import blocks, ranking, terms
 from siftwood.plans import build
@@ -85,3 +86,26 @@ def test_blocks_are_scored_without_pairs_of_postings_and_requests(spark, tmp_pat
     monkeypatch.setattr(terms, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(blocks, "BROADCAST_ROWS", 0)
     assert found() == whole and whole
+
+
+@pytest.mark.parametrize("buckets", [3, 9])  # below and above the usual number of partitions
+def test_placed_documents_are_encoded_paired_and_built_without_a_shuffle(spark, tmp_path_factory, monkeypatch, buckets):
+    rows = [(f"d{i}", f"w{i % 3}", "the w1" if i % 2 else "") for i in range(40)]
+    docs = build.place_docs(spark.createDataFrame(rows, "docid string, title string, body string"), buckets)
+    vecs = encoders.encode(docs, "docid", F.col("body")).withColumnRenamed("docid", "doc_id")
+    written, write = {}, build.write_tables
+    monkeypatch.setattr(build, "write_tables", lambda folder, new, layouts: written.update(new) or write(folder, new, layouts))
+    root = str(tmp_path_factory.mktemp("placed"))
+    mapping = Mapping({"docid": "keyword", "title": "text", "body": "text", "vec": "vector"}, dims=64)
+    build.build_index(spark, build.attach_vectors(docs, vecs), mapping, root, "p", term_buckets=2, doc_buckets=buckets, placed=True)
+    plan = written["docs"]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Exchange" not in plan.replace("BroadcastExchange", "")
+    got = sorted((r["docid"], r["title"], r["body"]) for r in build.load_index(spark, root, "p").docs.collect())
+    assert got == sorted(rows)
+    assert {r["docid"] for r in build.load_index(spark, root, "p").docs.where("vec IS NOT NULL").collect()} == {r[0] for r in rows if r[2]}
+
+
+def test_a_build_still_refuses_rows_without_key(spark, tmp_path_factory):
+    docs = build.place_docs(spark.createDataFrame([("d1", "a"), (None, "b")], "docid string, body string"), 2)
+    with pytest.raises(Exception, match="docid is required"):
+        build.build_index(spark, docs, Mapping({"docid": "keyword", "body": "text"}), str(tmp_path_factory.mktemp("nokey")), "n")
