@@ -47,7 +47,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     a lost executor costs a re-read instead of the whole lineage.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

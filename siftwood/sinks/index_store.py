@@ -51,7 +51,7 @@ def _alias_log(root: str) -> str:
 
 
 def write_table(df: DataFrame, path: str, layout: Layout) -> None:
-    writer = df.write.format("parquet").option("path", path)
+    writer = df.write.format("parquet").option("path", path).option("compression", "zstd")
     if layout.partition_by:
         writer = writer.partitionBy(layout.partition_by)
     if not layout.bucket_by:

@@ -1,15 +1,18 @@
 """Scores and best hits held by what a task reads, not by pairs of requests and documents."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftwood.cluster import materialise
 from siftwood.functions import encoders
 from siftwood.mapping import Mapping
 from siftwood.operators import blocks, ranking, terms
 from siftwood.plans import build
+from siftwood.sinks import index_store
 
 
 @pytest.fixture(scope="module")
@@ -109,3 +112,11 @@ def test_a_build_still_refuses_rows_without_key(spark, tmp_path_factory):
     docs = build.place_docs(spark.createDataFrame([("d1", "a"), (None, "b")], "docid string, body string"), 2)
     with pytest.raises(Exception, match="docid is required"):
         build.build_index(spark, docs, Mapping({"docid": "keyword", "body": "text"}), str(tmp_path_factory.mktemp("nokey")), "n")
+
+
+def test_scratch_and_index_tables_are_written_small(spark, tmp_path):
+    folders = {"index": str(tmp_path / "plain"), "scratch": materialise(spark.range(9), "small").inputFiles()[0].rsplit("/", 1)[0]}
+    index_store.write_table(spark.range(9), folders["index"], index_store.Layout())
+    for folder in folders.values():
+        files = [f for f in os.listdir(folder.removeprefix("file://")) if f.endswith(".parquet")]
+        assert files and all(".zstd." in f for f in files)
