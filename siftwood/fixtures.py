@@ -69,8 +69,11 @@ def _post_columns(of: Callable[[str], Column] = F.col) -> dict[str, Column]:
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
-    docs, events = texts(spark, sf), table(spark, sf, "events")
-    return docs.join(events, docs.doc_id == events.event_id).select(*_post_columns().values())
+    # Titles are cut before the join: where bodies are not read, no text is shuffled.
+    docs = texts(spark, sf).withColumn("title", F.substring_index("text", ".", 1))
+    events = table(spark, sf, "events")
+    columns = _post_columns() | {"full_name": F.col("title").alias("full_name")}
+    return docs.join(events, docs.doc_id == events.event_id).select(*columns.values())
 
 
 def revisions(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftwood import fixtures
 from siftwood.cluster import materialise
 from siftwood.functions import encoders
 from siftwood.mapping import Mapping
@@ -120,3 +121,11 @@ def test_scratch_and_index_tables_are_written_small(spark, tmp_path):
     for folder in folders.values():
         files = [f for f in os.listdir(folder.removeprefix("file://")) if f.endswith(".parquet")]
         assert files and all(".zstd." in f for f in files)
+
+
+def test_posts_without_bodies_shuffle_no_text(spark, sf):
+    titles = fixtures.posts(spark, sf).select("number", "full_name")
+    below = titles._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
+    assert "substring_index(text" in below
+    want = fixtures.posts(spark, sf).select("number", F.substring_index("body_md", ".", 1).alias("full_name"))
+    assert sorted(map(tuple, titles.collect())) == sorted(map(tuple, want.collect()))
