@@ -44,6 +44,16 @@ def test_counts_equal_brute_force(docs, rows):
     assert sorted(map(tuple, got), key=str) == sorted(((i, *counts_of(t)) for i, t, *_ in rows), key=str)
 
 
+def test_workers_get_few_texts_at_once(spark, tmp_path):
+    key, rows = "spark.sql.execution.arrow.maxBytesPerBatch", [(i, f"a{i} " + "b" * (1 << 20)) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs")).coalesce(1)
+    spark.conf.unset(key)
+    rules.features(docs).collect()
+    sizes = docs.mapInPandas(lambda batches: (b.head(1).assign(text=str(len(b))) for b in batches), docs.schema)
+    assert max(int(r["text"]) for r in sizes.collect()) <= 9
+
+
 def test_rules_learn_a_threshold_and_need_both_classes(spark):
     rng = random.Random(2)
     good = [(i, sentence(rng, 80), "en", "a") for i in range(60)]
