@@ -1,8 +1,10 @@
 import datetime as dt
+import glob
 
 import pytest
 from pyspark.sql import functions as F
 
+from siftwood.cluster import scratch_root
 from siftwood.mapping import Mapping
 from siftwood.operators import ingest, projections
 from siftwood.plans import collect
@@ -306,6 +308,21 @@ def test_merges_equal_one_upsert_of_all(spark, tmp_path):
     assert rows(merged.read(spark)) == [("0", None), ("1", None), ("2", None)]
 
 
+def test_a_run_into_a_store_finds_last_changes_once(spark, tmp_path):
+    feed, root = tmp_path / "feed", str(tmp_path / "store")
+    feed.mkdir()
+    _feed(feed, "a", 1, [1, 2], 2)
+    _feed(feed, "b", 2, [2, 3], 3)
+    target = projections.conform_posts(spark.createDataFrame([("2", "old"), ("9", "keep")], "number string, full_name string"))
+    bucket_store.create_store(target, root, "number", 3)
+    written = lambda: set(glob.glob(f"{scratch_root(spark)}/changes-*"))
+    before = written()
+    merged = collect.collect_into(spark, str(feed), root, str(tmp_path / "log"), "2024-01-03")
+    assert len(written() - before) == 1
+    want = collect.collect(spark, str(feed), target, str(tmp_path / "other"), "2024-01-03")
+    assert rows(merged.read(spark).select(want.columns)) == rows(want)
+
+
 def test_merges_refuse_what_is_not_there_and_what_came_between(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "store")
     change = spark.createDataFrame([("1", "x", 1)], POST)
