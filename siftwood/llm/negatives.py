@@ -26,6 +26,7 @@ in zeros. Of several rows of one id the least (label, vector) is that id's row.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -36,6 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwood.cluster import materialise
+from siftwood.llm.frames import spread
 from siftwood.llm.multi_index import _k_means, _squares
 
 POSITIVES = 5
@@ -52,6 +54,8 @@ BLOCK_ROWS = 8_192
 BLOCK_BYTES = 16 << 20
 BLOCK_ANCHORS = 4_096
 AT_ONCE = 128
+# Cells that a frame of asked blocks names, and those of one more anchor.
+ASKED_CELLS = 1 << 18
 _EXACT = 2.0**53
 _LONG = 2**63
 
@@ -152,25 +156,37 @@ _FOUND = "anchor_id bigint, goal bigint, vec_id bigint, score bigint"
 
 def _ask(shared, placed, width: int, first: bool) -> Callable:
     """Per anchor and block the cells to look at there: of the first part of its walk, or of
-    the rest down to its floor (null: to the end)."""
+    the rest down to its floor (null: to the end). A walk may name most cells, so what is
+    held is what a few anchors name, however many come in a batch."""
+    columns, most = [c.split()[0] for c in _ASKED.split(", ")], ASKED_CELLS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells, (first_block, n_blocks) = shared.value, placed.value
         for batch in batches:
-            out = []
+            out, n = [], 0
             for row in batch.itertuples(index=False):
                 anchor = _matrix(pd.Series([row.vec]), width)[0].astype(float)
-                by_block: dict[int, list[int]] = {}
-                held = 0
+                found, held = array("i"), 0
                 for cell, bound in walk(cells, anchor):
                     begun, held = held < FIRST_ROWS, held + int(cells.counts[cell])
                     if first and not begun or not first and row.floor == row.floor and row.floor is not None and bound < row.floor:
                         break
                     if first or not begun:
-                        for k in range(int(n_blocks[cell])):
-                            by_block.setdefault(int(first_block[cell]) + k, []).append(cell)
-                out += [(b, row.anchor_id, row.anchor_id, row.label, row.vec, row.goals, named) for b, named in by_block.items()]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _ASKED.split(", ")])
+                        found.append(cell)
+                named = np.array(found, np.int32)
+                copies = n_blocks[named]
+                offset = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                blocks, named = np.repeat(first_block[named], copies) + offset, np.repeat(named, copies)
+                order = np.argsort(blocks, kind="stable")
+                known, starts = np.unique(blocks[order], return_index=True)
+                for b, some in zip(known.tolist(), np.split(named[order], starts[1:])):
+                    out.append((b, row.anchor_id, row.anchor_id, row.label, row.vec, row.goals, some))
+                n += len(named)
+                if n >= most:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, n = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
     return run
 
@@ -251,7 +267,7 @@ class _Index:
     def find(self, anchors: DataFrame, first: bool) -> DataFrame:
         """(anchor_id, goal, vec_id, score) of the first or the remaining cells of ``anchors``
         (anchor_id, label, vec, goals, floor), not yet cut over blocks."""
-        asked = materialise(anchors.mapInPandas(_ask(self.cells, self.placed, self.width, first), _ASKED), "asked")
+        asked = materialise(spread(anchors).mapInPandas(_ask(self.cells, self.placed, self.width, first), _ASKED), "asked")
         parts = asked.groupBy("block").agg((F.floor((F.count("*") - 1) / BLOCK_ANCHORS) + 1).alias("parts"))
         parts = materialise(parts, "parts")
         # Only blocks that are asked are sent, once for every BLOCK_ANCHORS anchors.

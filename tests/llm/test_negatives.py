@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,19 @@ def test_the_walk_is_in_order_of_bounds_and_stops_early():
 def test_the_registered_query(spark, sf):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert found(queries.QUERIES["op11_hard_negatives"](spark, sf)) == brute(rows)
+
+
+def test_long_walks_of_many_anchors_are_handed_on_bit_by_bit(monkeypatch):
+    monkeypatch.setattr(negatives, "ASKED_CELLS", 100)
+    rng = np.random.default_rng(5)
+    cells = negatives.Cells(*(rng.normal(size=(8, 3)) for _ in range(2)), np.ones(8), np.ones(8), np.full(64, negatives.FIRST_ROWS))
+    n_blocks = np.where(np.arange(64) == 9, 3, 1)
+    first_block = np.arange(64) // 4 + 2 * (np.arange(64) > 9)
+    vecs = [rng.integers(-9, 9, 6) for _ in range(40)]
+    anchors = pd.DataFrame({"anchor_id": range(40), "label": 0, "vec": vecs, "goals": [np.array([1])] * 40, "floor": [None] * 40})
+    shared, placed = (SimpleNamespace(value=x) for x in (cells, (first_block, n_blocks)))
+    frames = list(negatives._ask(shared, placed, 6, False)(iter([anchors])))
+    assert max(sum(map(len, f["cells"])) for f in frames) < 200
+    found = [(r.anchor_id, r.block, c) for f in frames for r in f.itertuples() for c in r.cells]
+    walks = [(i, list(negatives.walk(cells, v.astype(float)))[1:]) for i, v in enumerate(vecs)]
+    assert sorted(found) == sorted((i, first_block[c] + k, c) for i, walked in walks for c, _ in walked for k in range(n_blocks[c]))
