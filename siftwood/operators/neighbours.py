@@ -70,10 +70,18 @@ class Best:
             self._merge(*(np.concatenate(column) for column in zip(*found)))
 
     def _candidates(self, at: np.ndarray, dots: np.ndarray, ids: np.ndarray):
-        """At most k rows per query. Documents come in order of their ids, so of
+        """At most k rows per query on the whole. Documents come in order of their ids, so of
         equal scores the first ones count, however many copies there are."""
+        floor = self.floor[at]
+        if np.isfinite(floor).all():
+            # Most products can't reach the floors: only those that may are rounded.
+            q, d = np.nonzero(dots >= (2.0 * floor - 1.0 - 2e-6)[:, None])
+            if len(q) <= self.k * len(at):
+                scores = np.round((1.0 + dots[q, d]) / 2.0, 6)
+                reach = scores >= floor[q]
+                return at[q[reach]], ids[d[reach]], scores[reach]
         scores = np.round((1.0 + dots) / 2.0, 6)
-        floor, n = self.floor[at], scores.shape[1]
+        n = scores.shape[1]
         if n > self.k:
             floor = np.maximum(floor, np.partition(scores, n - self.k, axis=1)[:, n - self.k])
         above, level = scores > floor[:, None], scores == floor[:, None]

@@ -114,6 +114,16 @@ def test_knn_approx_recall_and_full_probe(celled):
     assert as_set(cl.knn_approx(cells, centres, df, as_queries(df), 10, nprobe=8, max_query_bytes=0)) == full
 
 
+def test_each_of_many_queries_hands_on_one_list(celled, monkeypatch):
+    df, points, centres, cells = celled
+    handed, ranked = [], cl.top_k
+    monkeypatch.setattr(cl, "top_k", lambda found, k, cut: handed.append((k, found.count())) or ranked(found, k, cut=cut))
+    monkeypatch.setattr(cl, "_BLOCK", 64)
+    whole = as_set(cl.knn_approx(cells, centres, df, as_queries(df), 3, nprobe=8))
+    assert handed[0] == (6, 6 * len(as_queries(df).collect()))
+    assert as_set(cl.knn_approx(cells, centres, df, as_queries(df), 3, nprobe=8, max_query_bytes=0)) == whole
+
+
 def test_knn_approx_of_any_depth_is_one_plan(spark, celled, monkeypatch):
     df, points, centres, cells = celled
     every = brute(points, points, 400)
