@@ -125,6 +125,30 @@ def test_join_of_groups_with_shared_passages(spark, monkeypatch, heavy, parts):
     assert joined(frame(spark, rows)) == components_of(rows)
 
 
+def test_join_writes_no_prefixes_and_hands_on_heavy_stars_by_document(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = sentence(rng, 30)
+    rows = [(k, passage + "".join(f" z{k}y{i}" for i in range(k % 3)), "en", "a") for k in range(60)]
+    rows += [(100 + k, sentence(rng, 40), "en", "a") for k in range(20)]
+    written, write, dealt, deal = [], jaccard.materialise, [], jaccard._candidates
+
+    def told(df, label):
+        written.append(label)
+        return write(df, label)
+
+    def counted(prefixes):
+        dealt.append(sorted(map(tuple, prefixes.where("heavy").select("sig", "gram").distinct().collect())))
+        out = deal(prefixes)
+        assert set(dealt[0]) <= set(map(tuple, out.collect())) and dealt[0]
+        return out
+
+    monkeypatch.setattr(jaccard, "HEAVY_DOCS", 2)
+    monkeypatch.setattr(jaccard, "materialise", told)
+    monkeypatch.setattr(jaccard, "_candidates", counted)
+    assert joined(frame(spark, rows)) == components_of(rows)
+    assert "prefixes" not in written
+
+
 def test_join_of_nothing(docs):
     assert jaccard.linked_documents(docs.limit(0)).count() == 0
 
